@@ -8,7 +8,7 @@ above its own cap / weight, which two windows over the sources compute.
 
 Every document is taken floor(target / size) times whole; the fractional repetition goes to
 documents in the order of a seeded MD5 of their id until it is used up, to the nearest document.
-The order is cut in two steps, so that no task sees a whole source: sums of 65,536 hash buckets
+The order is cut in two steps, so that no task sees a whole source: sums of 4,096 hash buckets
 find the bucket of the cut, and only that bucket's documents are ordered.
 
 Nulls: a null text has size 0, a null source is a source of its own.  A source without words has
@@ -55,7 +55,7 @@ def plan(docs: DataFrame, epochs: int = 3, id_col: str = "doc_id", text_col: str
     """(rows, plan): rows (doc_id, source, size, h); per source its size, target, whole
     repetitions and the last hash that gets one more."""
     rows = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _size(F.col(text_col)).alias("size"), _order(F.col(id_col)).alias("h")), "sizes")
-    bucket = F.conv(F.substring("h", 1, 4), 16, 10).cast("int")
+    bucket = F.conv(F.substring("h", 1, 3), 16, 10).cast("int")
     sums = stage(rows.groupBy("source", bucket.alias("b")).agg(F.sum("size").alias("s")), "bucket-sums")
     goal = targets(sums.groupBy("source").agg(F.sum("s").alias("source_size")), epochs)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -74,7 +74,7 @@ def plan(docs: DataFrame, epochs: int = 3, id_col: str = "doc_id", text_col: str
     edge = edge.groupBy("source", "h", "c_before", "c_part").agg(F.sum("size").alias("s"))
     edge = edge.withColumn("upto", F.col("c_before") + F.sum("s").over(Window.partitionBy("source").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)))
     last = edge.where(2 * F.col("upto") - F.col("s") <= 2 * F.col("c_part")).groupBy("source").agg(F.max("h").alias("last_h"))
-    bound = cut.select("c_source", F.concat(F.lpad(F.lower(F.hex(F.col("c_b"))), 4, "0")).alias("edge_h"))
+    bound = cut.select("c_source", F.concat(F.lpad(F.lower(F.hex(F.col("c_b"))), 3, "0")).alias("edge_h"))
     # Below the cut's bucket every hash is taken, also where none in the bucket is.
     made = (
         goal.join(bound, F.col("source").eqNullSafe(F.col("c_source")), "left")
