@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality
+from . import exact_dedup, mixing, packing, quality
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op7_mixing": mixing.op7_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
