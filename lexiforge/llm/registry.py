@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality
+from . import exact_dedup, mixing, packing, quality, token_files
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op5_token_files": token_files.op5_token_files,
     "op7_mixing": mixing.op7_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
