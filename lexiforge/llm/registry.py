@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality, token_files
+from . import exact_dedup, mixing, near_dedup, packing, quality, token_files
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_token_files": token_files.op5_token_files,
     "op7_mixing": mixing.op7_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_near_duplicates": near_dedup.op10_near_duplicates,
 }
 ORACLES = {
     "op7_mixing": mixing.ORACLE,
