@@ -1,8 +1,8 @@
 """MinHash near-duplicates: SuperMinHash signatures, banding, verification and components.
 
-Documents with the same shingle set are one class.  A class's SuperMinHash signature has 125 places
-in 25 bands of 5, so that two classes at the threshold of 0.85 share a band but for a chance of
-4e-7, and a pair that is alike more surely so.  links.py compares and verifies the members of each
+Documents with the same shingle set are one class.  A class's SuperMinHash signature has 125 places,
+in 25 bands of 5 for a threshold of 0.85 and 31 of 4 for 0.8: two classes at the threshold share a
+band but for a chance of less than 1e-6, and those more alike more surely so.  links.py compares and verifies the members of each
 band on their full sets; a document's component is all it can reach.
 
 Nulls: a null text has an empty set and no links.  A row without id belongs to the component of
@@ -26,7 +26,17 @@ from .common import slices, stage, texts_of
 from .links import link
 from .minhash import band_keys, prints, set_digests, shingle_sets, short_sets, superminhash
 
-PLACES, BANDS, ROWS = 125, 25, 5
+PLACES = 125
+
+
+def layout(num: int, den: int, miss: float = 1e-6) -> tuple[int, int]:
+    """(bands, rows): the most rows at which a pair at the threshold is missed with a chance of at
+    most ``miss``; the most bands that the places then make."""
+    s = num / den
+    fits = [r for r in range(1, PLACES + 1) if (1 - s**r) ** (PLACES // r) <= miss]
+    if not fits:
+        raise ValueError("the threshold is too low for the signature")
+    return PLACES // fits[-1], fits[-1]
 
 
 def _number(digest: Column) -> Column:
@@ -38,7 +48,7 @@ def _numbers(digests: list[bytes]) -> pa.Array:
     return pa.array([int.from_bytes(d[:8], "big") >> 4 for d in digests], pa.int64())
 
 
-def features(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def features(docs: DataFrame, id_col: str, text_col: str, width: int, bands_of: int, rows_of: int) -> DataFrame:
     """(doc_id, n, digest, fp, bands) of every document; bands is empty for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,9 +56,9 @@ def features(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
             values, bounds = shingle_sets(texts_of(part, "text"), width)
             sig = superminhash(values, bounds, PLACES)
             n = np.diff(bounds)
-            keys = band_keys(sig, BANDS, ROWS)
+            keys = band_keys(sig, bands_of, rows_of)
             some = n > 0
-            offsets = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
+            offsets = np.concatenate([[0], np.cumsum(np.where(some, bands_of, 0))]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel()))
             fp = pa.array([row.tobytes() for row in prints(sig)], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(set_digests(values, bounds), pa.binary()), fp, bands], ["doc_id", "n", "digest", "fp", "bands"])
@@ -58,7 +68,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    rows = stage(features(docs, id_col, text_col, width).withColumn("node", _number(F.col("digest"))), "features")
+    rows = stage(features(docs, id_col, text_col, width, *layout(num, den)).withColumn("node", _number(F.col("digest"))), "features")
     classes = stage(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).where("least is not null"), "classes")
     picked = rows.join(classes.withColumnRenamed("node", "c"), (F.col("node") == F.col("c")) & (F.col("doc_id") == F.col("least"))).select("node", "doc_id", "n", "fp", "bands")
     repeated = picked.groupBy("node").count().where("count > 1")
