@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup, packing, quality, token_files
+from . import exact_dedup, line_dedup, mixing, near_dedup, packing, quality, token_files
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,9 +10,11 @@ QUERIES = {
     "op5_token_files": token_files.op5_token_files,
     "op7_mixing": mixing.op7_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_near_duplicates": near_dedup.op10_near_duplicates,
 }
 ORACLES = {
+    "op9_line_dedup": line_dedup.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
