@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, line_dedup, mixing, near_dedup, packing, quality, token_files
+from . import exact_dedup, html_extract, line_dedup, mixing, near_dedup, packing, paragraph_dedup, quality, token_files
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_paragraph_dedup": paragraph_dedup.op3_paragraph_dedup,
     "op4_html_extraction": html_extract.op4_html_extraction,
     "op5_token_files": token_files.op5_token_files,
     "op7_mixing": mixing.op7_mixing,
