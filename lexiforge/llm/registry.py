@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, line_dedup, mixing, near_dedup, packing, paragraph_dedup, quality, token_files
+from . import exact_dedup, html_extract, line_dedup, mixing, near_dedup, packing, paragraph_dedup, quality, token_files, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_paragraph_dedup": paragraph_dedup.op3_paragraph_dedup,
     "op4_html_extraction": html_extract.op4_html_extraction,
     "op5_token_files": token_files.op5_token_files,
+    "op6_merkle_fixity": warc.op6_merkle_fixity,
     "op7_mixing": mixing.op7_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
