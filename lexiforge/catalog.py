@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+PLANS = ("retrieval",)
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}
 
@@ -24,13 +26,22 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def _load() -> None:
+    """Imports the modules that register queries."""
+    for name in PLANS:
+        importlib.import_module(f"{__package__}.plans.{name}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return _queries
 
 
 def oracles() -> dict[str, str]:
+    _load()
     return _oracles
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Scoped multi-query retrieval with rank fusion."""
+    return queries()["Q22_single_query_retrieve"](spark, sf_dir)
