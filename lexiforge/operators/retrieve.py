@@ -17,7 +17,11 @@ SCOPED_TIMES, WINDOW_CAP = 4, 200
 MAX_CHARS, MAX_TEXTS = 2000, 8
 NEIGHBOR_MIN, PRIMARY_RATIO = 120, 0.6
 #: Words by which a question asks for tables.
-TABLE_CUES = r"(?i)\b(table|tables|column|columns|row|rows|score|scores|value|values|figure|how many|how much|percent|percentage)\b|表|多少|数值|百分"
+TABLE_CUES = (
+    r"(?i)(table|bleu|sts|spearman|score|scores|exact\s*match|\bem\b|avg\.?|correlation|"
+    r"表|分数|准确率|相关系数|基准|benchmark|\.?(csv|tsv|xlsx?|xlsm)\b)"
+)
+
 
 def by_request():
     return Window.partitionBy("request_id")

@@ -289,7 +289,7 @@ def _cue(c: Column) -> Column:
     return R.wants_tables(c)
 
 
-@query("Q10_table_cue", r"SELECT conv_id, turn, regexp_matches(text, '(?i)\b(table|tables|column|columns|row|rows|score|scores|value|values|figure|how many|how much|percent|percentage)\b|表|多少|数值|百分') AS wants_tables FROM conversations")
+@query("Q10_table_cue", rf"SELECT conv_id, turn, regexp_matches(text, '{R.TABLE_CUES}') AS wants_tables FROM conversations")
 def q10(spark, d):
     return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", _cue(F.col("text")).alias("wants_tables"))
 
