@@ -37,12 +37,20 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def narrowed(df: DataFrame, shrink: int = 16) -> DataFrame:
+    """df in fewer partitions, for rows of a few ids: a shrink-th of the shuffle partitions, but two
+    tasks for each core at least.  Saves tiny files; does not shuffle."""
+    spark = df.sparkSession
+    few = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shrink)
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, few))
+
+
+def stage(df: DataFrame, name: str, shrink: int = 1) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends here, so the
     loss of an executor costs no more than the tasks since this point."""
     spark = df.sparkSession
     path = stage_path(spark, name)
-    df.write.parquet(path)
+    (narrowed(df, shrink) if shrink > 1 else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

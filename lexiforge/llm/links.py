@@ -2,16 +2,18 @@
 
 The input is one row per distinct set: node (long), n (its size), fp (a byte per signature place)
 and bands (a hash per band).  Two sets with a Jaccard index of at least num / den collide in some
-band but for a chance of about 1e-6 (see the callers' parameters).  The sets of a bucket are then
-linked so that every pair that is not connected already has been compared:
+band but for a chance that the callers state.  The sets of a bucket are then linked so that every
+pair that is not connected already has been compared:
 
 1. star: each member with the bucket's least node; verified links give components;
-2. rest: in buckets of three or more that still hold several components, members are compared in
-   blocks by their fingerprints.  Only pairs from different components pass on, and only if the
-   fingerprint estimate and the sizes allow the threshold; they are verified like the others.
-
-A pair is verified on the full sets.  Large buckets are cut into blocks of BLOCK members; a task
-takes two blocks at a time, never a whole bucket, and blocks within one component are skipped.
+2. rest: the members of buckets of three or more that still hold several components are dealt into
+   blocks of about BLOCK, by the least node that they share such a bucket with, which keeps a group
+   of near copies together.  Blocks that meet in any of these
+   buckets, whichever band it is of, form one tile.  A task takes one tile, compares what belongs to
+   different components, on fingerprints first and then on the full sets, and returns the links
+   that connect components: fewer than it has rows.  Tiles within one component are skipped.
+
+So no pair is written out before it is known to be a link, and no task takes a whole bucket.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from .common import stage
 from .components import components
 from .minhash import common_shingles, set_numbers
 
-BLOCK = 256
+#: Nodes and shingles to a block, about; a task holds two blocks.
+BLOCK, BLOCK_SHINGLES = 384, 1_000_000
 
 
 def least_matches(places: int, num: int, den: int, sigmas: float = 5.3) -> int:
@@ -55,9 +58,9 @@ def _prefiltered(pairs: DataFrame, nodes: DataFrame, num: int, den: int, places:
 
 def verified(pairs: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, places: int) -> DataFrame:
     """The pairs (a, b) with den * |A and B| >= num * |A or B| on the full sets."""
-    maybe = stage(_prefiltered(pairs, nodes, num, den, places), "maybe")
+    maybe = stage(_prefiltered(pairs, nodes, num, den, places), "maybe", 16)
     wanted = maybe.select(F.col("a").alias("node")).unionByName(maybe.select(F.col("b").alias("node"))).distinct()
-    sets = stage(sets_of(wanted), "sets")
+    sets = stage(sets_of(wanted), "sets", 4)
     wide = maybe.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,40 +79,93 @@ def verified(pairs: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame],
     return wide.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def _rest_pairs(members: DataFrame, num: int, den: int, places: int) -> DataFrame:
-    """members (key, node, label, n, fp, main, size, others) of unsettled buckets to the pairs still to
-    verify; main: of the pivot's component; others: how many are not."""
+def _joined(find: dict[int, int], x: int) -> int:
+    while find.setdefault(x, x) != x:
+        find[x] = find[find[x]]
+        x = find[x]
+    return x
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """|A and B| of all pairs of sets, by one product over the shingles that two sets or more have."""
+    every, code = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(code, minlength=len(every)) > 1
+    place = np.cumsum(often) - 1
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    keep = often[code]
+    owner, column = owner[keep], place[code[keep]]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    width = 8192
+    for low in range(0, int(often.sum()), width):
+        s, e = np.searchsorted(column, [low, low + width])
+        has = np.zeros((len(sets), width), np.float32)
+        has[owner[s:e], column[s:e] - low] = 1
+        total += has @ has.T
+    return total.astype(np.int64)
+
+
+def tile_links(node: np.ndarray, label: np.ndarray, n: np.ndarray, fp: np.ndarray, raw: list[bytes], low: np.ndarray, num: int, den: int, need: int) -> list[tuple[int, int]]:
+    """Links between the rows of a tile that connect its components.  low: the row is of the first
+    block; with two blocks only pairs across them count."""
+    left, right = np.flatnonzero(low), np.flatnonzero(~low)
+    same = not len(right)
+    right = left if same else right
+    maybe_i, maybe_j = [], []
+    for i in left:
+        js = right[(label[right] != label[i]) & (den * np.minimum(n[right], n[i]) >= num * np.maximum(n[right], n[i]))]
+        js = js[js > i] if same else js
+        if len(js):
+            js = js[(fp[js] == fp[i]).sum(axis=1) >= need]
+            maybe_i.append(np.full(len(js), i))
+            maybe_j.append(js)
+    if not maybe_i:
+        return []
+    i, j = np.concatenate(maybe_i), np.concatenate(maybe_j)
+    if not len(i):
+        return []
+    used = np.unique(np.concatenate([i, j]))
+    at = np.searchsorted(used, np.stack([i, j]))
+    sets = [set_numbers(raw[k]) for k in used]
+    both = np.array([common_shingles(sets[x], sets[y]) for x, y in at.T]) if len(i) <= 2 * len(used) else _common(sets)[at[0], at[1]]
+    good = den * both >= num * (n[i] + n[j] - both)
+    links, find = [], {}
+    for x, y in zip(i[good].tolist(), j[good].tolist(), strict=True):
+        a, b = _joined(find, int(label[x])), _joined(find, int(label[y]))
+        if a != b:
+            find[a] = b
+            links.append((int(min(node[x], node[y])), int(max(node[x], node[y]))))
+    return links
+
+
+def _rest_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, places: int) -> DataFrame:
+    """members (key, node, label, main, pivot) of unsettled buckets to links (a, b)."""
     need = least_matches(places, num, den)
-    # The pivot's component, mostly the largest, has blocks of its own: they need not meet each other.
-    spread = F.xxhash64("node")
-    block = F.when(F.col("main"), F.pmod(spread, F.ceil(F.col("size") / BLOCK))).otherwise(-1 - F.pmod(spread, F.ceil(F.col("others") / BLOCK)))
-    placed = members.withColumn("block", block.cast("int"))
-    spans = placed.groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    x, y = (spans.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "low", "high"))) for s in "xy")
-    tiles = x.join(y, "key").where("block_x <= block_y and not (low_x = high_x and low_y = high_y and low_x = low_y)").select("key", "block_x", "block_y")
-    sides = tiles.select("key", F.col("block_x").alias("block"), "block_x", "block_y").unionByName(tiles.where("block_x < block_y").select("key", F.col("block_y").alias("block"), "block_x", "block_y"))
-    rows = placed.join(sides, ["key", "block"]).select("key", "block_x", "block_y", "block", "node", "label", "n", "fp")
+    home = members.groupBy("node").agg(F.min("pivot").alias("home"), F.min("label").alias("label"), F.bool_or("main").alias("main"))
+    home = stage(home.join(nodes.select("node", "n"), "node"), "homes", 16)
+    counts = home.groupBy("home", "main").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("slots"))
+    slot = F.pmod(F.xxhash64("node", "label"), F.col("slots"))
+    placed = home.join(counts, ["home", "main"]).select("node", "label", F.xxhash64("home", "main", slot).alias("block"))
+    placed = stage(placed, "placed", 16)
+    spans = placed.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    met = members.select("key", "node").join(placed.select("node", "block"), "node").select("key", "block").distinct()
+    met = stage(met.join(spans, "block"), "met", 16)
+    x, y = (met.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "low", "high"))) for s in "xy")
+    tiles = x.join(y, "key").where("block_x <= block_y and not (low_x = high_x and low_y = high_y and low_x = low_y)").select("block_x", "block_y").distinct()
+    tiles = stage(tiles, "tiles", 16)
+    sides = tiles.select(F.col("block_x").alias("block"), "block_x", "block_y").unionByName(tiles.where("block_x < block_y").select(F.col("block_y").alias("block"), "block_x", "block_y"))
+    filled = placed.join(nodes.select("node", "n", "fp"), "node").join(sets_of(placed.select("node")), "node")
+    rows = stage(filled, "filled", 4).join(sides, "block").select("block_x", "block_y", "block", "node", "label", "n", "fp", "set")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node", ignore_index=True)
         fp = np.frombuffer(b"".join(pdf["fp"]), np.uint8).reshape(-1, places)
-        n, label, node, block = (pdf[c].to_numpy() for c in ("n", "label", "node", "block"))
-        low = block == pdf["block_x"].iloc[0]
-        left, right = np.flatnonzero(low), np.flatnonzero(~low)
-        same = not len(right)
-        right = left if same else right
-        found = []
-        for i in left:
-            js = right[(label[right] != label[i]) & (den * np.minimum(n[right], n[i]) >= num * np.maximum(n[right], n[i]))]
-            js = js[js > i] if same else js
-            if len(js):
-                js = js[(fp[js] == fp[i]).sum(axis=1) >= need]
-                found.append((np.full(len(js), node[i]), node[js]))
-        if not found:
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        u, v = (np.concatenate(c) for c in zip(*found, strict=True))
-        return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)})
-
-    return rows.groupBy("key", "block_x", "block_y").applyInPandas(run, "a long, b long").distinct()
+        low = (pdf["block"] == pdf["block_x"]).to_numpy()
+        got = tile_links(pdf["node"].to_numpy(), pdf["label"].to_numpy(), pdf["n"].to_numpy(), fp, pdf["set"].tolist(), low, num, den, need)
+        return pd.DataFrame(got, columns=["a", "b"]).astype("int64")
+
+    return rows.groupBy("block_x", "block_y").applyInPandas(run, "a long, b long")
 
 
 def link(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, places: int) -> tuple[DataFrame, DataFrame]:
@@ -117,22 +173,20 @@ def link(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int,
     node that has one.  nodes: (node, n, fp, bands), staged."""
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     # Spark may split either side where one key is hot.
-    buckets = stage(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
+    buckets = stage(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets", 16)
     star = keyed.join(buckets, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    edges = stage(verified(star, nodes, sets_of, num, den, places), "star-links")
-    labels = stage(components(edges), "labels")
+    edges = stage(verified(star, nodes, sets_of, num, den, places), "star-links", 16)
+    labels = stage(components(edges), "labels", 16)
     large = buckets.where("size > 2").join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("main_label")), "pivot", "left")
     large = large.select("key", "pivot", "size", F.coalesce("main_label", "pivot").alias("main_label"))
     # The pivot has been compared with all others.
-    members = keyed.join(large, "key").where("node <> pivot").join(labels, "node", "left")
-    members = stage(members.select("key", "node", F.coalesce("label", "node").alias("label"), "main_label", "size"), "members")
-    unsettled = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count_if(F.col("label") != F.col("main_label")).alias("others")).where("low <> high").select("key", "others")
-    rest = members.join(unsettled, "key").join(nodes.select("node", "n", "fp"), "node")
-    rest = rest.withColumn("main", F.col("label") == F.col("main_label"))
-    pairs = stage(_rest_pairs(rest, num, den, places), "rest-pairs")
-    if not pairs.isEmpty():
-        more = stage(verified(pairs, nodes, sets_of, num, den, places), "rest-links")
+    members = keyed.join(large, "key").where("node <> pivot").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members = stage(members.select("key", "node", "label", (F.col("label") == F.col("main_label")).alias("main"), "pivot"), "members", 16)
+    unsettled = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    rest = stage(members.join(unsettled, "key", "left_semi"), "unsettled", 16)
+    if not rest.isEmpty():
+        more = stage(_rest_links(rest, nodes, sets_of, num, den, places), "rest-links", 16)
         edges = edges.unionByName(more)
         if not more.isEmpty():
-            labels = stage(components(edges), "labels")
+            labels = stage(components(edges), "labels", 16)
     return edges, labels

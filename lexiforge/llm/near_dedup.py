@@ -22,11 +22,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage, texts_of
+from .common import broadcast_if_small, narrowed, slices, stage, texts_of
 from .links import link
 from .minhash import band_keys, prints, set_digests, shingle_sets, short_sets, superminhash
 
 PLACES = 125
+#: Wanted nodes (16 bytes each) up to which they are broadcast to the texts.
+MAX_BROADCAST_NODES = 1_000_000
 
 
 def layout(num: int, den: int, miss: float = 1e-6) -> tuple[int, int]:
@@ -69,10 +71,10 @@ def features(docs: DataFrame, id_col: str, text_col: str, width: int, bands_of:
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     rows = stage(features(docs, id_col, text_col, width, *layout(num, den)).withColumn("node", _number(F.col("digest"))), "features")
-    classes = stage(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).where("least is not null"), "classes")
+    classes = stage(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).where("least is not null"), "classes", 16)
     picked = rows.join(classes.withColumnRenamed("node", "c"), (F.col("node") == F.col("c")) & (F.col("doc_id") == F.col("least"))).select("node", "doc_id", "n", "fp", "bands")
     repeated = picked.groupBy("node").count().where("count > 1")
-    nodes = stage(picked if repeated.isEmpty() else picked.dropDuplicates(["node"]), "nodes")
+    nodes = stage(picked if repeated.isEmpty() else picked.dropDuplicates(["node"]), "nodes", 4)
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +84,8 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, width: int =
                 got = _numbers(set_digests(values, bounds))
                 yield pa.RecordBatch.from_arrays([part.column("node"), short_sets(values, bounds)], ["node", "set"]).filter(pc.equal(part.column("node"), got))
 
-        named = wanted.join(nodes.select("node", F.col("doc_id").alias("id")), "node")
+        named = stage(wanted.join(nodes.select("node", F.col("doc_id").alias("id")), "node"), "wanted", 16)
+        named = broadcast_if_small(named, named.count(), MAX_BROADCAST_NODES)
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         sets = texts.join(named, "id").select("node", "text").mapInArrow(run, "node long, set binary")
         return sets if repeated.isEmpty() else sets.dropDuplicates(["node"])
@@ -90,11 +93,11 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, width: int =
     _, labels = link(nodes, sets_of, num, den, PLACES)
     reached = classes.join(labels, "node")
     least = reached.groupBy("label").agg(F.min("least").alias("component"))
-    joined = stage(reached.join(least, "label").select(F.col("node").alias("l_node"), "component"), "joined")
+    joined = stage(reached.join(least, "label").select(F.col("node").alias("l_node"), "component"), "joined", 16)
     named = classes.join(joined, F.col("node") == F.col("l_node"), "left").select(F.col("node").alias("c_node"), F.coalesce("component", "least").alias("component"))
     out = rows.select("doc_id", "node", "n").join(named, F.col("node") == F.col("c_node"), "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return narrowed(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept")))
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

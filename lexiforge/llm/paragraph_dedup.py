@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, split_words, stage, texts_of
+from .common import narrowed, slices, split_words, stage, texts_of
 from .links import link
 from .minhash import band_keys, minhash, prints, set_digests, shingle_sets, short_sets
 
@@ -79,17 +79,17 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     first_doc_id, first_paragraph (the one that stays), cluster_size, removed."""
     found = stage(paragraphs(docs, id_col, text_col, min_words), "paragraphs")
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "paragraph")
-    classes = stage(found.groupBy("node").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("size")), "paragraph-classes")
+    classes = stage(found.groupBy("node").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("size")), "paragraph-classes", 16)
     at = classes.select(F.col("node").alias("c_node"), F.col("first.doc_id").alias("c_doc"), F.col("first.paragraph").alias("c_paragraph"))
     nodes = found.join(at, (F.col("node") == F.col("c_node")) & F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("paragraph") == F.col("c_paragraph")))
-    nodes = stage(nodes.select("node", "n", "fp", "bands", "set").dropDuplicates(["node"]), "paragraph-nodes")
+    nodes = stage(nodes.select("node", "n", "fp", "bands", "set").dropDuplicates(["node"]), "paragraph-nodes", 4)
     _, labels = link(nodes.select("node", "n", "fp", "bands"), lambda wanted: nodes.select("node", "set").join(wanted, "node"), NUM, DEN, PRINTS)
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     clusters = named.groupBy("label").agg(F.min("first").alias("first"), F.sum("size").alias("cluster_size")).where("cluster_size > 1")
-    members = stage(named.select(F.col("node").alias("m_node"), "label").join(clusters, "label").drop("label"), "paragraph-clusters")
+    members = stage(named.select(F.col("node").alias("m_node"), "label").join(clusters, "label").drop("label"), "paragraph-clusters", 16)
     out = found.select("doc_id", "paragraph", "start", "n_words", "node").join(members, F.col("node") == F.col("m_node"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("paragraph") == F.col("first.paragraph"))
-    return out.select("doc_id", "paragraph", "start", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"), "cluster_size", (~stays).alias("removed"))
+    return narrowed(out.select("doc_id", "paragraph", "start", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"), "cluster_size", (~stays).alias("removed")))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
