@@ -380,3 +380,24 @@ def r12(spark, d):
 def r13(spark, d):
     text = F.when(F.col("type") == "table", F.substring("text", 1, 4000)).when(F.col("type").isin("formula", "figure"), F.concat(F.lit("["), F.col("type"), F.lit("] "), F.col("text"))).otherwise(F.col("text"))
     return elements(spark, d).select("document_id", "ordinal", text.alias("search_text"))
+
+
+@query("P1_docx_page_alignment", "WITH l AS (SELECT doc_id AS document_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS ordinal, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM documents) SELECT document_id, count(*) AS n FROM l WHERE trim(text) <> '' GROUP BY 1")
+def p1(spark, d):
+    """The source's units are the same lines with a page for every four: all are found in order."""
+    from ..operators.alignment import align
+
+    rows = lines(spark, d)
+    out = align(rows, rows.withColumn("page", F.floor(F.col("ordinal") / 4) + 1)).join(rows, ["document_id", "ordinal"])
+    good = out.where("trim(text) <> '' and accepted")
+    return good.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("J9_forward_cursor_alignment")
+def j9(spark, d):
+    """Every fifth unit is missing: its element keeps the page before.  A cursor has no SQL twin."""
+    from ..operators.alignment import align
+
+    rows = lines(spark, d)
+    units = rows.where("ordinal % 5 <> 4").withColumn("page", F.floor(F.col("ordinal") / 4) + 1)
+    return align(rows, units)
