@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ("retrieval", "elements", "state", "evaluation", "chunks", "routing", "building", "live")
+PLANS = ("retrieval", "elements", "state", "evaluation", "chunks", "routing", "building", "live", "publication")
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}
 

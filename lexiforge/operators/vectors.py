@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 DIMENSIONS = 64
 #: Vectors to a block of the search; a task multiplies one block of queries by one of vectors.
@@ -30,13 +33,22 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def hashed_bow(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """The default embedder: counts of words by hash bucket (CRC-32), of unit length; zeros for no words."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9]+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.pmod(F.crc32(w), F.lit(dimensions)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
-    n = norm(counts)
-    return F.transform(counts, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
+def bow_vector(text: str | None, dimensions: int = DIMENSIONS) -> list[float]:
+    """Counts of words by CRC-32 bucket, of unit length; zeros for no words."""
+    slots = [zlib.crc32(w.encode()) % dimensions for w in re.findall(r"[a-z0-9]+", (text or "").lower())]
+    counts = np.bincount(slots, minlength=dimensions).astype(float) if slots else np.zeros(dimensions)
+    length = float(np.sqrt(counts @ counts))
+    return (counts / length if length else counts).tolist()
+
+
+def hashed_bow(text: Column) -> Column:
+    """The default embedder, in Arrow batches; a real model has the same signature."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def embed(texts: pd.Series) -> pd.Series:
+        return texts.map(bow_vector)
+
+    return embed(text)
 
 
 def _blocks(df: DataFrame, side: str) -> DataFrame:
