@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stage, texts_of
-from .tokens import default_path, encoder
+from .tokens import MAX_PIECES, default_path, encoder
 
 CAPACITY = 2048
 #: Pieces to a group, about; groups to a second-level group.
@@ -168,14 +168,14 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> tuple[np.ndarray, np.n
     return bin_of, offset, full
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0, capacity: int = CAPACITY, max_pieces: int = MAX_PIECES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, salt): each document's ids cut into pieces."""
     path = tokenizer or default_path()
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen = encoder(path), 0
-        for part in slices(batches, "text"):
+        encode, seen = encoder(path, max_pieces), 0
+        for part in slices(batches, "text", 8 << 20):
             ids, bounds = encode.encode(texts_of(part, "text"), end_id)
             rows, piece, start, length, crc = [], [], [], [], []
             raw = ids.astype("<u4", copy=False)

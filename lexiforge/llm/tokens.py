@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import sys
 import types
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,10 @@ from .common import ranges, split_words
 ENDINGS, BEFORE = ".,;:!?", r"[0-9A-Za-zÀ-ÖØ-öø-ɏ]$"
 
 
+#: Pieces that a worker remembers, about 200 bytes each.
+MAX_PIECES = 1_200_000
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -32,9 +37,9 @@ def default_path() -> str:
 
 
 class Encoder:
-    """Encodes arrays of texts; remembers the ids of at most max_pieces pieces."""
+    """Encodes arrays of texts; remembers the ids of about max_pieces pieces."""
 
-    def __init__(self, path: str, max_pieces: int = 1_000_000):
+    def __init__(self, path: str, max_pieces: int = MAX_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -50,7 +55,7 @@ class Encoder:
     def _learn(self, pieces: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         self.ids[self.used : self.used + len(flat)] = flat
@@ -63,14 +68,17 @@ class Encoder:
         """Where the ids of each part are; parts not known yet are learned."""
         coded = parts.dictionary_encode()
         names = coded.dictionary.to_pylist()
-        new = [p for p in names if p not in self.known]
+        found = list(map(self.known.get, names))
+        new = [p for p, k in zip(names, found, strict=True) if k is None]
         if new:
+            fresh = iter(range(len(self.known), len(self.known) + len(new)))
+            found = [next(fresh) if k is None else k for k in found]
             self._learn(new)
-        return np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy(zero_copy_only=False)]
+        return np.array(found, np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
 
     def _pieces(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all pieces in order, starts, counts)."""
-        if len(self.known) + 2 * len(distinct) > self.max_pieces:
+        if len(self.known) > self.max_pieces:
             self._forget()
         special = pc.match_substring(distinct, "<|")
         lowered = pc.if_else(pc.and_not(pc.string_is_ascii(distinct), special), pc.ascii_lower(distinct), distinct)
@@ -106,9 +114,9 @@ class Encoder:
         return out, bounds
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, max_pieces: int = MAX_PIECES) -> Encoder:
     """This process's encoder for path; later tasks of the same worker use it again."""
     held = sys.modules.setdefault("_lexiforge_held", types.ModuleType("_lexiforge_held"))
-    if getattr(held, "path", None) != path:
-        held.path, held.encoder = path, Encoder(path)
+    if getattr(held, "key", None) != (path, max_pieces):
+        held.key, held.encoder = (path, max_pieces), Encoder(path, max_pieces)
     return held.encoder
