@@ -44,15 +44,15 @@ def x3(spark, d):
     return T.turns(events(spark, d)).select("turn_id", "answer", "calls", "resets", "state")
 
 
-@query("X4_partial_answer", "SELECT conv_id, turn, left(text, 40) AS answer FROM conversations WHERE position('\\' IN text) = 0 AND position('\"' IN text) = 0")
+@query("X4_partial_answer", "SELECT conv_id, turn, text AS answer FROM conversations WHERE position('\\' IN text) = 0 AND position('\"' IN text) = 0")
 def x4(spark, d):
-    """A JSON answer that was cut off in its text's 41st character: what has come so far."""
+    """A JSON answer whose string has not been closed yet: what has come so far."""
     @F.pandas_udf("string")
     def partial(raw: pd.Series) -> pd.Series:
         return raw.map(T.partial_answer)
 
     rows = spark.read.parquet(f"{d}/conversations.parquet").where(~F.contains("text", F.lit("\\")) & ~F.contains("text", F.lit('"')))
-    return rows.select("conv_id", "turn", partial(F.concat(F.lit('{"blocks": [], "answer": "'), F.left("text", F.lit(40)))).alias("answer"))
+    return rows.select("conv_id", "turn", partial(F.concat(F.lit('{"blocks": [], "answer": "'), "text")).alias("answer"))
 
 
 @query("X5_tool_call_assembly", "SELECT l_orderkey AS turn_id, l_returnflag AS part_of, string_agg(l_partkey::VARCHAR, '' ORDER BY l_linenumber, l_partkey) AS arguments FROM lineitem GROUP BY 1, 2")

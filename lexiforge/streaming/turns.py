@@ -63,9 +63,10 @@ def turns(events: DataFrame) -> DataFrame:
     return events.select("turn_id", "seq", "event", "data").groupBy("turn_id").applyInPandas(run, TURN)
 
 
-def stream_turns(events: DataFrame) -> DataFrame:
-    """Stream: the same fold as state per turn; a turn is sent on when it ends, or when it has been
-    idle for PING_S seconds (state: open)."""
+def stream_turns(events: DataFrame, ping: bool = True) -> DataFrame:
+    """Stream: the same fold as state per turn; a turn is sent on when it ends, and with ping also
+    whenever it has been idle for PING_S seconds (state: open).  Without ping a query over what is
+    available now can end."""
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -79,11 +80,12 @@ def stream_turns(events: DataFrame) -> DataFrame:
         for event, data in rows[["event", "data"]].itertuples(index=False):
             turn = reduce_turn(turn, event, data or "")
         state.update(tuple(turn.values()))
-        state.setTimeoutDuration(PING_S * 1000)
+        if ping:
+            state.setTimeoutDuration(PING_S * 1000)
         if was_open and turn["state"] != "open":
             yield pd.DataFrame([{"turn_id": key[0], **turn}])
 
-    return events.groupBy("turn_id").applyInPandasWithState(step, TURN, "answer string, calls int, results int, resets int, state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("turn_id").applyInPandasWithState(step, TURN, "answer string, calls int, results int, resets int, state string", "append", GroupStateTimeout.ProcessingTimeTimeout if ping else GroupStateTimeout.NoTimeout)
 
 
 def partial_answer(raw: str) -> str:

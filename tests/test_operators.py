@@ -176,7 +176,7 @@ def test_stream_equals_batch(spark, tmp_path):
     src, kinds = events(spark, SMALL), F.col("event")
     ended = src.withColumn("event", F.when(F.col("seq") % 97 == 0, "turn_end").otherwise(kinds))
     ended.write.parquet(f"{tmp_path}/in")
-    stream = turns.stream_turns(spark.readStream.schema(ended.schema).parquet(f"{tmp_path}/in"))
+    stream = turns.stream_turns(spark.readStream.schema(ended.schema).parquet(f"{tmp_path}/in"), ping=False)
     q = stream.writeStream.format("memory").queryName("turns_out").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
     q.awaitTermination()
     done = sorted(map(tuple, spark.table("turns_out").collect()))
