@@ -26,6 +26,11 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def as_int(column: str, sql: str) -> str:
+    """sql with one column cast to INT: ranks are INT in Spark and BIGINT in DuckDB."""
+    return f"SELECT * REPLACE ({column}::INT AS {column}) FROM ({sql})"
+
+
 def _load() -> None:
     """Imports the modules that register queries."""
     for name in PLANS:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..catalog import as_int, query
 from ..operators import snapshot as N
 from ..operators.elements import tokens
 from ..operators.vectors import hashed_bow
@@ -140,7 +140,7 @@ def q20(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.coalesce("event_type", F.lit("")).alias("kind"), F.coalesce(parsed["k"], F.lit(0)).alias("k"))
 
 
-@query("Q9_lexical_rerank", "WITH p AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS w FROM benchmark), x AS (SELECT a.item_id AS q, b.item_id AS c, round(len(list_intersect(a.w, b.w)) / len(a.w), 6) AS score FROM p a, p b WHERE a.item_id % 20 = 0) SELECT * FROM (SELECT q, c, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS place FROM x) WHERE place <= 5")
+@query("Q9_lexical_rerank", as_int("place", "WITH p AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS w FROM benchmark), x AS (SELECT a.item_id AS q, b.item_id AS c, round(len(list_intersect(a.w, b.w)) / len(a.w), 6) AS score FROM p a, p b WHERE a.item_id % 20 = 0) SELECT * FROM (SELECT q, c, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS place FROM x) WHERE place <= 5"))
 def q9(spark, d):
     """Token overlap, the default scorer: shared words of question and passage over the question's."""
     from pyspark.sql import Window
@@ -233,7 +233,7 @@ def v2(spark, d):
     return spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.concat(F.lit("Instruct: find\nQuery: "), "text").alias("prompt"))
 
 
-@query("V3_token_budget_batches", "WITH t AS (SELECT item_id, greatest(1, length(text) // 4) AS n FROM benchmark) SELECT item_id, sum(n) OVER (ORDER BY n, item_id ROWS UNBOUNDED PRECEDING) // 512 AS batch FROM t")
+@query("V3_token_budget_batches", "WITH t AS (SELECT item_id, greatest(1, length(text) // 4) AS n FROM benchmark) SELECT item_id, sum(n) OVER (ORDER BY n, item_id ROWS UNBOUNDED PRECEDING)::BIGINT // 512 AS batch FROM t")
 def v3(spark, d):
     """Length-sorted batches of about 512 tokens (the benchmark table is small)."""
     from pyspark.sql import Window

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..catalog import as_int, query
 from ..operators import chunks as C
 from ..operators import elements as E
 from .elements import EL, elements
@@ -153,7 +153,7 @@ def c16(spark, d):
     return elements(spark, d).select("document_id", "ordinal", C.chunk_id(F.col("document_id"), F.lit("r1"), F.lit("prose"), ids, F.lit(-1), F.col("text")).alias("chunk_id"))
 
 
-@query("C17_reading_order_merge", _el(" SELECT document_id, ordinal, row_number() OVER (PARTITION BY document_id ORDER BY ordinal + (type IN ('paragraph', 'list_item'))::INT, (type NOT IN ('paragraph', 'list_item'))::INT, ordinal) AS place FROM el"))
+@query("C17_reading_order_merge", as_int("place", _el(" SELECT document_id, ordinal, row_number() OVER (PARTITION BY document_id ORDER BY ordinal + (type IN ('paragraph', 'list_item'))::INT, (type NOT IN ('paragraph', 'list_item'))::INT, ordinal) AS place FROM el")))
 def c17(spark, d):
     """Prose is keyed by the 1-based digits of its element id, structure by its 0-based ordinal."""
     rows = elements(spark, d)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..catalog import as_int, query
 from ..operators import evaluate as V
 
 
@@ -255,7 +255,7 @@ def k11(spark, d):
     return _delta(spark, d).select(F.concat("metric", F.lit(": "), show("before"), F.lit(" -> "), show("now")).alias("line"))
 
 
-@query("S15_question_reader", "SELECT item_id, row_number() OVER (ORDER BY item_id) AS idx, length(text) AS chars FROM benchmark WHERE text IS NOT NULL AND trim(text) <> ''")
+@query("S15_question_reader", as_int("idx", "SELECT item_id, row_number() OVER (ORDER BY item_id) AS idx, length(text) AS chars FROM benchmark WHERE text IS NOT NULL AND trim(text) <> ''"))
 def s15(spark, d):
     rows = spark.read.parquet(f"{d}/benchmark.parquet").where("text is not null and trim(text) <> ''")
     return rows.select("item_id", F.row_number().over(Window.orderBy("item_id")).alias("idx"), F.length("text").cast("long").alias("chars"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..catalog import as_int, query
 from ..operators import retrieve as R
 from ..operators.vectors import hashed_bow, norm, normalized, top_k
 
@@ -93,7 +93,7 @@ pool AS (SELECT f.request_id, f.chunk_id, f.best_score AS score, f.fused_rank AS
 """
 
 
-@query("Q2_dense_top_k", _with("x AS (SELECT 1) SELECT request_id, channel, rank, chunk_id, score FROM ch", fused=False))
+@query("Q2_dense_top_k", as_int("rank", _with("x AS (SELECT 1) SELECT request_id, channel, rank, chunk_id, score FROM ch", fused=False)))
 def q2(spark, d):
     return channels(spark, d)
 
@@ -103,7 +103,7 @@ def j12(spark, d):
     return channels(spark, d).groupBy("request_id", "channel").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"), F.min("score").alias("worst"))
 
 
-@query("L1_top_k_per_query", _with("x AS (SELECT 1) SELECT request_id, rank, chunk_id, score FROM ch WHERE channel = 0 AND rank <= 3", fused=False))
+@query("L1_top_k_per_query", as_int("rank", _with("x AS (SELECT 1) SELECT request_id, rank, chunk_id, score FROM ch WHERE channel = 0 AND rank <= 3", fused=False)))
 def l1(spark, d):
     return channels(spark, d, 3).where("channel = 0").drop("channel")
 
@@ -115,7 +115,7 @@ def q3(spark, d):
     return e.select(k.alias("request_id"), R.window_size(k % 60, F.lit(R.FINAL_K), k % 40 == 20).cast("long").alias("window_k"))
 
 
-@query("Q4_rank_fusion", _with("x AS (SELECT 1) SELECT * FROM fused"))
+@query("Q4_rank_fusion", as_int("fused_rank", _with("x AS (SELECT 1) SELECT * FROM fused")))
 def q4(spark, d):
     return R.fuse(channels(spark, d))
 
@@ -125,7 +125,7 @@ def a12(spark, d):
     return channels(spark, d).groupBy("request_id").agg(F.round(F.sum(1.0 / (R.RRF_K + F.col("rank"))), 9).alias("total"))
 
 
-@query("W11_rank_in_channel", _with("x AS (SELECT 1) SELECT request_id, channel, chunk_id, rank, rank = 1 AS leads FROM ch", fused=False))
+@query("W11_rank_in_channel", as_int("rank", _with("x AS (SELECT 1) SELECT request_id, channel, chunk_id, rank, rank = 1 AS leads FROM ch", fused=False)))
 def w11(spark, d):
     return channels(spark, d).select("request_id", "channel", "chunk_id", "rank", (F.col("rank") == 1).alias("leads"))
 
@@ -195,27 +195,27 @@ _SLOT = """s AS (SELECT *, CASE WHEN chunk_type LIKE 'table%' THEN 'table:' || t
 """
 
 
-@query("W13_first_appearance_rank", _with(ORACLE_POOL + _SLOT + "f AS (SELECT request_id, slot, min(pos) AS p FROM s GROUP BY 1, 2) SELECT request_id, slot, row_number() OVER (PARTITION BY request_id ORDER BY p) AS slot_no FROM f", meta=True))
+@query("W13_first_appearance_rank", as_int("slot_no", _with(ORACLE_POOL + _SLOT + "f AS (SELECT request_id, slot, min(pos) AS p FROM s GROUP BY 1, 2) SELECT request_id, slot, row_number() OVER (PARTITION BY request_id ORDER BY p) AS slot_no FROM f", meta=True)))
 def w13(spark, d):
     rows = pool(spark, d).withColumn("slot", R.slot_key()).groupBy("request_id", "slot").agg(F.min("pos").alias("p"))
     return rows.select("request_id", "slot", F.dense_rank().over(R.by_request().orderBy("p")).alias("slot_no"))
 
 
-@query("Q13_diversity_collapse", _with(ORACLE_POOL + _SLOT + """f AS (SELECT request_id, slot, min(pos) AS p FROM s GROUP BY 1, 2),
+@query("Q13_diversity_collapse", as_int("slot_no", _with(ORACLE_POOL + _SLOT + """f AS (SELECT request_id, slot, min(pos) AS p FROM s GROUP BY 1, 2),
 o AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY p) AS slot_no FROM f),
 stop AS (SELECT request_id, max(p) FILTER (WHERE slot_no = 5) AS at FROM o GROUP BY 1),
 head AS (SELECT s.request_id, o.slot, o.slot_no, s.chunk_id, s.chunk_type, s.score FROM o JOIN s ON s.request_id = o.request_id AND s.slot = o.slot AND s.pos = o.p WHERE slot_no <= 5),
 pk AS (SELECT h.request_id, h.slot, arg_min(s.chunk_id, s.pos) AS chunk_id, arg_min(s.score, s.pos) AS score FROM head h JOIN s ON s.request_id = h.request_id AND s.slot = h.slot JOIN stop t ON t.request_id = h.request_id
        WHERE h.chunk_type = 'table_summary' AND s.chunk_type = 'table_pack' AND (t.at IS NULL OR s.pos < t.at) GROUP BY 1, 2)
-SELECT h.request_id, h.slot_no, coalesce(pk.chunk_id, h.chunk_id) AS chunk_id, coalesce(pk.score, h.score) AS score FROM head h LEFT JOIN pk ON pk.request_id = h.request_id AND pk.slot = h.slot""", meta=True))
+SELECT h.request_id, h.slot_no, coalesce(pk.chunk_id, h.chunk_id) AS chunk_id, coalesce(pk.score, h.score) AS score FROM head h LEFT JOIN pk ON pk.request_id = h.request_id AND pk.slot = h.slot""", meta=True)))
 def q13(spark, d):
     return R.diversify(pool(spark, d)).select("request_id", "slot_no", "chunk_id", "score")
 
 
-@query("Q14_dense_top_insurance", _with(ORACLE_POOL + """sel AS (SELECT request_id, chunk_id, pos + 1 AS place FROM pool WHERE pos BETWEEN 2 AND 6),
+@query("Q14_dense_top_insurance", as_int("position", _with(ORACLE_POOL + """sel AS (SELECT request_id, chunk_id, pos + 1 AS place FROM pool WHERE pos BETWEEN 2 AND 6),
 top AS (SELECT request_id, chunk_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, pos) AS r FROM pool),
 u AS (SELECT request_id, chunk_id, place FROM sel UNION ALL SELECT request_id, chunk_id, 0 FROM top WHERE r = 1 AND (request_id, chunk_id) NOT IN (SELECT request_id, chunk_id FROM sel))
-SELECT * FROM (SELECT request_id, chunk_id, row_number() OVER (PARTITION BY request_id ORDER BY place) AS position, place = 0 AS insured FROM u) WHERE position <= 5""", meta=True))
+SELECT * FROM (SELECT request_id, chunk_id, row_number() OVER (PARTITION BY request_id ORDER BY place) AS position, place = 0 AS insured FROM u) WHERE position <= 5""", meta=True)))
 def q14(spark, d):
     rows = pool(spark, d)
     selected = rows.where("pos between 2 and 6").withColumn("slot_no", F.col("pos") + 1)
@@ -265,9 +265,9 @@ def _flagship(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("request_id", "position", "chunk_id", F.round("fused", 6).alias("fused"), "score")
 
 
-@query("Q22_single_query_retrieve", _with("""t AS (SELECT request_id, max(best_score) AS top FROM fused GROUP BY 1),
+@query("Q22_single_query_retrieve", as_int("position", _with("""t AS (SELECT request_id, max(best_score) AS top FROM fused GROUP BY 1),
 k AS (SELECT f.*, row_number() OVER (PARTITION BY f.request_id ORDER BY fused_rank) AS position FROM fused f JOIN t USING (request_id) WHERE best_score >= CASE WHEN top >= 0.45 THEN 0.45::DOUBLE ELSE round_even(0.82::DOUBLE * top, 4) END)
-SELECT request_id, position, chunk_id, round(fused, 6) AS fused, best_score AS score FROM k WHERE position <= 5"""))
+SELECT request_id, position, chunk_id, round(fused, 6) AS fused, best_score AS score FROM k WHERE position <= 5""")))
 def q22(spark, d):
     return _flagship(spark, d)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..catalog import query
+from ..catalog import as_int, query
 from ..operators import state as S
 
 
@@ -139,7 +139,7 @@ def l2(spark, d):
     return rows.orderBy(F.desc("o_orderdate"), "o_orderkey").offset(20).limit(min(max(500, S.PAGE_MIN), S.PAGE_MAX))
 
 
-@query("L3_newest_then_ascending", "SELECT conv_id AS session_id, turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 3")
+@query("L3_newest_then_ascending", as_int("place", "SELECT conv_id AS session_id, turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 3"))
 def l3(spark, d):
     newest = Window.partitionBy("session_id").orderBy(F.desc("id"))
     rows = messages(spark, d).withColumn("back", F.row_number().over(newest)).where("back <= 3")
@@ -154,7 +154,7 @@ def l4(spark, d):
     return rows.where("r <= 2").select("session_id", "id", "has_more")
 
 
-@query("L5_sentinel_sort", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY coalesce(nullif(doc_id % 5, 0), 1000000000), doc_id) AS place FROM documents")
+@query("L5_sentinel_sort", as_int("place", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY coalesce(nullif(doc_id % 5, 0), 1000000000), doc_id) AS place FROM documents"))
 def l5(spark, d):
     key = F.coalesce(F.nullif(F.col("doc_id") % 5, F.lit(0)), F.lit(10**9))
     return docs(spark, d).select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy(key, "doc_id")).alias("place"))
