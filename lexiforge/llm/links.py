@@ -168,13 +168,19 @@ def _rest_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFra
     return rows.groupBy("block_x", "block_y").applyInPandas(run, "a long, b long")
 
 
-def link(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, places: int) -> tuple[DataFrame, DataFrame]:
+def link(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, places: int, once: bool = True) -> tuple[DataFrame, DataFrame]:
     """(edges, labels): verified links (a, b) that connect all linked sets, and (node, label) of every
-    node that has one.  nodes: (node, n, fp, bands), staged."""
+    node that has one.  nodes: (node, n, fp, bands), staged; once: each node has one row.  Repeats
+    carry the same values, and of those only nodes that meet others are made unique."""
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     # Spark may split either side where one key is hot.
     buckets = stage(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets", 16)
     star = keyed.join(buckets, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    if not once:
+        star = stage(star, "star", 16)
+        met = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()
+        nodes = stage(nodes.select("node", "n", "fp", "bands").join(met, "node", "left_semi").dropDuplicates(["node"]), "met-nodes", 4)
+        keyed = nodes.select("node", F.explode("bands").alias("key"))
     edges = stage(verified(star, nodes, sets_of, num, den, places), "star-links", 16)
     labels = stage(components(edges), "labels", 16)
     large = buckets.where("size > 2").join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("main_label")), "pivot", "left")

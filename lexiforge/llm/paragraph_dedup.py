@@ -23,67 +23,108 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrowed, slices, split_words, stage, texts_of
+from .common import broadcast_if_small, narrowed, slices, split_words, stage, stage_path, texts_of
 from .links import link
 from .minhash import band_keys, minhash, prints, set_digests, shingle_sets, short_sets
 
 WIDTH, NUM, DEN = 5, 80, 100
 MIN_WORDS = 30
-PLACES, BANDS, ROWS, PRINTS = 100, 20, 5, 64
+PLACES, BANDS, ROWS, PRINTS = 100, 20, 5, 32
+#: Wanted paragraphs (24 bytes each) up to which they are broadcast to the texts.
+MAX_BROADCAST_PARAGRAPHS = 1_000_000
+
+
+def _long_lines(texts: pa.Array, min_words: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lines of min_words words or more, their texts, places among all lines, starts, words)."""
+    lists = pc.split_pattern(texts, "\n")
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    lines, of = lists.flatten(), np.repeat(np.arange(len(counts)), counts)
+    first = np.cumsum(counts) - counts
+    place = np.arange(len(of)) - np.repeat(first, counts)
+    size = pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    before = np.cumsum(size) - size
+    start = before - np.repeat(before[first], counts)
+    _, rows = split_words(lines)
+    words = np.bincount(rows, minlength=len(of))
+    long = np.flatnonzero(words >= max(1, min_words))
+    return lines.take(pa.array(long)), of[long], place[long], start[long], words[long]
+
+
+def _numbers(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """60 bits of each set's digest."""
+    return np.array([int.from_bytes(d[:8], "big") >> 4 for d in set_digests(values, bounds)], np.int64)
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, paragraph, start, n_words, node, n, fp, bands, set) of every long enough paragraph.
+    """(doc_id, paragraph, start, n_words, node, n, fp, bands) of every long enough paragraph.
 
     paragraph counts all lines from 0; start is the line's place in the text, in code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            lists = pc.split_pattern(texts_of(part, "text"), "\n")
-            counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            lines, of = lists.flatten(), np.repeat(np.arange(len(counts)), counts)
-            place = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-            size = pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-            before = np.cumsum(size) - size
-            start = before - np.repeat(before[np.cumsum(counts) - counts], counts)
-            _, rows = split_words(lines)
-            words = np.bincount(rows, minlength=len(of))
-            long = np.flatnonzero(words >= max(1, min_words))
-            if not len(long):
+            lines, of, place, start, words = _long_lines(texts_of(part, "text"), min_words)
+            if not len(lines):
                 continue
-            values, bounds = shingle_sets(lines.take(pa.array(long)), WIDTH)
+            values, bounds = shingle_sets(lines, WIDTH)
             sig = minhash(values, bounds, PLACES)
             keys = band_keys(sig, BANDS, ROWS)
-            node = np.array([int.from_bytes(d[:8], "big") >> 4 for d in set_digests(values, bounds)], np.int64)
             fp = prints(sig)[:, :PRINTS]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("doc_id").take(pa.array(of[long])),
-                    pa.array(place[long], pa.int64()),
-                    pa.array(start[long], pa.int64()),
-                    pa.array(words[long], pa.int64()),
-                    pa.array(node),
+                    part.column("doc_id").take(pa.array(of)),
+                    pa.array(place, pa.int64()),
+                    pa.array(start, pa.int64()),
+                    pa.array(words, pa.int64()),
+                    pa.array(_numbers(values, bounds)),
                     pa.array(np.diff(bounds), pa.int64()),
                     pa.array([row.tobytes() for row in fp], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(long) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel())),
-                    short_sets(values, bounds),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel())),
                 ],
-                ["doc_id", "paragraph", "start", "n_words", "node", "n", "fp", "bands", "set"],
+                ["doc_id", "paragraph", "start", "n_words", "node", "n", "fp", "bands"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, paragraph long, start long, n_words long, node long, n long, fp binary, bands array<long>, set binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, paragraph long, start long, n_words long, node long, n long, fp binary, bands array<long>")
+
+
+def _sets_of(docs: DataFrame, id_col: str, text_col: str, min_words: int, at: DataFrame):
+    """The full sets of wanted nodes from the documents in which they come first (at: c_node, c_doc)."""
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, "text"):
+                lines, of, *_ = _long_lines(texts_of(part, "text"), min_words)
+                if not len(lines):
+                    continue
+                values, bounds = shingle_sets(lines, WIDTH)
+                number = _numbers(values, bounds)
+                asked = [set(x) for x in part.column("nodes").to_pylist()]
+                right = np.zeros(len(lines), bool)
+                for k, (o, v) in enumerate(zip(of.tolist(), number.tolist(), strict=True)):
+                    if v in asked[o]:
+                        asked[o].discard(v)  # one of each is enough
+                        right[k] = True
+                yield pa.RecordBatch.from_arrays([pa.array(number), short_sets(values, bounds)], ["node", "set"]).filter(pa.array(right))
+
+        asked = at.join(wanted, at["c_node"] == wanted["node"], "left_semi").groupBy("c_doc").agg(F.collect_set("c_node").alias("nodes"))
+        asked = stage(asked, "asked", 16)
+        asked = broadcast_if_small(asked, asked.count(), MAX_BROADCAST_PARAGRAPHS)
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        found = texts.join(asked, F.col("id").eqNullSafe(F.col("c_doc"))).select("nodes", "text").mapInArrow(run, "node long, set binary")
+        return found.dropDuplicates(["node"])
+
+    return sets_of
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per paragraph of a cluster of two or more: doc_id, paragraph, start, n_words,
     first_doc_id, first_paragraph (the one that stays), cluster_size, removed."""
-    found = stage(paragraphs(docs, id_col, text_col, min_words), "paragraphs")
+    path = stage_path(docs.sparkSession, "paragraphs")
+    paragraphs(docs, id_col, text_col, min_words).write.option("compression", "zstd").parquet(path)
+    found = docs.sparkSession.read.parquet(path)
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "paragraph")
     classes = stage(found.groupBy("node").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("size")), "paragraph-classes", 16)
-    at = classes.select(F.col("node").alias("c_node"), F.col("first.doc_id").alias("c_doc"), F.col("first.paragraph").alias("c_paragraph"))
-    nodes = found.join(at, (F.col("node") == F.col("c_node")) & F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("paragraph") == F.col("c_paragraph")))
-    nodes = stage(nodes.select("node", "n", "fp", "bands", "set").dropDuplicates(["node"]), "paragraph-nodes", 4)
-    _, labels = link(nodes.select("node", "n", "fp", "bands"), lambda wanted: nodes.select("node", "set").join(wanted, "node"), NUM, DEN, PRINTS)
+    at = classes.select(F.col("node").alias("c_node"), F.col("first.doc_id").alias("c_doc"))
+    _, labels = link(found.select("node", "n", "fp", "bands"), _sets_of(docs, id_col, text_col, min_words, at), NUM, DEN, PRINTS, once=False)
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     clusters = named.groupBy("label").agg(F.min("first").alias("first"), F.sum("size").alias("cluster_size")).where("cluster_size > 1")
     members = stage(named.select(F.col("node").alias("m_node"), "label").join(clusters, "label").drop("label"), "paragraph-clusters", 16)
