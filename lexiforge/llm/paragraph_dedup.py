@@ -1,4 +1,7 @@
-"""Substring deduplication by paragraph MinHash banding.
+"""Substring deduplication: exact passages, and near copies of paragraphs by MinHash banding.
+
+Passages of 50 words or more that stand in two places, within or across lines of any length, are
+found exactly (passages.py).  Beside them, near copies of whole paragraphs are clustered:
 
 A paragraph is a line of a document's text.  Those of at least MIN_WORDS words are named by the
 digest of their set of five-word shingles (A-Z as a-z), so equal ones are one class at once.  Each
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, narrowed, slices, split_words, stage, stage_path, texts_of
 from .links import link
 from .minhash import band_keys, minhash, prints, set_digests, shingle_sets, short_sets
+from .passages import passages
 
 WIDTH, NUM, DEN = 5, 80, 100
 MIN_WORDS = 30
@@ -141,5 +145,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).select(docs.columns)
 
 
+def all_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of repeated() and of passages(), by kind; a text may have rows of both in one place."""
+    lines = repeated(docs, id_col, text_col).withColumn("kind", F.lit("paragraph"))
+    spans = passages(docs, id_col, text_col).withColumn("kind", F.lit("passage"))
+    return lines.unionByName(spans, allowMissingColumns=True)
+
+
 def op3_paragraph_dedup(spark, sf_dir: str) -> DataFrame:
-    return repeated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return all_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
