@@ -1,8 +1,8 @@
-"""Forward alignment of two orders of the same text, and snapshot builds end to end."""
+"""Forward alignment of two orders of the same text."""
 
 from __future__ import annotations
 
-import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,25 +12,27 @@ from pyspark.sql import functions as F
 ACCEPT = 0.5
 
 
-def normal(text: str) -> str:
-    return re.sub(r"\s+", "", text or "").lower()
+def normal(text: str | None) -> str:
+    """Runs of white space as one space; case counts."""
+    return " ".join((text or "").split())
 
 
 def carry_pages(elements: list[str], units: list[tuple[str, int]]) -> tuple[list[int], int, int]:
     """(page of each element, found, considered): each element takes the page of the first unit from
-    the cursor on that is its text; others have the page before."""
-    keys = [normal(t) for t, _ in units]
+    the cursor on that is its text; others have the page before.  The first page is that of the first
+    unit with text, 1 without one."""
+    kept = [(key, page) for text, page in units if (key := normal(text))]
     places: dict[str, list[int]] = {}
-    for k, key in enumerate(keys):
+    for k, (key, _) in enumerate(kept):
         places.setdefault(key, []).append(k)
-    cursor, page, found, considered, pages = 0, 1, 0, 0, []
-    for text in elements:
-        key = normal(text)
+    cursor, page, found, considered, pages = 0, kept[0][1] if kept else 1, 0, 0, []
+    for key in map(normal, elements):
         if key:
             considered += 1
-            hit = next((k for k in places.get(key, ()) if k >= cursor), None)
-            if hit is not None:
-                cursor, page, found = hit + 1, units[hit][1], found + 1
+            at = places.get(key, [])
+            k = bisect_left(at, cursor)
+            if k < len(at):
+                cursor, page, found = at[k] + 1, kept[at[k]][1], found + 1
         pages.append(page)
     return pages, found, considered
 

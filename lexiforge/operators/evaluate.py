@@ -36,10 +36,35 @@ def retrieval_summary(ranks: DataFrame, k: int, cuts: tuple[int, ...] = (5, 10,
     )
 
 
-def percentile(values: Column, fraction: float) -> Column:
-    """The element at round-half-even(fraction * (n - 1)) of the sorted values."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.try_element_at(ordered, (F.bround(F.lit(fraction) * (F.size(ordered) - 1)) + 1).cast("int"))
+def percentile(rows: DataFrame, key: str, value: str, fraction: float, name: str) -> DataFrame:
+    """(key, name): the value at round-half-even(fraction * (n - 1)) of each key's sorted values.
+
+    Equal values are counted first, so what is sorted per key is its distinct values."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(key)
+    upto = F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    wanted = F.bround(F.lit(fraction) * (F.sum("n").over(w) - 1)) + 1
+    return counts.withColumn("upto", upto).withColumn("wanted", wanted).where("upto >= wanted and upto - n < wanted").select(key, F.col(value).alias(name))
+
+
+def shown_page(cited: Column, page: Column, page_end: Column) -> Column:
+    """The cited page where the passage covers it, else the page on which the passage begins."""
+    inside = cited.between(page, F.coalesce(page_end, page))
+    return F.when(page.isNull(), cited).when(F.coalesce(inside, F.lit(False)), cited).otherwise(page)
+
+
+def fidelity(cited: Column, page: Column, page_end: Column) -> Column:
+    return F.when(cited.between(page, F.coalesce(page_end, page)), "match").otherwise("mismatch")
+
+
+def resolved_expect(expect: Column, answerable: Column) -> Column:
+    """The expectation that a question states, or else answer or deny."""
+    stated = F.nullif(F.trim(expect), F.lit(""))
+    return F.coalesce(stated, F.when(answerable, "answer").otherwise("deny"))
+
+
+def health(loaded: Column, documents: Column) -> Column:
+    return F.when(F.coalesce(loaded, F.lit(False)) | (documents == 0), "ok").otherwise("degraded")
 
 
 def most_common(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:

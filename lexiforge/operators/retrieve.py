@@ -53,30 +53,70 @@ def fuse(channels: DataFrame, k: int = RRF_K) -> DataFrame:
 
 
 def quota_select(fused: DataFrame, channels: DataFrame, top_k: int, slots: int = QUOTA) -> DataFrame:
-    """Each channel in turn reserves its best unused chunks; the fused order fills up.
+    """Each channel in turn reserves its best unused chunks; the fused order fills up.  A channel whose
+    own_slot is false (a column that channels may have) reserves none.
 
     Which slot a channel gets depends on what earlier channels took, so one small fold per request
     (at most MAX_TEXTS channels of a candidate window) does it."""
-    rows = channels.select("request_id", "channel", "rank", "chunk_id", F.lit(None).cast("int").alias("fused_rank"))
-    rows = rows.unionByName(fused.select("request_id", F.lit(None).cast("int").alias("channel"), F.lit(None).cast("int").alias("rank"), "chunk_id", "fused_rank"))
+    own = F.coalesce("own_slot", F.lit(True)) if "own_slot" in channels.columns else F.lit(True)
+    rows = channels.where(own).select("request_id", "channel", "rank", "chunk_id")
+    # The fused order comes after all channels, as a channel without a limit.
+    rows = rows.unionByName(fused.select("request_id", F.lit(2147483647).alias("channel"), F.col("fused_rank").alias("rank"), "chunk_id"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ranked = pdf[pdf["channel"].notna()].sort_values(["channel", "rank"])
-        order = pdf[pdf["fused_rank"].notna()].sort_values("fused_rank")["chunk_id"].tolist()
-        picked: list[int] = []
-        for _, ids in ranked.groupby("channel", sort=True)["chunk_id"]:
-            left = slots
-            for c in ids:
-                if left and len(picked) < top_k and c not in picked:
-                    picked.append(c)
-                    left -= 1
-        reserved = len(picked)
-        picked += [c for c in order if c not in picked][: max(0, top_k - len(picked))]
-        return pd.DataFrame({"request_id": pdf["request_id"].iloc[0], "position": range(1, len(picked) + 1), "chunk_id": picked, "reserved": [k < reserved for k in range(len(picked))]})
+        pdf = pdf.sort_values(["channel", "rank"], ignore_index=True)
+        place: dict[int, int] = {}
+        reserved = 0
+        for channel, ids in pdf.groupby("channel", sort=True)["chunk_id"]:
+            last = channel == 2147483647
+            room = top_k - len(place) if last else min(slots, top_k - len(place))
+            fresh = [c for c in dict.fromkeys(ids.tolist()) if c not in place][: max(0, room)]
+            place.update((c, len(place) + k) for k, c in enumerate(fresh))
+            reserved = reserved if last else len(place)
+        return pd.DataFrame({"request_id": pdf["request_id"].iloc[0], "position": range(1, len(place) + 1), "chunk_id": list(place), "reserved": [k < reserved for k in range(len(place))]})
 
     return rows.groupBy("request_id").applyInPandas(run, "request_id long, position int, chunk_id long, reserved boolean")
 
 
+def rerank(questions: DataFrame, passages: DataFrame, top_k: int = FINAL_K) -> DataFrame:
+    """Lexical overlap, the default scorer: questions (q, text) and passages (c, text) to (q, c, score,
+    place), the top_k passages of each question by the share of its words that they have, ties by c.
+
+    Only pairs with a common word are made.  The top_k passages of least c are added to each question
+    with score 0, which fills up those that have fewer."""
+    words = lambda: F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w")
+    sizes = questions.select("q", F.size(F.array_distinct(F.split(F.lower("text"), " "))).alias("n"))
+    shared = questions.select("q", words()).join(passages.select("c", words()), "w").groupBy("q", "c").agg(F.count(F.lit(1)).alias("s"))
+    ids = passages.select("c").distinct().orderBy("c").limit(top_k).agg(F.array_sort(F.collect_list("c")).alias("ids"))
+    few = sizes.join(F.broadcast(ids), F.lit(True)).select("q", F.explode("ids").alias("c"), F.lit(0).cast("long").alias("s"))
+    every = shared.unionByName(few).groupBy("q", "c").agg(F.max("s").alias("s")).join(sizes, "q")
+    rows = every.withColumn("score", F.round(F.col("s") / F.col("n"), 6))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).where(F.col("place") <= top_k).select("q", "c", "score", "place")
+
+
+def run_variants(channels: DataFrame, variants: dict[str, tuple[int, ...]]) -> DataFrame:
+    """channels to (variant, request_id, chunk_id, fused, fused_rank): each variant fuses its own
+    channels, all in one job."""
+    named = F.array(*(F.when(F.col("channel").isin(*kept), F.lit(name)) for name, kept in variants.items()))
+    rows = channels.withColumn("variant", F.explode(F.array_compact(named)))
+    rows = rows.withColumn("request_id", F.struct("variant", "request_id"))
+    return fuse(rows).select("request_id.*", "chunk_id", "fused", "fused_rank")
+
+
+def scripted_search(requests: DataFrame, documents: DataFrame, errors: dict[int, str], top_k: int = FINAL_K) -> DataFrame:
+    """A stand-in adapter with fixed answers: requests (request_id, collection, call_no) to (request_id,
+    error, ids), ids being the top_k documents (collection, document_id) of least id.  A call whose
+    number has an error in the script returns that."""
+    first = documents.withColumn("rn", F.row_number().over(Window.partitionBy("collection").orderBy("document_id"))).where(F.col("rn") <= top_k)
+    held = first.groupBy("collection").agg(F.array_sort(F.collect_list("document_id")).alias("ids"))
+    error = F.lit(None).cast("string")
+    for call, code in errors.items():
+        error = F.when(F.col("call_no") == call, code).otherwise(error)
+    empty = F.array().cast(held.schema["ids"].dataType)
+    rows = requests.join(held, "collection", "left").withColumn("error", error)
+    return rows.select("request_id", "error", F.when(F.col("error").isNull(), F.coalesce("ids", empty)).otherwise(empty).alias("ids"))
+
+
 def wants_tables(question: Column) -> Column:
     return question.rlike(TABLE_CUES)
 
@@ -143,22 +183,30 @@ def min_score(rows: DataFrame, minimum: float = MIN_SCORE, ratio: float = FLOOR_
     return rows.where(F.col("score") >= F.col("cut"))
 
 
-def present(primary: str, before: list[str], after: list[str], budget: int) -> str:
-    """A window of at most ``budget`` characters: the primary text first, then neighbours from near
-    to far while enough room is left, each in page order; what is cut leaves a marker."""
-    room = budget
-    body = primary[:room]
-    text = body if len(body) == len(primary) else f"{body}[+{len(primary) - len(body)}]"
-    room -= len(body)
-    front: list[str] = []
-    back: list[str] = []
-    for k in range(max(len(before), len(after))):
-        for side, parts in ((front, before[::-1]), (back, after)):
-            if k < len(parts):
-                if room >= min(NEIGHBOR_MIN, len(parts[k])):
-                    taken = parts[k][:room]
-                    room -= len(taken)
-                    side.append(taken)
-                else:
-                    side.append(f"[+{len(parts[k])}]")
-    return "\n".join([*front[::-1], text, *back])
+def omitted(what: str, count: Column) -> Column:
+    return F.concat(F.lit(f"…[{what}省略 "), count.cast("string"), F.lit(" 字符]"))
+
+
+def present(primary: Column, before: list[Column], after: list[Column], budget: int) -> Column:
+    """A window of at most ``budget`` characters with labels: the primary text first, then the nearest
+    neighbours before and after in turn, while room for NEIGHBOR_MIN characters is left.
+
+    before and after hold up to two texts each, the nearest first.  What is cut or left out leaves a
+    marker with the characters omitted.  Without neighbours the marker comes on top of the budget."""
+    label = F.lit("[primary]\n")
+    own, room = F.coalesce(primary, F.lit("")), max(0, budget - len("[primary]\n"))
+    size = F.length(own)
+    taken = F.when(size <= max(1, int(budget * PRIMARY_RATIO)), size).otherwise(F.least(size, F.lit(room)))
+    text = F.concat(label, F.substring(own, F.lit(1), taken), F.when(size > taken, omitted("本体", size - taken)).otherwise(""))
+    alone = F.concat(label, F.substring(own, 1, room), F.when(size > room, omitted("本体", size - room)).otherwise(""))
+    near = [(kind, k + 1, F.coalesce(parts[k], F.lit(""))) for k in range(2) for kind, parts in (("prev", before), ("next", after)) if k < len(parts)]
+    any_near = F.lit(False)
+    for kind, k, part in near:
+        head = f"[context:{kind} #{k}]\n"
+        left = F.lit(budget - 2 - len(head)) - F.length(text)
+        kept = F.least(F.length(part), left)
+        block = F.concat(F.lit(head), F.substring(part, F.lit(1), kept), F.when(kept < F.length(part), omitted("邻居", F.length(part) - kept)).otherwise(""))
+        added = F.when(left < NEIGHBOR_MIN, omitted("邻居", F.length(part))).otherwise(block)
+        text = F.when(part == "", text).otherwise(F.concat(text, F.lit("\n\n"), added))
+        any_near = any_near | (part != "")
+    return F.when(any_near, F.substring(text, 1, budget)).otherwise(alone)

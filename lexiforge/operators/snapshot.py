@@ -96,6 +96,14 @@ def collect_garbage(spark: SparkSession, root: str, keep: str, staging_age_s: in
     return gone
 
 
+def inside(path: Column, folder: str) -> Column:
+    """Whether a path, its dots resolved, lies in the folder."""
+    step = lambda a, p: F.when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(p.isin("", "."), a).otherwise(F.concat(a, F.array(p)))
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    base = [p for p in folder.split("/") if p not in ("", ".")]
+    return F.slice(parts, 1, len(base)) == F.array(*(F.lit(p) for p in base))
+
+
 def guarded_output(path: str, protected: str) -> str:
     """The path, unless it is inside the protected folder."""
     parts = [p for p in path.split("/") if p not in ("", ".")]

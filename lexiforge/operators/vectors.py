@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -16,6 +17,8 @@ from pyspark.sql.types import ArrayType, DoubleType
 DIMENSIONS = 64
 #: Vectors to a block of the search; a task multiplies one block of queries by one of vectors.
 BLOCK_ROWS = 4096
+#: Queries (a few hundred bytes each) that are broadcast at once.
+MAX_QUERIES = 100_000
 
 
 def norm(vector: Column) -> Column:
@@ -33,20 +36,27 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def bow_vector(text: str | None, dimensions: int = DIMENSIONS) -> list[float]:
-    """Counts of words by CRC-32 bucket, of unit length; zeros for no words."""
-    slots = [zlib.crc32(w.encode()) % dimensions for w in re.findall(r"[a-z0-9]+", (text or "").lower())]
-    counts = np.bincount(slots, minlength=dimensions).astype(float) if slots else np.zeros(dimensions)
-    length = float(np.sqrt(counts @ counts))
-    return (counts / length if length else counts).tolist()
+def bow_vectors(texts: pa.Array, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """Of each text the counts of its words by CRC-32 bucket, of unit length; zeros for no words."""
+    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), "[^a-z0-9]+")
+    words = lists.flatten()
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+    coded = words.dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    slot = np.fromiter((zlib.crc32(w.encode()) % dimensions if w else -1 for w in names), np.int64, len(names))
+    slot = slot[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.empty(0, np.int64)
+    kept = slot >= 0
+    counts = np.bincount(row[kept] * dimensions + slot[kept], minlength=len(texts) * dimensions).reshape(len(texts), dimensions).astype(float)
+    length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+    return np.divide(counts, length, out=counts, where=length > 0)
 
 
 def hashed_bow(text: Column) -> Column:
-    """The default embedder, in Arrow batches; a real model has the same signature."""
+    """The default embedder, over whole Arrow batches; a real model has the same signature."""
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def embed(texts: pd.Series) -> pd.Series:
-        return texts.map(bow_vector)
+        return pd.Series(list(bow_vectors(pa.array(texts, pa.string(), from_pandas=True))), dtype=object)
 
     return embed(text)
 
@@ -79,7 +89,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> Da
     (query_id, rank, id, score), ties by id.
 
     Blocks of queries meet blocks of vectors; each pair yields its own k best per query, which one
-    window per query then ranks.  A scope is a filter on ``vectors`` and so reaches its scan."""
+    window per query then ranks.  A scope is a filter on ``vectors`` and so reaches its scan.  Up to
+    MAX_QUERIES, which are counted, the query blocks are broadcast; beyond, every block of queries is
+    sent to each partition of the vectors in rounds of that many."""
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
@@ -97,7 +109,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> Da
                         at = at[np.lexsort((v_ids[at], -line[at]))][:n]
                         yield pd.DataFrame({"query_id": q_ids[s + i], "id": v_ids[at], "score": line[at]})
 
-    pairs = _blocks(vectors, "v").crossJoin(F.broadcast(_blocks(queries, "q")))
-    best = pairs.mapInPandas(run, "query_id long, id long, score double")
+    rounds = -(-queries.count() // MAX_QUERIES)
+    parts = [queries] if rounds < 2 else [queries.where(F.pmod(F.xxhash64("id"), F.lit(2 * rounds)) == r) for r in range(2 * rounds)]
+    # The condition that always holds makes it a nested loop of blocks, not of rows.
+    met = [_blocks(vectors, "v").join(F.broadcast(_blocks(part, "q")), F.size("v_ids") > 0) for part in parts]
+    best = reduce(DataFrame.unionByName, (m.mapInPandas(run, "query_id long, id long, score double") for m in met))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import as_int, query
+from ..functions.ordering import prefix_sums
+from ..functions.storage import work_folder
 from ..operators import snapshot as N
 from ..operators.elements import tokens
+from ..operators.retrieve import present, rerank, run_variants
 from ..operators.vectors import hashed_bow
 from ..sources import artifacts as A
 from ..sources import uploads as U
+from .publication import published
+from .retrieval import _with, channels
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -39,33 +44,36 @@ def s3(spark, d):
     return U.parsed(files)
 
 
-@query("S4_encoding_sniff", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'utf-16-le' ELSE 'utf-8' END AS encoding FROM documents")
-def s4(spark, d):
-    def run(batches):
-        import pyarrow as pa
+def _stored_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every third text as UTF-16 with a BOM, every third in a single-byte code, the rest as UTF-8."""
+    text, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 3
+    raw = F.when(k == 0, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))).when(k == 1, F.encode(F.regexp_replace(text, r"[^\x00-\xFF]", "?"), "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
+    return _docs(spark, d).select(F.col("doc_id").alias("document_id"), raw.alias("content"))
 
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([U.sniff(x) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "encoding"])
 
-    text = F.coalesce("text", F.lit(""))
-    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))).otherwise(F.encode(text, "UTF-8"))
-    return _docs(spark, d).select("doc_id", raw.alias("raw")).mapInArrow(run, "doc_id long, encoding string")
+_FILES = "f AS (SELECT doc_id AS document_id, coalesce(text, '') AS text, doc_id % 3 = 1 AND regexp_matches(coalesce(text, ''), '[\\x{80}-\\x{FF}]') AS odd FROM documents)"
+
+
+@query("S4_encoding_sniff", f"WITH {_FILES} SELECT document_id, CASE WHEN document_id % 3 = 0 THEN 'utf-16-le' WHEN odd THEN NULL ELSE 'utf-8' END AS encoding FROM f")
+def s4(spark, d):
+    """Accented letters in a single-byte code are refused."""
+    return U.transcoded(_stored_files(spark, d)).select("document_id", "encoding")
 
 
-@query("S5_transcode", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
+@query("S5_transcode", f"WITH {_FILES} SELECT document_id, CASE WHEN odd THEN NULL WHEN document_id % 3 = 1 THEN regexp_replace(text, '[^\\x{{00}}-\\x{{FF}}]', '?', 'g') ELSE text END AS text FROM f")
 def s5(spark, d):
-    text = F.coalesce("text", F.lit(""))
-    odd = F.col("doc_id") % 3 == 0
-    raw = F.when(odd, F.encode(text, "UTF-16LE")).otherwise(F.encode(text, "UTF-8"))
-    rows = _docs(spark, d).select("doc_id", odd.alias("odd"), raw.alias("raw"))
-    return rows.select("doc_id", F.when(F.col("odd"), F.decode("raw", "UTF-16LE")).otherwise(F.decode("raw", "UTF-8")).alias("text"))
+    return U.transcoded(_stored_files(spark, d)).select("document_id", "text")
 
 
-@query("S7_ordered_scan", "SELECT doc_id, l.doc_id IS NOT NULL AS found FROM documents LEFT JOIN labels l USING (doc_id)")
+@query("S7_ordered_scan", "SELECT DISTINCT doc_id::VARCHAR AS document_id, l.doc_id IS NOT NULL AS found, CASE WHEN l.doc_id IS NOT NULL THEN l.quality::BIGINT END AS n FROM documents LEFT JOIN labels l USING (doc_id)")
 def s7(spark, d):
-    """Labels stand for ordered files; documents without one are skipped with a mark."""
-    have = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", F.lit(True).alias("found"))
-    return _docs(spark, d).select("doc_id").join(have, "doc_id", "left").select("doc_id", F.coalesce("found", F.lit(False)).alias("found"))
+    """Ordered files of the labelled documents are written and scanned; those without one are told."""
+    path = work_folder(spark, "ordered")
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    labels.select(F.col("doc_id").cast("string").alias("document_id"), F.array_repeat(F.struct(F.lit("paragraph").alias("type")), F.col("quality").cast("int")).alias("sequence")).write.json(path)
+    registry = _docs(spark, d).select(F.col("doc_id").cast("string").alias("document_id")).distinct()
+    found, missing = A.ordered_documents(spark, path, registry, "document_id string, sequence array<struct<type string>>", lines=True)
+    return found.select("document_id", F.lit(True).alias("found"), F.size("sequence").cast("long").alias("n")).unionByName(missing.select("document_id", F.lit(False).alias("found"), F.lit(None).cast("long").alias("n")))
 
 
 @query("S8_chunk_jsonl_scan", "WITH l AS (SELECT doc_id % 50 AS file, 'c' || doc_id AS chunk_id, doc_id % 97 = 0 OR doc_id % 89 = 0 AS broken FROM documents) SELECT file, chunk_id FROM l WHERE file NOT IN (SELECT file FROM l WHERE broken)")
@@ -76,16 +84,20 @@ def s8(spark, d):
     return A.readable_chunks(lines, "chunk_id string")
 
 
-@query("S9_registry_scan", "SELECT source AS status, count(*) AS n FROM documents GROUP BY 1")
+@query("S9_registry_scan", "SELECT doc_id::VARCHAR AS document_id, source AS status, n_chars::INT AS page_count FROM documents")
 def s9(spark, d):
-    raw = _docs(spark, d).select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("status"), F.lit(1).alias("undeclared"))).alias("value"))
-    return raw.select(F.from_json("value", A.REGISTRY).alias("r")).groupBy(F.col("r.status").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    """Records with a key that is not declared are written and read back."""
+    path = work_folder(spark, "registry")
+    _docs(spark, d).select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("status"), F.col("n_chars").alias("page_count"), F.lit(1).alias("undeclared")).write.json(path)
+    return A.read_registry(spark, path, lines=True).select("document_id", "status", "page_count")
 
 
-@query("S10_snapshot_load", "SELECT label, count(*) AS n FROM embeddings GROUP BY 1")
+@query("S10_snapshot_load", "SELECT label, count(*) AS n, (SELECT count(*) FROM embeddings) AS chunk_count FROM embeddings GROUP BY 1")
 def s10(spark, d):
-    """The snapshot of a version is a Parquet folder; here, the driver's table."""
-    return spark.read.parquet(f"{d}/embeddings.parquet").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    """Pointer, version, vectors and manifest of a published snapshot."""
+    root = published(spark, d)
+    manifest = A.read_manifest(spark, root).select("chunk_count")
+    return A.read_snapshot(spark, root).groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(manifest), F.lit(True)).select("label", "n", "chunk_count")
 
 
 @query("S11_point_lookup", "SELECT doc_id, n_chars FROM documents WHERE doc_id % 20 = 0")
@@ -116,22 +128,18 @@ def q19(spark, d):
     return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.concat_ws("\n", part("prev", F.lag("text").over(w)), part("primary", F.col("text")), part("next", F.lead("text").over(w))).alias("evidence"))
 
 
-@query("Q18_presentation_window")
+@query("Q18_presentation_window", """WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS own, coalesce(lag(text) OVER w, '') AS b, coalesce(lead(text) OVER w, '') AS a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+k AS (SELECT *, CASE WHEN length(own) <= 180 THEN length(own) ELSE least(length(own), 290) END AS n FROM c),
+x AS (SELECT *, '[primary]' || chr(10) || left(own, n) || CASE WHEN length(own) > n THEN '…[本体省略 ' || (length(own) - n) || ' 字符]' ELSE '' END AS t0 FROM k),
+y AS (SELECT *, CASE WHEN b = '' THEN t0 WHEN 280 - length(t0) < 120 THEN t0 || chr(10) || chr(10) || '…[邻居省略 ' || length(b) || ' 字符]' ELSE t0 || chr(10) || chr(10) || '[context:prev #1]' || chr(10) || left(b, 280 - length(t0)) || CASE WHEN length(b) > 280 - length(t0) THEN '…[邻居省略 ' || (length(b) - 280 + length(t0)) || ' 字符]' ELSE '' END END AS t1 FROM x),
+z AS (SELECT *, CASE WHEN a = '' THEN t1 WHEN 280 - length(t1) < 120 THEN t1 || chr(10) || chr(10) || '…[邻居省略 ' || length(a) || ' 字符]' ELSE t1 || chr(10) || chr(10) || '[context:next #1]' || chr(10) || left(a, 280 - length(t1)) || CASE WHEN length(a) > 280 - length(t1) THEN '…[邻居省略 ' || (length(a) - 280 + length(t1)) || ' 字符]' ELSE '' END END AS t2 FROM y)
+SELECT conv_id, turn, CASE WHEN a = '' AND b = '' THEN '[primary]' || chr(10) || left(own, 290) || CASE WHEN length(own) > 290 THEN '…[本体省略 ' || (length(own) - 290) || ' 字符]' ELSE '' END ELSE left(t2, 300) END AS "window" FROM z""")
 def q18(spark, d):
-    """A fold over at most four parts; the tests hold it against its rules."""
     from pyspark.sql import Window
 
-    from ..operators.retrieve import present
-
-    @F.pandas_udf("string")
-    def shown(primary, before, after):
-        import pandas as pd
-
-        return pd.Series([present(p or "", [b] if b else [], [a] if a else [], 300) for p, b, a in zip(primary, before, after, strict=True)])
-
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text", F.lag("text").over(w).alias("b"), F.lead("text").over(w).alias("a"))
-    return rows.select("conv_id", "turn", shown("text", "b", "a").alias("window"))
+    return rows.select("conv_id", "turn", present(F.col("text"), [F.col("b")], [F.col("a")], 300).alias("window"))
 
 
 @query("Q20_result_projection", "SELECT event_id, coalesce(event_type, '') AS kind, coalesce(try_cast(json_extract_string(props, '$.k') AS INT), 0) AS k FROM events")
@@ -142,16 +150,8 @@ def q20(spark, d):
 
 @query("Q9_lexical_rerank", as_int("place", "WITH p AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS w FROM benchmark), x AS (SELECT a.item_id AS q, b.item_id AS c, round(len(list_intersect(a.w, b.w)) / len(a.w), 6) AS score FROM p a, p b WHERE a.item_id % 20 = 0) SELECT * FROM (SELECT q, c, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS place FROM x) WHERE place <= 5"))
 def q9(spark, d):
-    """Token overlap, the default scorer: shared words of question and passage over the question's."""
-    from pyspark.sql import Window
-
-    words = F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w")
     p = spark.read.parquet(f"{d}/benchmark.parquet")
-    sizes = p.where("item_id % 20 = 0").select(F.col("item_id").alias("q"), F.size(F.array_distinct(F.split(F.lower("text"), " "))).alias("n"))
-    shared = p.where("item_id % 20 = 0").select(F.col("item_id").alias("q"), words).join(p.select(F.col("item_id").alias("c"), words), "w").groupBy("q", "c").agg(F.count(F.lit(1)).alias("s"))
-    every = sizes.crossJoin(p.select(F.col("item_id").alias("c"))).join(shared, ["q", "c"], "left")
-    rows = every.withColumn("score", F.round(F.coalesce("s", F.lit(0)) / F.col("n"), 6))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).where("place <= 5").select("q", "c", "score", "place")
+    return rerank(p.where("item_id % 20 = 0").select(F.col("item_id").alias("q"), "text"), p.select(F.col("item_id").alias("c"), "text"))
 
 
 @query("S13_full_dump", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
@@ -235,12 +235,9 @@ def v2(spark, d):
 
 @query("V3_token_budget_batches", "WITH t AS (SELECT item_id, greatest(1, length(text) // 4) AS n FROM benchmark) SELECT item_id, sum(n) OVER (ORDER BY n, item_id ROWS UNBOUNDED PRECEDING)::BIGINT // 512 AS batch FROM t")
 def v3(spark, d):
-    """Length-sorted batches of about 512 tokens (the benchmark table is small)."""
-    from pyspark.sql import Window
-
+    """Length-sorted batches of about 512 tokens: rows of one length are numbered on their own."""
     rows = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", tokens(F.col("text")).alias("n"))
-    w = Window.orderBy("n", "item_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select("item_id", F.floor(F.sum("n").over(w) / 512).alias("batch"))
+    return prefix_sums(rows, F.col("n"), ["item_id"], F.col("n"), "upto").select("item_id", F.floor(F.col("upto") / 512).alias("batch"))
 
 
 @query("V23_embedding_guards", "SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'blank' WHEN length(text) // 4 > 2048 THEN 'cut' ELSE 'ok' END AS guard FROM documents")
@@ -286,9 +283,14 @@ def k8(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", N.lock_state(age, F.lit(True), F.col("event_type") != "error", k % 7 != 0).alias("state"))
 
 
-@query("V12_variant_runner", "SELECT variant, count(*) AS questions, round(avg(n), 6) AS texts FROM (SELECT item_id, unnest(['baseline', 'clauses']) AS variant, unnest([1, CASE WHEN item_id % 2 = 0 THEN 3 ELSE 1 END]) AS n FROM benchmark) GROUP BY 1")
+_VARIANTS = _with("""x AS (SELECT 'baseline' AS variant, request_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS s, min(channel * 1000 + rank) AS seen FROM ch WHERE channel = 0 GROUP BY ALL UNION ALL SELECT 'pair', request_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)), min(channel * 1000 + rank) FROM ch GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY variant, request_id ORDER BY round(s, 9) DESC, seen) AS place FROM x)
+SELECT variant, count(DISTINCT request_id) AS questions, count(*) FILTER (WHERE chunk_id = request_id + 1) AS found, sum(place) FILTER (WHERE chunk_id = request_id + 1)::BIGINT AS places FROM r GROUP BY 1""", fused=False)
+
+
+@query("V12_variant_runner", _VARIANTS)
 def v12(spark, d):
-    """One job for all variants: the variant is a column."""
-    k = F.col("item_id")
-    variants = F.explode(F.array(F.struct(F.lit("baseline").alias("variant"), F.lit(1).alias("n")), F.struct(F.lit("clauses").alias("variant"), F.when(k % 2 == 0, 3).otherwise(1).alias("n")))).alias("v")
-    return spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", variants).groupBy("v.variant").agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg("v.n"), 6).alias("texts"))
+    """Each request by its first text and by both, all variants in one job; the target is the next vector."""
+    ranked = run_variants(channels(spark, d), {"baseline": (0,), "pair": (0, 1)})
+    target = F.col("chunk_id") == F.col("request_id") + 1
+    return ranked.groupBy("variant").agg(F.count_distinct("request_id").alias("questions"), F.count_if(target).alias("found"), F.sum(F.when(target, F.col("fused_rank")).cast("long")).alias("places"))

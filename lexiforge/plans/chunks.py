@@ -20,17 +20,27 @@ def c1(spark, d):
     return elements(spark, d).select("document_id", "ordinal", E.tokens(F.col("text")).alias("tokens"))
 
 
-@query("C2_policy_filter", _el(" SELECT type AS role, count(*) FILTER (WHERE type IN ('footnote', 'caption')) AS dropped, count(*) FILTER (WHERE type NOT IN ('footnote', 'caption')) AS kept FROM el GROUP BY 1"))
+_ROLE = _el(""", ro AS (SELECT *, CASE WHEN type = 'footnote' THEN 'footnote' WHEN type = 'caption' AND ordinal % 2 = 0 THEN 'noise' WHEN ordinal % 7 = 3 THEN 'reference' ELSE 'body' END AS role, CASE WHEN ordinal % 5 = 4 THEN 'skip' WHEN ordinal % 11 = 10 THEN 'drop' ELSE 'embed' END AS index_policy FROM el)""")
+
+
+def _with_roles(spark, d):
+    role = F.when(F.col("type") == "footnote", "footnote").when((F.col("type") == "caption") & (F.col("ordinal") % 2 == 0), "noise").when(F.col("ordinal") % 7 == 3, "reference").otherwise("body")
+    rule = F.when(F.col("ordinal") % 5 == 4, "skip").when(F.col("ordinal") % 11 == 10, "drop").otherwise("embed")
+    return elements(spark, d).withColumn("role", role).withColumn("index_policy", rule)
+
+
+@query("C2_policy_filter", _ROLE + " SELECT document_id, role, count(*) AS dropped FROM ro WHERE index_policy <> 'embed' OR role <> 'body' GROUP BY 1, 2")
 def c2(spark, d):
-    gone = F.col("type").isin("footnote", "caption")
-    return elements(spark, d).groupBy(F.col("type").alias("role")).agg(F.count_if(gone).alias("dropped"), F.count_if(~gone).alias("kept"))
+    return C.dropped_by_role(_with_roles(spark, d), ["document_id"])
 
 
-@query("C3_byline_demotion", _el(r""", b AS (SELECT *, coalesce(bool_or(type = 'heading') OVER (PARTITION BY document_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS seen FROM el)
-SELECT document_id, ordinal, trim(text) = '' OR (NOT seen AND (regexp_matches(text, '(?i)(https?://|www\.)') OR regexp_matches(text, '\b[\w.-]+@[\w.-]+\.\w+\b') OR (length(trim(text)) <= 180 AND (regexp_matches(text, '(?i)\b(university|laboratory|department|institute|gmbh|ltd\.?|inc\.?)\b') OR regexp_matches(text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}\b'))))) AS byline FROM b WHERE type = 'paragraph'"""))
+@query("C3_byline_demotion", _el(r""", b AS (SELECT *, EXISTS (SELECT 1 FROM el h WHERE h.document_id = el.document_id AND h.ordinal < el.ordinal AND h.type = 'heading' AND (starts_with(lower(trim(h.text)), 'abstract') OR regexp_matches(trim(h.text), '^\d+(\.\d+)*\s+'))) AS seen FROM el)
+SELECT document_id, ordinal, trim(text) = '' OR (NOT seen AND (regexp_matches(text, '(?i)(https?://|www\.)') OR regexp_matches(text, '\b[\w.-]+@[\w.-]+\.\w+\b') OR (length(trim(text)) <= 180 AND (regexp_matches(text, '(?i)\b(university|laboratory|department|institute|gmbh|ltd\.?|inc\.?)\b') OR regexp_matches(text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}\b'))))) AS byline FROM b WHERE type = 'paragraph'""".replace("FROM el h", "FROM marked h").replace("FROM el)", "FROM marked el)").replace(", b AS", ", marked AS (SELECT * REPLACE (CASE WHEN type = 'heading' AND ordinal % 3 = 2 THEN '3.1 ' || text WHEN type = 'heading' AND ordinal % 3 = 1 THEN ' Abstract ' || text ELSE text END AS text) FROM el), b AS")))
 def c3(spark, d):
-    seen = F.coalesce(F.bool_or(F.col("type") == "heading").over(E.before()), F.lit(False))
-    rows = elements(spark, d).withColumn("seen", seen).where("type = 'paragraph'")
+    """A third of the headings gets a number, another one is an abstract."""
+    title = F.when(F.col("ordinal") % 3 == 2, F.concat(F.lit("3.1 "), "text")).when(F.col("ordinal") % 3 == 1, F.concat(F.lit(" Abstract "), "text")).otherwise(F.col("text"))
+    rows = elements(spark, d).withColumn("text", F.when(F.col("type") == "heading", title).otherwise(F.col("text")))
+    rows = rows.withColumn("seen", C.body_begun()).where("type = 'paragraph'")
     return rows.select("document_id", "ordinal", C.is_byline(F.lit("body"), F.col("text"), ~F.col("seen")).alias("byline"))
 
 
@@ -52,31 +62,42 @@ def w8(spark, d):
     return rows.select("document_id", "ordinal", F.sum("change").over(E.upto()).alias("session"))
 
 
-@query("C5_greedy_merge")
+#: A path for the queries: the heading or caption that stands last before.
+_PATHED = EL + r""", pa AS (SELECT *, coalesce(last_value(CASE WHEN type IN ('heading', 'caption') THEN text END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS path FROM el),
+pl AS (SELECT * FROM (SELECT *, sum((type IN ('heading', 'table', 'figure', 'formula'))::INT) OVER (PARTITION BY document_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS part FROM pa) WHERE type IN ('paragraph', 'list_item')),
+pr AS (SELECT document_id, ordinal, trim(text) AS body, path, CASE WHEN path = '' THEN 0 ELSE length(path) + 1 END AS lead, part IS NOT DISTINCT FROM lag(part) OVER w AND path IS NOT DISTINCT FROM lag(path) OVER w AS same, row_number() OVER w AS rn FROM pl WHERE trim(text) <> '' WINDOW w AS (PARTITION BY document_id ORDER BY ordinal)),
+mg AS (SELECT document_id, rn, ordinal AS first, length(body) AS chars FROM pr WHERE rn = 1
+  UNION ALL SELECT p.document_id, p.rn, CASE WHEN p.same AND greatest(1, (p.lead + m.chars + 1 + length(p.body)) // 4) <= 320 THEN m.first ELSE p.ordinal END, CASE WHEN p.same AND greatest(1, (p.lead + m.chars + 1 + length(p.body)) // 4) <= 320 THEN m.chars + 1 ELSE 0 END + length(p.body)
+  FROM mg m JOIN pr p ON p.document_id = m.document_id AND p.rn = m.rn + 1)"""
+
+
+def pathed(spark, d):
+    path = F.last(F.when(F.col("type").isin("heading", "caption"), F.col("text")), ignorenulls=True).over(E.before())
+    return elements(spark, d).withColumn("path", F.coalesce(path, F.lit("")))
+
+
+@query("C5_greedy_merge", f"WITH RECURSIVE {_PATHED} SELECT m.document_id, m.first, max(p.ordinal) AS last, max(m.chars)::BIGINT AS chars FROM mg m JOIN pr p USING (document_id, rn) GROUP BY 1, 2")
 def c5(spark, d):
-    """A greedy fold: the tests hold it against a plain version."""
-    return C.prose_chunks(elements(spark, d)).select("document_id", "run", "piece", "first", "last", F.length("text").alias("chars"))
+    """The merged texts, before what is too long is split."""
+    return C.packed_prose(pathed(spark, d)).select("document_id", "first", "last", "chars").distinct()
 
 
 @query("C6_split_long_prose")
 def c6(spark, d):
-    rows = C.prose_chunks(elements(spark, d).where(F.length("text") > 1500))
-    return rows.select("document_id", "run", "piece", F.sha2("text", 256).alias("sha"))
+    """Sentences repacked and overlapped; the tests hold it against a plain version."""
+    rows = C.prose_chunks(pathed(spark, d).where(F.length("text") > 1500))
+    return rows.select("document_id", "first", "piece", F.sha2("text", 256).alias("sha"))
 
 
-_FIXED = _el(r""", p AS (SELECT document_id, ordinal, text, lag(text) OVER (PARTITION BY document_id ORDER BY ordinal) AS prev FROM el WHERE type = 'list_item' AND text NOT LIKE '%  %'),
-t AS (SELECT *, CASE WHEN prev IS NULL THEN '' WHEN length(prev) <= 256 THEN prev ELSE array_to_string(list_filter(string_split(regexp_replace(right(prev, 256), '[\s]+', ' ', 'g'), ' '), lambda x: x <> '')[2:], ' ') END AS tl FROM p)
-SELECT document_id, ordinal, CASE WHEN greatest(1, length(trim(tl || ' ' || text)) // 4) > 512 THEN text ELSE trim(tl || ' ' || text) END AS text FROM t""")
+_OVER = _el(r""", p AS (SELECT document_id, ordinal, text, lag(text) OVER (PARTITION BY document_id ORDER BY ordinal) AS prev FROM el),
+t AS (SELECT *, CASE WHEN length(prev) <= 256 THEN prev WHEN len(list_filter(regexp_split_to_array(right(prev, 256), '[\s]+'), lambda x: x <> '')) > 1 THEN array_to_string(list_filter(regexp_split_to_array(right(prev, 256), '[\s]+'), lambda x: x <> '')[2:], ' ') ELSE right(prev, 256) END AS tl FROM p)
+SELECT document_id, ordinal, CASE WHEN prev IS NULL OR length(trim(tl || ' ' || text)) > 2051 THEN text ELSE trim(tl || ' ' || text) END AS text FROM t""")
 
 
-@query("C7_overlap", _FIXED)
+@query("C7_overlap", _OVER)
 def c7(spark, d):
-    rows = elements(spark, d).where("type = 'list_item' and text not like '%  %'")
-    prev = F.lag("text").over(E.doc_order())
-    cut = F.array_join(F.slice(F.filter(F.split(F.right(prev, F.lit(256)), r"\s+"), lambda w: w != ""), 2, 10000), " ")
-    lead = F.when(prev.isNull(), "").when(F.length(prev) <= 256, prev).otherwise(cut)
-    longer = F.trim(F.concat_ws(" ", lead, "text"))
-    return rows.select("document_id", "ordinal", F.when(E.tokens(longer) > C.MAX, F.col("text")).otherwise(longer).alias("text"))
+    """Every line as a piece after the line before it."""
+    return elements(spark, d).select("document_id", "ordinal", C.overlap(F.lag("text").over(E.doc_order()), F.col("text"), F.lit(0)).alias("text"))
 
 
 @query("W6_lag_previous_piece", _el(" SELECT document_id, ordinal, length(lag(text) OVER (PARTITION BY document_id ORDER BY ordinal)) AS before FROM el"))
@@ -84,14 +105,19 @@ def w6(spark, d):
     return elements(spark, d).select("document_id", "ordinal", F.length(F.lag("text").over(E.doc_order())).cast("long").alias("before"))
 
 
-@query("C8_formula_chunk", _el(" SELECT document_id, ordinal, 'formula:' || text AS retrieval_text, contains(text, '!!') AS degraded FROM el WHERE type = 'formula'"))
+@query("C8_formula_chunk", f"WITH {_PATHED.split(', pl AS')[0]} SELECT document_id, ordinal, CASE WHEN ordinal % 2 = 0 AND trim(text) <> '' THEN trim(text) WHEN path = '' THEN trim('[formula] ' || text) ELSE path || chr(10) || trim('[formula] ' || text) END AS retrieval_text, ordinal % 3 = 0 AS degraded FROM pa WHERE type = 'formula'")
 def c8(spark, d):
-    return elements(spark, d).where("type = 'formula'").select("document_id", "ordinal", F.concat(F.lit("formula:"), "text").alias("retrieval_text"), F.col("text").contains("!!").alias("degraded"))
+    """Every other formula has a search text; every third was not parsed."""
+    even, none = F.col("ordinal") % 2 == 0, F.lit(None).cast("string")
+    rows = pathed(spark, d).withColumn("latex", F.col("text")).withColumn("text", F.when(even, F.col("text")))
+    rows = rows.withColumns({"search_text": F.col("text"), "context": none, "parse_status": F.when(F.col("ordinal") % 3 == 0, "unparsed").otherwise("parsed")})
+    return C.formula_chunks(rows)
 
 
-@query("C9_figure_chunk", _el(" SELECT document_id, ordinal, '[figure] ' || text AS retrieval_text, 'figure:e' || ordinal AS parent_id FROM el WHERE type = 'figure'"))
+@query("C9_figure_chunk", f"WITH {_PATHED.split(', pl AS')[0]} SELECT document_id, ordinal, CASE WHEN path = '' THEN '' ELSE path || chr(10) END || trim('[figure] ' || trim(text)) AS retrieval_text, 'figure:e' || ordinal AS parent_id FROM pa WHERE type = 'figure'")
 def c9(spark, d):
-    return elements(spark, d).where("type = 'figure'").select("document_id", "ordinal", F.concat(F.lit("[figure] "), "text").alias("retrieval_text"), F.concat(F.lit("figure:e"), F.col("ordinal").cast("string")).alias("parent_id"))
+    rows = pathed(spark, d).withColumns({"caption": F.lit(None).cast("string"), "element_id": F.concat(F.lit("e"), F.col("ordinal").cast("string"))})
+    return C.figure_chunks(rows)
 
 
 _ROWS = "r AS (SELECT l_orderkey, l_linenumber, l_partkey, 'part: ' || l_partkey || ' | flag: ' || l_returnflag AS line FROM lineitem)"
@@ -102,12 +128,18 @@ def _rows(spark, d):
     return spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", line.alias("line"))
 
 
-@query("C10_table_summary", f"WITH {_ROWS} SELECT l_orderkey, 'table of ' || count(*) || ' rows: ' || array_to_string(list(l_partkey::VARCHAR ORDER BY l_linenumber, l_partkey)[1:15], ', ') AS summary FROM r GROUP BY 1")
+@query("C10_table_summary", """WITH r AS (SELECT *, '[table-fact] t | ' || l_partkey || ' | flag | ' || l_returnflag AS fact, row_number() OVER w AS rn, sum(greatest(1, length('[table-fact] t | ' || l_partkey || ' | flag | ' || l_returnflag) // 4) + 1) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag ROWS UNBOUNDED PRECEDING) AS used FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag))
+SELECT l_orderkey AS table_id, 'filename: orders.csv' || chr(10) || '[table-summary] order ' || l_orderkey || chr(10) || 'columns: part | flag' || chr(10) || 'row_labels: ' || string_agg(l_partkey::VARCHAR, '; ' ORDER BY rn) FILTER (WHERE rn <= 15) || chr(10)
+ || 'highlights: ' || string_agg(l_partkey || ' | flag | ' || l_returnflag, ' ; ' ORDER BY rn) FILTER (WHERE rn = 1 OR used <= 256) || chr(10) || 'shape: ' || count(*) || ' rows × 2 cols' AS retrieval_text FROM r GROUP BY 1""")
 def c10(spark, d):
-    """Up to 15 row labels: the cap is the feature."""
-    label = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda s: s["l_partkey"].cast("string"))
-    rows = _rows(spark, d).groupBy("l_orderkey").agg(label.alias("labels"))
-    return rows.select("l_orderkey", F.concat(F.lit("table of "), F.size("labels").cast("string"), F.lit(" rows: "), F.array_join(F.slice("labels", 1, 15), ", ")).alias("summary"))
+    """Order lines are the rows of one table per order; up to 15 row labels: the cap is the feature."""
+    text = F.col("l_partkey").cast("string")
+    fact = F.concat_ws(" | ", F.lit("[table-fact] t"), text, F.lit("flag"), "l_returnflag")
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", F.struct("l_linenumber", "l_partkey", text.alias("label"), fact.alias("fact")).alias("r"))
+    tables = rows.groupBy(F.col("l_orderkey").alias("table_id")).agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    pick = lambda c: F.transform("rows", lambda r: r[c])
+    tables = tables.select("table_id", F.concat(F.lit("order "), F.col("table_id").cast("string")).alias("caption"), F.array(F.lit("part"), F.lit("flag")).alias("headers"), pick("label").alias("labels"), F.size("rows").alias("n_rows"), pick("fact").alias("facts"), C.file_prefix(F.lit("orders.csv")).alias("prefix"))
+    return C.table_summaries(tables)
 
 
 @query("C11_table_packs", f"""WITH RECURSIVE {_ROWS}, n AS (SELECT l_orderkey, line, greatest(1, length(line) // 4) + 1 AS cost, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, line) AS rn FROM r),
@@ -122,17 +154,15 @@ def c11(spark, d):
 @query("C12_file_identity_prefix", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'filename: ' || doc_id || '.csv' END AS prefix FROM documents")
 def c12(spark, d):
     name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".PDF").otherwise(".csv"))
-    prefix = F.when((name == "") | F.lower(name).endswith(".pdf"), "").otherwise(F.concat(F.lit("filename: "), name))
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", prefix.alias("prefix"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", C.file_prefix(name).alias("prefix"))
 
 
-@query("C13_fact_compaction", "SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag || ' | qty | ' || l_quantity::INT AS fact FROM lineitem")
+@query("C13_fact_compaction", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 2 = 0 THEN 'orders | ' || l_returnflag ELSE l_returnflag || ' | qty | ' || l_quantity::INT END AS fact FROM lineitem")
 def c13(spark, d):
     rows = spark.read.parquet(f"{d}/lineitem.parquet")
-    fact = F.concat_ws(" | ", F.lit("[table-fact] orders"), "l_returnflag", F.lit("qty"), F.col("l_quantity").cast("int").cast("string"))
-    parts = F.split(F.regexp_replace(fact, r"^\[table-fact\]\s*", ""), r" \| ")
-    short = F.when(F.size(parts) >= 3, F.array_join(F.slice(parts, -3, 3), " | ")).otherwise(F.substring(fact, 1, 240))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", short.alias("fact"))
+    long = F.concat_ws(" | ", F.lit("[table-fact] orders"), "l_returnflag", F.lit("qty"), F.col("l_quantity").cast("int").cast("string"))
+    fact = F.when(F.col("l_linenumber") % 2 == 0, F.concat_ws(" | ", F.lit("[table-fact] orders"), "l_returnflag")).otherwise(long)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", C.compact_fact(fact).alias("fact"))
 
 
 @query("C14_truncate_ellipsis", _el(" SELECT document_id, ordinal, CASE WHEN length(text) > 80 THEN rtrim(left(text, 79)) || '…' ELSE text END AS text FROM el"))

@@ -62,7 +62,7 @@ def e1(spark, d):
 
 @query("E2_collapse_spaced_letters")
 def e2(spark, d):
-    """A callback replacement has no SQL twin; the tests hold it against brute force."""
+    """Lookarounds have no SQL twin; the tests hold it against a callback replacement."""
     rows = elements(spark, d).where("type = 'caption'")
     spaced = F.regexp_replace(F.col("text"), r"(?<=[A-Za-z])(?=[A-Za-z])", " ")
     return rows.select("document_id", "ordinal", E.collapse_spaced(spaced).alias("text"))
@@ -89,9 +89,14 @@ def e5(spark, d):
     return rows.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("E6_fragment_merge")
+@query("E6_fragment_merge", f"""WITH RECURSIVE {EL}, c AS (SELECT document_id, ordinal, type, (ordinal // 5 + 1)::INT AS page, CASE ordinal % 5 WHEN 0 THEN lower(text) WHEN 4 THEN rtrim(regexp_replace(text, '[.!?]+$', '')) ELSE text END AS text FROM el),
+s AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ordinal) AS rn FROM c WHERE NOT (type IN ('figure', 'caption', 'footnote') OR (type = 'heading' AND NOT regexp_matches(text, '^\\d+(\\.\\d+)*\\b')))),
+f AS (SELECT document_id, rn, ordinal AS head, type, page, text, page AS page_end FROM s WHERE rn = 1
+  UNION ALL SELECT s.document_id, s.rn, if(j.joins, f.head, s.ordinal), if(j.joins, f.type, s.type), if(j.joins, f.page, s.page), if(j.joins, if(f.text LIKE '%-', left(rtrim(f.text), length(rtrim(f.text)) - 1), rtrim(f.text) || ' ') || ltrim(s.text), s.text), s.page
+  FROM f JOIN s ON s.document_id = f.document_id AND s.rn = f.rn + 1, LATERAL (SELECT s.type = 'paragraph' AND f.type = 'paragraph' AND s.page = f.page + 1 AND regexp_matches(ltrim(s.text), '^\\p{{Ll}}') AND rtrim(f.text) <> '' AND NOT regexp_matches(rtrim(f.text), '[.!?"”'':]$') AS joins) j),
+o AS (SELECT document_id, head AS ordinal, arg_max(text, rn) AS text, min(page) AS page, max(page_end) AS page_end FROM f GROUP BY 1, 2 UNION ALL SELECT document_id, ordinal, text, page, page FROM c WHERE type IN ('figure', 'caption', 'footnote') OR (type = 'heading' AND NOT regexp_matches(text, '^\\d+(\\.\\d+)*\\b')))
+SELECT document_id, count(*) AS n, count(*) FILTER (WHERE page_end > page) AS merged, sha256(string_agg(text, chr(10) ORDER BY ordinal)) AS texts FROM o GROUP BY 1""")
 def e6(spark, d):
-    """A fold over its own output: the tests hold it against brute force."""
     rows = elements(spark, d).withColumn("text", F.when(F.col("ordinal") % 5 == 0, F.lower("text")).when(F.col("ordinal") % 5 == 4, F.rtrim(F.regexp_replace("text", r"[.!?]+$", ""))).otherwise(F.col("text")))
     rows = rows.withColumn("page", (F.floor(F.col("ordinal") / 5) + 1).cast("int"))
     out = E.merge_fragments(rows)
@@ -109,31 +114,26 @@ def w5(spark, d):
     return rows.groupBy("type", "nxt").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("E8_bound_caption_suppression", _el(", b AS (SELECT DISTINCT document_id, trim(text) AS t FROM el WHERE type = 'caption' AND ordinal % 2 = 0) SELECT e.document_id, e.ordinal FROM el e WHERE type = 'caption' AND NOT EXISTS (SELECT 1 FROM b WHERE b.document_id = e.document_id AND b.t = trim(e.text))"))
+@query("E8_bound_caption_suppression", _el(", n AS (SELECT *, coalesce(lag(CASE WHEN type = 'caption' THEN text END) OVER w, lead(CASE WHEN type = 'caption' THEN text END) OVER w) AS own FROM el WINDOW w AS (PARTITION BY document_id ORDER BY ordinal)) SELECT document_id, ordinal FROM n a WHERE type = 'caption' AND NOT EXISTS (SELECT 1 FROM n b WHERE b.document_id = a.document_id AND b.type IN ('figure', 'table') AND trim(b.own) = trim(a.text))"))
 def e8(spark, d):
-    """The captions that figures have bound are those of even lines."""
-    rows = elements(spark, d).where("type = 'caption'").withColumn("t", F.trim("text"))
-    bound = rows.where("ordinal % 2 = 0").select("document_id", "t")
-    return rows.join(bound, ["document_id", "t"], "left_anti").select("document_id", "ordinal")
+    """A figure or table has the caption next to it as its own."""
+    rows = elements(spark, d).withColumn("captions", F.filter(F.array(E.near_caption()), lambda c: c.isNotNull()))
+    return E.without_bound_captions(rows).where("type = 'caption'").select("document_id", "ordinal")
 
 
-_RANKED = """, h AS (SELECT document_id, ordinal, text, coalesce(level, 1) AS rank FROM el WHERE type = 'heading'),
-up AS (SELECT a.document_id, a.ordinal, b.ordinal AS o, b.text, b.rank FROM {of} a JOIN h b ON a.document_id = b.document_id AND b.ordinal < a.ordinal
-       WHERE NOT EXISTS (SELECT 1 FROM h c WHERE c.document_id = a.document_id AND c.ordinal > b.ordinal AND c.ordinal < a.ordinal AND c.rank <= b.rank) {own})
-"""
-
-
-@query("E9_heading_stack_path", _el(_RANKED.format(of="(SELECT document_id, ordinal FROM el WHERE type <> 'heading')", own="") + "SELECT document_id, ordinal, string_agg(text, ' > ' ORDER BY o) AS path FROM up GROUP BY 1, 2"))
+@query("E9_heading_stack_path", _el(""", n AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ordinal) AS k FROM el WHERE type = 'heading'),
+h AS (SELECT document_id, ordinal, text, k + least(0, min(greatest(coalesce(level, 1), 1) - k) OVER (PARTITION BY document_id ORDER BY k ROWS UNBOUNDED PRECEDING)) AS depth FROM n),
+up AS (SELECT a.document_id, a.ordinal, b.ordinal AS o, b.text FROM el a JOIN h b ON a.document_id = b.document_id AND b.ordinal < a.ordinal LEFT JOIN h own ON own.document_id = a.document_id AND own.ordinal = a.ordinal
+       WHERE NOT EXISTS (SELECT 1 FROM h c WHERE c.document_id = a.document_id AND c.ordinal > b.ordinal AND c.ordinal < a.ordinal AND c.depth <= b.depth) AND (own.depth IS NULL OR b.depth < own.depth))
+SELECT document_id, ordinal, string_agg(text, ' > ' ORDER BY o) AS path FROM up GROUP BY 1, 2"""))
 def e9(spark, d):
-    """Every heading has a rank here, so SQL can find the open ones."""
-    ranked = elements(spark, d).withColumn("level", F.when(F.col("type") == "heading", F.coalesce("level", F.lit(1))))
-    kinds = ranked.select("document_id", "ordinal", "type")
-    return E.heading_paths(ranked).join(kinds.where("type <> 'heading'"), ["document_id", "ordinal"], "left_semi").where("path <> ''")
+    """The SQL has the stack's depth in closed form: a level, or one more than before if that is less."""
+    return E.heading_paths(elements(spark, d), by_level=True).where("path <> ''")
 
 
 @query("R1_heading_path_deepening")
 def r1(spark, d):
-    """Mixed ranks make the stack depend on its content; the tests hold it against brute force."""
+    """Mixed ranks make the stack depend on its content; the tests hold it against a plain stack."""
     paths = E.heading_paths(elements(spark, d))
     return paths.groupBy("document_id").agg(F.count_if(F.col("path") != "").alias("with_path"), F.max(F.size(F.split("path", " > "))).alias("deepest"), F.sum(F.crc32("path")).alias("check"))
 
@@ -145,20 +145,20 @@ def e10(spark, d):
     return rows.select("document_id", F.format_string("e%04d", "n").alias("element_id"), prefixed.alias("search_text"))
 
 
-@query("E11_table_payload", """SELECT l_orderkey, string_agg('part: ' || l_partkey || ' | qty: ' || l_quantity::INT || ' | flag: ' || l_returnflag, chr(10) ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) AS body FROM lineitem GROUP BY 1""")
+@query("E11_table_payload", """SELECT l_orderkey, CASE WHEN l_orderkey % 2 = 0 THEN 'order ' || l_orderkey || chr(10) ELSE '' END || string_agg('part: ' || l_partkey || ' | qty: ' || l_quantity::INT || CASE WHEN l_returnflag = 'N' THEN '' ELSE ' | flag: ' || l_returnflag END, chr(10) ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) AS body FROM lineitem GROUP BY 1""")
 def e11(spark, d):
-    """Order lines are the rows of one table per order."""
+    """Order lines are the rows of one table per order; even orders have a caption, flag N is no value."""
     headers = F.array(F.lit("part"), F.lit("qty"), F.lit("flag"))
-    cells = F.array(F.col("l_partkey").cast("string"), F.col("l_quantity").cast("int").cast("string"), "l_returnflag")
-    row = F.array_join(F.zip_with(headers, cells, lambda h, c: F.concat_ws(": ", h, c)), " | ")
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_quantity", "l_returnflag", row.alias("line")).alias("r"))
-    return rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), "\n").alias("body"))
+    cells = F.array(F.col("l_partkey").cast("string"), F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_returnflag") == "N", "NaN").otherwise(F.col("l_returnflag")))
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_quantity", "l_returnflag", E.row_text(headers, cells).alias("line")).alias("r"))
+    tables = rows.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]).alias("rows"))
+    caption = F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.lit("order "), F.col("l_orderkey").cast("string")))
+    return tables.select("l_orderkey", E.table_text(caption, F.col("rows")).alias("body"))
 
 
 @query("E12_caption_resolution", _el(", c AS (SELECT document_id, ordinal, lag(CASE WHEN type = 'caption' THEN text END) OVER w AS before, lead(CASE WHEN type = 'caption' THEN text END) OVER w AS after, type FROM el WINDOW w AS (PARTITION BY document_id ORDER BY ordinal)) SELECT document_id, ordinal, coalesce(before, after, '') AS caption FROM c WHERE type IN ('figure', 'table')"))
 def e12(spark, d):
-    caption = F.when(F.col("type") == "caption", F.col("text"))
-    rows = elements(spark, d).select("document_id", "ordinal", "type", F.coalesce(F.lag(caption).over(E.doc_order()), F.lead(caption).over(E.doc_order()), F.lit("")).alias("caption"))
+    rows = elements(spark, d).select("document_id", "ordinal", "type", F.coalesce(E.near_caption(), F.lit("")).alias("caption"))
     return rows.where("type in ('figure', 'table')").drop("type")
 
 
@@ -333,18 +333,19 @@ def r7(spark, d):
 @query("R8_table_forward_fill", "SELECT a.o_custkey, a.o_orderkey, arg_max(b.o_orderstatus, b.o_orderkey) AS first_cell FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderkey <= a.o_orderkey AND b.o_orderkey % 2 = 1 GROUP BY 1, 2")
 def r8(spark, d):
     """A customer's orders are the rows of a table; the first cell of even ones is blank."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cell = F.when(F.col("o_orderkey") % 2 == 1, F.col("o_orderstatus")).otherwise(F.lit(""))
-    rows = spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderkey", F.last(F.nullif(cell, F.lit("")), ignorenulls=True).over(w).alias("first_cell"))
-    return rows.where("first_cell is not null")
+    rows = spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderkey", E.filled_down(cell, ["o_custkey"], "o_orderkey").alias("first_cell"))
+    return rows.where("first_cell <> ''")
 
 
-@query("R9_table_facts", """SELECT l_orderkey, l_linenumber, '[table-fact] order ' || l_orderkey || ' | ' || l_returnflag || ' | ' || h || ' | ' || v AS fact FROM (SELECT l_orderkey, l_linenumber, l_returnflag, unnest(['qty', 'part']) AS h, unnest([l_quantity::INT::VARCHAR, l_partkey::VARCHAR]) AS v FROM lineitem)""")
+@query("R9_table_facts", """SELECT l_orderkey, l_linenumber, '[table-fact] order ' || l_orderkey || ' | ' || l_returnflag || ' | ' || l_linestatus || ' | ' || h || ' | ' || v AS fact FROM (SELECT *, unnest(['qty', 'qty', 'col4']) AS h, unnest([l_quantity::INT::VARCHAR, l_linenumber::VARCHAR, l_partkey::VARCHAR]) AS v FROM lineitem)""")
 def r9(spark, d):
-    """Unpivot: row label x header x value."""
-    cells = F.explode(F.arrays_zip(F.array(F.lit("qty"), F.lit("part")).alias("h"), F.array(F.col("l_quantity").cast("int").cast("string"), F.col("l_partkey").cast("string")).alias("v"))).alias("c")
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag", cells)
-    return rows.select("l_orderkey", "l_linenumber", F.concat_ws(" | ", F.concat(F.lit("[table-fact] order "), F.col("l_orderkey").cast("string")), "l_returnflag", "c.h", "c.v").alias("fact"))
+    """Unpivot: group, model, a cell of two values, and a cell without header."""
+    text = lambda c: F.col(c).cast("int").cast("string")
+    headers = F.array(F.lit(""), F.lit("Model"), F.lit("qty"))
+    cells = F.array("l_returnflag", "l_linestatus", F.concat_ws(" / ", text("l_quantity"), text("l_linenumber")), text("l_partkey"))
+    caption = F.concat(F.lit("order "), F.col("l_orderkey").cast("string"))
+    return spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.explode(E.table_facts(caption, headers, cells)).alias("fact"))
 
 
 _BUDGET = ", b AS (SELECT document_id, ordinal, greatest(1, length(text) // 4) + 1 AS cost, row_number() OVER (PARTITION BY document_id ORDER BY ordinal) AS rn FROM el WHERE type = 'caption'), s AS (SELECT *, sum(cost) OVER (PARTITION BY document_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS used FROM b)"
@@ -376,10 +377,19 @@ def r12(spark, d):
     return rows.select("document_id", "ordinal", "index_policy", F.lit("skipped_image").alias("parse_status"))
 
 
-@query("R13_search_text", _el(" SELECT document_id, ordinal, CASE type WHEN 'table' THEN left(text, 4000) WHEN 'formula' THEN '[formula] ' || text WHEN 'figure' THEN '[figure] ' || text ELSE text END AS search_text FROM el"))
+@query("R13_search_text", _el(""", s AS (SELECT *, 'd' || document_id AS path FROM el)
+SELECT document_id, ordinal, CASE WHEN type = 'table' AND ordinal % 2 = 0 THEN left('cap' || chr(10) || text, 4000) WHEN type = 'table' THEN path || chr(10) || text WHEN type = 'formula' THEN path || chr(10) || '[formula] ' || CASE WHEN ordinal % 3 = 0 THEN '(1) ' ELSE '' END || text || chr(10) || 'before'
+ WHEN type = 'figure' AND page IS NULL THEN '[image]' WHEN type = 'figure' THEN '[image] page=' || page ELSE text END AS search_text FROM s"""))
 def r13(spark, d):
-    text = F.when(F.col("type") == "table", F.substring("text", 1, 4000)).when(F.col("type").isin("formula", "figure"), F.concat(F.lit("["), F.col("type"), F.lit("] "), F.col("text"))).otherwise(F.col("text"))
-    return elements(spark, d).select("document_id", "ordinal", text.alias("search_text"))
+    """Even tables were not parsed; every third formula has a label."""
+    even, third = F.col("ordinal") % 2 == 0, F.col("ordinal") % 3 == 0
+    none = F.lit(None).cast("string")
+    rows = elements(spark, d).withColumns({
+        "parse_status": F.when(even, "unparsed").otherwise("parsed"), "caption": F.when(F.col("type") == "table", "cap"), "markdown": none, "latex": none,
+        "eq_label": F.when(third, "1"), "context_before": F.lit("before"),
+    })
+    path = F.concat(F.lit("d"), F.col("document_id").cast("string"))
+    return rows.select("document_id", "ordinal", E.search_text(path, none).alias("search_text"))
 
 
 @query("P1_docx_page_alignment", "WITH l AS (SELECT doc_id AS document_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS ordinal, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM documents) SELECT document_id, count(*) AS n FROM l WHERE trim(text) <> '' GROUP BY 1")

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import io
-import tempfile
 import zipfile
-from pathlib import Path
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -13,16 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions.migrations import migrate, read_table, store_tables
 from ..functions.storage import work_folder
 from ..operators import chunks as C
 from ..operators import snapshot as N
 from ..operators.vectors import hashed_bow
 from ..sources.artifacts import read_snapshot
-from ..sources.uploads import docx_units, read_config
+from ..sources.uploads import docx_units, model_of, parse_config
 from .elements import elements
 
 
-def _published(spark: SparkSession, d: str, times: int = 1) -> str:
+def published(spark: SparkSession, d: str, times: int = 1) -> str:
     root = work_folder(spark, "snapshot")
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     manifest = e.agg(F.count(F.lit(1)).alias("chunk_count"))
@@ -33,17 +32,16 @@ def _published(spark: SparkSession, d: str, times: int = 1) -> str:
 
 @query("K1_publish_version", "SELECT vec_id AS chunk_id, label FROM embeddings")
 def k1(spark, d):
-    return read_snapshot(spark, _published(spark, d)).select("chunk_id", "label")
+    return read_snapshot(spark, published(spark, d)).select("chunk_id", "label")
 
 
-@query("K2_version_gc", "SELECT 1 AS versions, 1 AS pointers")
+@query("K2_version_gc", "SELECT label, count(*) AS n, 1::BIGINT AS versions FROM embeddings GROUP BY 1")
 def k2(spark, d):
     """After two publications one version is left, the one that the pointer names."""
-    root = _published(spark, d, 2)
-    fs, path = N._fs(spark, root)
-    names = [s.getPath().getName() for s in fs.listStatus(path(root))]
-    current = spark.read.text(f"{root}/current").first()[0]
-    return spark.createDataFrame([(sum(n.startswith("v") for n in names), sum(n == current for n in names))], "versions int, pointers int")
+    root = published(spark, d, 2)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root)
+    versions = files.select(F.regexp_extract("path", r"/(v\d+-\w+)/vectors/", 1).alias("version")).distinct().agg(F.count(F.lit(1)).alias("versions"))
+    return read_snapshot(spark, root).groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(versions), F.lit(True))
 
 
 @query("K4_chunk_artifacts", "SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1")
@@ -56,16 +54,12 @@ def k4(spark, d):
     return back.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("K9_output_guard", "SELECT * FROM (VALUES ('/repo/data/x.json', false), ('/repo/out/x.json', true), ('/repo/database/x', true)) AS t(path, allowed)")
+@query("K9_output_guard", "SELECT doc_id, doc_id % 4 IN (1, 3) AS allowed FROM documents")
 def k9(spark, d):
-    def allowed(path: str) -> bool:
-        try:
-            N.guarded_output(path, "/repo/data")
-        except ValueError:
-            return False
-        return True
-
-    return spark.createDataFrame([(p, allowed(p)) for p in ("/repo/data/x.json", "/repo/out/x.json", "/repo/database/x")], "path string, allowed boolean")
+    """Outputs may not lie in the data folder, however their path is written."""
+    k, name = F.col("doc_id") % 4, F.concat(F.lit("/x"), F.col("doc_id").cast("string"))
+    path = F.concat(F.when(k == 0, "/repo/./data").when(k == 1, "/repo/database").when(k == 2, "/repo//out/../data").otherwise("/repo/data/../out"), name)
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", (~N.inside(path, "/repo/data")).alias("allowed"))
 
 
 def build(spark: SparkSession, docs_elements: DataFrame, root: str) -> DataFrame:
@@ -102,35 +96,25 @@ def docx_bytes(lines: list[str], every: int = 4) -> bytes:
 def s6(spark, d):
     def run(pdfs):
         for pdf in pdfs:
-            rows = [(doc, unit[1]) for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True) for unit in docx_units(docx_bytes((text or "").split("\n")))]
+            rows = [(doc, page) for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True) for _, page, _ in docx_units(docx_bytes((text or "").split("\n")))]
             yield pd.DataFrame(rows, columns=["document_id", "page"]).astype({"document_id": "int64", "page": "int32"})
 
     units = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").mapInPandas(run, "document_id long, page int")
     return units.groupBy("document_id", "page").agg(F.count(F.lit(1)).alias("units"))
 
 
-@query("S18_role_config", "SELECT * FROM (VALUES ('chat', 'small'), ('default', 'small'), ('router', 'large'), ('summary', 'small')) AS t(role, model)")
+@query("S18_role_config", "SELECT event_id, CASE event_type WHEN 'view' THEN 'small' WHEN 'error' THEN 'large' ELSE 'base' END AS model FROM events")
 def s18(spark, d):
-    """Driver-side configuration: a role without a model has the default one."""
-    with tempfile.TemporaryDirectory() as folder:
-        path = Path(folder, "models.toml")
-        path.write_text('[roles]\ndefault = "small"\nrouter = "large"\n')
-        return spark.createDataFrame(sorted(read_config(path)["roles"].items()), "role string, model string")
-
-
-#: Forward-only steps: each adds columns to the tables of the version before.
-MIGRATIONS = (("sessions", ["session_id", "updated_at"]), ("sessions", ["scope_json"]), ("sessions", ["summary_failures"]))
-
-
-def migrate(version: int) -> tuple[int, dict[str, list[str]]]:
-    """(version after all steps, columns by table) from a stored version on."""
-    tables: dict[str, list[str]] = {}
-    for number, (table, columns) in enumerate(MIGRATIONS, 1):
-        tables.setdefault(table, []).extend(columns)
-        version = max(version, number)
-    return version, tables
+    """Each call takes the model of its role; roles without one have the default's."""
+    config = parse_config('[roles]\ndefault = "base"\nview = "small"\nerror = "large"\n')
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", model_of(F.col("event_type"), config).alias("model"))
 
 
-@query("D11_schema_migrations", "SELECT * FROM (VALUES (0, 3, 4), (2, 3, 4), (3, 3, 4)) AS t(stored, version, columns)")
+@query("D11_schema_migrations", "SELECT conv_id AS session_id, max(turn)::VARCHAR AS updated_at, NULL::VARCHAR AS scope_json, 0 AS summary_failures, 3 AS version FROM conversations GROUP BY 1")
 def d11(spark, d):
-    return spark.createDataFrame([(s, migrate(s)[0], len(migrate(s)[1]["sessions"])) for s in (0, 2, 3)], "stored int, version int, columns int")
+    """A table of version 1 gets what versions 2 and 3 added."""
+    root = work_folder(spark, "state")
+    first = spark.read.parquet(f"{d}/conversations.parquet").groupBy(F.col("conv_id").alias("session_id")).agg(F.max("turn").cast("string").alias("updated_at"))
+    store_tables(spark, root, {"sessions": first}, 1)
+    version = migrate(spark, root)
+    return read_table(spark, root, "sessions").withColumn("version", F.lit(version))

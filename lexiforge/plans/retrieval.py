@@ -157,9 +157,10 @@ z_all AS (SELECT *, true AS reserved FROM z_r UNION ALL SELECT *, false FROM z_f
 """
 
 
-@query("Q5_quota_selection", _with(_QUOTA + "SELECT request_id, position::INT AS position, chunk_id, reserved FROM z_all WHERE position <= 15"))
+@query("Q5_quota_selection", _with(_QUOTA.replace("WHERE channel = 1 AND", "WHERE channel = 1 AND request_id % 3 <> 0 AND") + "SELECT request_id, position::INT AS position, chunk_id, reserved FROM z_all WHERE position <= 15"))
 def q5(spark, d):
-    ch = channels(spark, d)
+    """The second text of every third request has no slot of its own."""
+    ch = channels(spark, d).withColumn("own_slot", (F.col("channel") == 0) | (F.col("request_id") % 3 != 0))
     return R.quota_select(R.fuse(ch), ch, R.CANDIDATE_K)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import route as T
+from ..operators.settings import with_violations
 
 ENDINGS = ("", "？注意力机制是什么，编码器以及解码器分别怎么训练", "训练集在第3节", "多头注意力和数据集", "hello")
 
@@ -105,11 +106,15 @@ def t10(spark, d):
     return questions(spark, d).select("conv_id", "turn", q.rlike(T.REMEMBER).alias("asked"))
 
 
-@query("T15_settings_validation", "SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size < 5 THEN 'top_k' END, CASE WHEN p_retailprice > 1500 THEN 'min_score' END, CASE WHEN p_size % 2 = 0 THEN 'quota' END], lambda x: x IS NOT NULL), ',') AS violations FROM part")
+@query("T15_settings_validation", "SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size - 5 < 1 THEN 'top_k' END, CASE WHEN p_size % 4 - 1 < 0 THEN 'quota_per_query' END, CASE WHEN p_retailprice / 1000 - 1 > 0.5 THEN 'score_floor_ratio' END, CASE WHEN p_size < 8 THEN 'rerank_max_length' END, CASE WHEN p_size % 3 = 0 THEN 'route_mode' END], lambda x: x IS NOT NULL), ',') AS violations FROM part")
 def t15(spark, d):
-    """Ranges of settings as a list of violations; parts stand in for settings."""
-    rules = [(F.col("p_size") < 5, "top_k"), (F.col("p_retailprice") > 1500, "min_score"), (F.col("p_size") % 2 == 0, "quota")]
-    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, n in rules))), ",").alias("violations"))
+    """Each part is a set of settings."""
+    size = F.col("p_size")
+    rows = spark.read.parquet(f"{d}/part.parquet").select(
+        "p_partkey", (size - 5).alias("top_k"), (size % 4 - 1).alias("quota_per_query"), (F.col("p_retailprice") / 1000 - 0.5).alias("score_floor_ratio"),
+        size.alias("rerank_max_length"), F.when(size % 3 == 0, "fast").otherwise("auto").alias("route_mode"),
+    )
+    return with_violations(rows).select("p_partkey", F.array_join("violations", ",").alias("violations"))
 
 
 @query("T17_call_signature", "SELECT o_orderkey, 'search:{\"a\":\"' || o_orderstatus || '\",\"b\":\"' || o_custkey || '\"}' AS signature FROM orders")

@@ -108,17 +108,21 @@ def j19(spark, d):
 
 @query("J21_filename_fallback", "WITH n AS (SELECT d.source, d.doc_id, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS rn FROM documents d) SELECT source, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (WHERE rn <= 6) AS hint, greatest(count(*) - 6, 0) AS remaining FROM n GROUP BY 1")
 def j21(spark, d):
-    ids = F.array_sort(F.collect_list("doc_id"))
-    rows = docs(spark, d).groupBy("source").agg(ids.alias("ids"))
-    return rows.select("source", F.array_join(F.transform(F.slice("ids", 1, 6), lambda x: x.cast("string")), ",").alias("hint"), F.greatest(F.size("ids") - 6, F.lit(0)).cast("long").alias("remaining"))
+    """The first six ids come by rank, so that no list of a whole source is made."""
+    ranked = docs(spark, d).withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("rn <= 6")
+    hints = ranked.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("hint"))
+    counts = docs(spark, d).groupBy("source").agg(F.greatest(F.count(F.lit(1)) - 6, F.lit(0)).alias("remaining"))
+    return hints.join(counts, hints["source"].eqNullSafe(counts["source"])).select(hints["source"], "hint", "remaining")
 
 
-@query("J22_tool_listing", "SELECT doc_id, 'p' || (n_chars // 1000 + 1) || ' (' || lang || ')' AS label FROM documents WHERE source IN ('src1', 'src2')")
+@query("J22_tool_listing", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'slide ' || p WHEN 1 THEN 'sheet ' || p WHEN 2 THEN '§' || p ELSE 'p' || p || CASE WHEN doc_id % 8 = 3 THEN '-' || (p + 1) ELSE '' END END AS label, CASE doc_id % 4 WHEN 0 THEN 'slides' WHEN 1 THEN 'sheets' WHEN 2 THEN 'sections' ELSE 'pages' END AS unit FROM (SELECT *, n_chars // 1000 + 1 AS p FROM documents) WHERE source IN ('src1', 'src2')")
 def j22(spark, d):
     picked = spark.createDataFrame([("src1",), ("src2",)], "source string")
     rows = docs(spark, d).join(F.broadcast(picked), "source", "left_semi")
-    return rows.select("doc_id", F.concat(F.lit("p"), (F.floor(F.col("n_chars") / 1000) + 1).cast("string"), F.lit(" ("), "lang", F.lit(")")).alias("label"))
-
+    kind = F.element_at(F.array(*map(F.lit, ("slide", "sheet", "section", "page"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    page = F.floor(F.col("n_chars") / 1000) + 1
+    last = F.when(F.col("doc_id") % 8 == 3, page + 1)
+    return rows.select("doc_id", S.page_label(page, last, kind).alias("label"), S.count_unit(kind).alias("unit"))
 
 @query("J23_library_roll_up", "SELECT d.source, count(*) AS documents, count(*) FILTER (WHERE l.toxic = 1) AS disabled, count(*) FILTER (WHERE l.quality = 0) AS flagged, count(*) FILTER (WHERE l.doc_id IS NULL) AS unknown FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
 def j23(spark, d):
@@ -170,7 +174,7 @@ def l6(spark, d):
 
 @query("L7_limit_after_dedupe", "SELECT source, array_to_string(list_sort(list_distinct(list(lang)))[1:3], ',') AS langs FROM documents GROUP BY 1")
 def l7(spark, d):
-    return docs(spark, d).groupBy("source").agg(F.array_join(F.slice(F.array_sort(F.array_distinct(F.collect_list("lang"))), 1, 3), ",").alias("langs"))
+    return docs(spark, d).groupBy("source").agg(F.array_join(F.slice(F.array_sort(F.collect_set("lang")), 1, 3), ",").alias("langs"))
 
 
 @query("L8_row_selection", "SELECT item_id FROM benchmark WHERE item_id IN (1, 3, 5, 7, 11) OR item_id % 4 = 2")
@@ -294,10 +298,11 @@ def d5(spark, d):
     return rows.select("n_nationkey", F.when(F.col("taken").isNotNull(), "conflict").otherwise(F.col("r_name")).alias("outcome"))
 
 
-@query("D6_guarded_transition", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 2 = 0 THEN 'F' ELSE o_orderstatus END AS status FROM orders")
+@query("D6_guarded_transition", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 3 IN (0, 1) OR o_orderstatus = 'P' AND o_orderkey % 3 = 1 THEN CASE o_orderkey % 3 WHEN 0 THEN 'F' ELSE 'X' END ELSE o_orderstatus END AS status FROM orders")
 def d6(spark, d):
-    hit = (F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 2 == 0)
-    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.when(hit, "F").otherwise(F.col("o_orderstatus")).alias("status"))
+    """Open orders may be filled or cancelled, pending ones cancelled only."""
+    wanted = F.element_at(F.array(F.lit("F"), F.lit("X"), F.lit("O")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", S.moved(F.col("o_orderstatus"), wanted, {"O": ("F", "X"), "P": ("X",)}).alias("status"))
 
 
 @query("D7_compaction", "SELECT conv_id AS session_id, turn AS id FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 3")
@@ -347,24 +352,31 @@ def d15(spark, d):
     return pending.join(ids, "o_orderkey", "left_semi").select("o_orderkey")
 
 
-@query("D9_candidate_promotion", "SELECT event_type AS kind, count(*) FILTER (WHERE event_type IN ('click', 'purchase')) AS landed, count(*) FILTER (WHERE event_type NOT IN ('click', 'purchase')) AS marked FROM events GROUP BY 1")
+@query("D9_candidate_promotion", """SELECT event_id, CASE WHEN event_type = 'click' THEN 'preferences' WHEN event_type = 'purchase' AND user_id % 2 = 0 AND event_id % 4 IN (0, 1) THEN 'progress' WHEN event_type = 'signup' THEN 'profile' END AS target,
+CASE WHEN event_type = 'click' OR (event_type = 'purchase' AND user_id % 2 = 0 AND event_id % 4 IN (0, 1)) THEN ['next_step', 'last_focus', 'major', 'other'][event_id % 4 + 1] WHEN event_type = 'signup' THEN CASE WHEN event_id % 4 = 2 THEN 'major' ELSE 'goal' END END AS field FROM events WHERE event_id % 5 <> 0""")
 def d9(spark, d):
-    """Clicks and purchases stand for kinds with a place to land; others are only marked."""
-    lands = F.col("event_type").isin("click", "purchase")
-    return spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("event_type").alias("kind")).agg(F.count_if(lands).alias("landed"), F.count_if(~lands).alias("marked"))
+    """Event types stand for kinds; every fifth candidate is not pending, odd users have no collection."""
+    kind = F.when(F.col("event_type") == "click", "preference").when(F.col("event_type") == "purchase", "progress").when(F.col("event_type") == "signup", "profile").otherwise("note")
+    key = F.element_at(F.array(*map(F.lit, ("next_step", "last_focus", "major", "other"))), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", kind.alias("kind"), key.alias("key"), F.when(F.col("user_id") % 2 == 0, F.col("user_id")).alias("collection_id"), F.when(F.col("event_id") % 5 == 0, "rejected").otherwise("pending").alias("status"))
+    return S.promoted(rows).select("event_id", "target", "field")
 
 
-@query("D16_task_status", "SELECT o_orderkey, CASE WHEN l.n IS NULL THEN 'not_found' WHEN o_orderstatus = 'F' THEN 'success' WHEN o_orderpriority LIKE '%URGENT%' THEN 'failed:urgent' ELSE 'pending' END AS status FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey")
+@query("D16_task_status", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND l.n IS NULL THEN 'not_found' WHEN o_orderstatus = 'P' THEN CASE WHEN o_orderpriority LIKE '%URGENT%' THEN 'failed:urgent' WHEN o_orderpriority LIKE '%LOW%' THEN 'failed:low' ELSE 'failed:unknown' END WHEN o_orderstatus = 'F' THEN 'success' ELSE 'pending' END AS status FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey")
 def d16(spark, d):
+    """The ledger knows orders with lines; priorities are the messages of failures."""
     ledger = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("known", F.lit(True))
     rows = spark.read.parquet(f"{d}/orders.parquet").join(ledger, "o_orderkey", "left")
-    status = F.when(F.col("known").isNull(), "not_found").when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderpriority").contains("URGENT"), "failed:urgent").otherwise("pending")
-    return rows.select("o_orderkey", status.alias("status"))
+    state = F.when(F.col("o_orderstatus") == "P", "failed").when(F.col("o_orderstatus") == "F", "success").otherwise("pending")
+    return rows.select("o_orderkey", S.task_status(F.col("known"), state, F.col("o_orderpriority"), {"urgent": "urgent", "low": "low"}).alias("status"))
 
 
-@query("D17_retry_transition", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'queued' ELSE 'refused' END AS outcome FROM orders")
+@query("D17_retry_transition", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN 'queued' WHEN o_orderkey % 3 = 1 AND o_orderstatus IN ('F', 'O') THEN 'replaced' WHEN o_orderkey % 3 = 2 AND o_orderstatus IN ('F', 'O', 'P') THEN 'deleted' ELSE o_orderstatus END AS status FROM orders")
 def d17(spark, d):
-    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "queued").otherwise("refused").alias("outcome"))
+    """Only failed (F) ones are retried, busy (P) ones are not replaced, all can be deleted."""
+    wanted = F.element_at(F.array(*map(F.lit, ("queued", "replaced", "deleted"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    rules = {"F": ("queued", "replaced", "deleted"), "O": ("replaced", "deleted"), "P": ("deleted",)}
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", S.moved(F.col("o_orderstatus"), wanted, rules).alias("status"))
 
 
 @query("V20_collection_digest", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) SELECT source, count(*) AS n, max(CASE WHEN rn = 1 THEN left(text, 140) END) AS opening FROM r GROUP BY 1")

@@ -1,4 +1,4 @@
-"""Readers of uploaded files: gate, checks, encodings, and text out of HTML, Markdown, CSV and DOCX."""
+"""Readers of uploaded files: gate, checks, encodings, and text out of the accepted formats."""
 
 from __future__ import annotations
 
@@ -8,11 +8,15 @@ import os
 import re
 import tomllib
 import zipfile
+import zlib
+from collections import Counter
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from pathlib import Path
 from xml.etree import ElementTree
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +29,12 @@ MIME = {
 }
 MAGIC = {"pdf": "255044462D", "docx": "504B0304", "pptx": "504B0304", "xlsx": "504B0304"}
 IMAGES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp", "gif": "image/gif"}
-BOMS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
+BOMS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe\x00\x00", "utf-32-le"), (b"\x00\x00\xfe\xff", "utf-32-be"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
+#: Double-byte codes with their family and the lead bytes of their common characters.
+ZONES = {"gb18030": ("chinese", 0xB0, 0xD7), "big5": ("chinese", 0xA4, 0xC6), "euc_kr": ("korean", 0xB0, 0xC8), "euc_jp": ("japanese", 0xA4, 0xCF), "shift_jis": ("japanese", 0x82, 0x97)}
+MARK_LEADS = {"gb18030": (0xA1, 0xA3), "big5": (0xA1, 0xA2), "euc_kr": (0xA1, 0xA3), "euc_jp": (0xA1, 0xA3), "shift_jis": (0x81,)}
+MARKS = "，。！？、；：（）“”《》「」『』・ー〜…—　"
+MIN_WIDE, SURE = 50, 0.95
 
 
 def extension(name: Column) -> Column:
@@ -55,9 +64,39 @@ def check(ext: Column, content: Column) -> Column:
     return F.when(n == 0, "empty").when(n > MAX_BYTES, "too_large").when(~magic, "bad_magic").otherwise("ok")
 
 
+def _zone_family(text: str, codec: str) -> bool:
+    """Whether the characters of two bytes or more lie in the part of their code that common text uses."""
+    name, low, high = ZONES[codec]
+    inside = total = 0
+    for c, n in Counter(text).items():
+        if ord(c) > 127:
+            raw = c.encode(codec)
+            total += n
+            inside += n * (len(raw) == 2 and (low <= raw[0] <= high or raw[0] in MARK_LEADS[codec]))
+    return total >= MIN_WIDE and inside >= SURE * total
+
+
+def _script_family(text: str) -> str | None:
+    """The family that the scripts of the decoded text speak for."""
+    wide = Counter(c for c in text if ord(c) > 127)
+    total = wide.total()
+    if total < MIN_WIDE:
+        return None
+    share = lambda low, high: sum(n for c, n in wide.items() if low <= c <= high) / total
+    marks = sum(n for c, n in wide.items() if c in MARKS) / total
+    han, kana, hangul = share("\u4e00", "\u9fff"), share("\u3040", "\u30ff"), share("\uac00", "\ud7a3")
+    if hangul + marks >= SURE:
+        return "korean"
+    if kana >= 0.2 and kana + han + marks >= SURE:
+        return "japanese"
+    return "chinese" if han + marks >= SURE else None
+
+
 def sniff(raw: bytes) -> str | None:
-    """A BOM's encoding, utf-8 where it decodes, GB18030 where it decodes to plenty of common Han
-    characters; None is a refusal to guess."""
+    """A BOM's encoding, utf-8 where it decodes, else the double-byte code on which two tests agree:
+    where its bytes lie in the code, and which scripts the decoded text is in.  None is a refusal:
+    for too little text, for single-byte codes, which decode to other letters without a trace, and
+    where two codes pass."""
     for bom, name in BOMS:
         if raw.startswith(bom):
             return name
@@ -66,36 +105,143 @@ def sniff(raw: bytes) -> str | None:
         return "utf-8"
     except UnicodeDecodeError:
         pass
-    try:
-        text = raw.decode("gb18030")
-    except UnicodeDecodeError:
-        return None
-    wide = [c for c in text if ord(c) > 127]
-    common = sum("一" <= c <= "鿿" or c in "，。！？、；：（）“”《》" for c in wide)
-    return "gb18030" if len(wide) >= 50 and common >= 0.95 * len(wide) else None
+    agreed: dict[str, str] = {}
+    for codec, (family, _, _) in ZONES.items():
+        try:
+            text = raw.decode(codec)
+        except UnicodeDecodeError:
+            continue
+        if _script_family(text) == family and _zone_family(text, codec):
+            agreed.setdefault(family, codec)
+    if "korean" in agreed and agreed.get("chinese") == "gb18030":
+        del agreed["chinese"]  # Hangul is in the first half of GB's zone, where Chinese text does not stay
+    return next(iter(agreed.values())) if len(agreed) == 1 else None
 
 
-def transcode(raw: bytes) -> str | None:
-    name = sniff(raw)
-    if name is None:
-        return None
-    text = raw.decode(name)
-    return text[1:] if text.startswith("﻿") else text
+def transcode(raw: bytes | None) -> str | None:
+    """The text of the bytes without a BOM; null for null and where the encoding is refused."""
+    name = None if raw is None else sniff(raw)
+    return None if name is None else raw.decode(name).removeprefix("\ufeff")
+
 
+def transcoded(files: DataFrame) -> DataFrame:
+    """files (document_id, content binary) to (document_id, encoding, text), by file in Arrow batches."""
+    key = files.schema["document_id"].dataType.simpleString()
 
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raws = b.column("content").to_pylist()
+            found = [None if r is None else sniff(r) for r in raws]
+            texts = [None if e is None else r.decode(e).removeprefix("\ufeff") for r, e in zip(raws, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("document_id"), pa.array(found, pa.string()), pa.array(texts, pa.string())], ["document_id", "encoding", "text"])
+
+    return files.select("document_id", "content").mapInArrow(run, f"document_id {key}, encoding string, text string")
+
+
+#: The XML names of office files.
+WORD = {"w": "http://schemas.openxmlformats.org/wordprocessingml/2006/main"}
+SHEET = {"s": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
+SLIDE = {"a": "http://schemas.openxmlformats.org/drawingml/2006/main", "p": "http://schemas.openxmlformats.org/presentationml/2006/main"}
 
 
 def docx_units(raw: bytes) -> list[tuple[str, int, str]]:
-    """(text, page, tag) of each body child; a break before counts at once, one inside after it."""
-    body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(raw)).read("word/document.xml")).find(f"{_W}body")
-    out, page = [], 1
-    for child in body if body is not None else ():
-        if child.find(f"{_W}pPr/{_W}pageBreakBefore") is not None:
-            page += 1
-        out.append(("".join(t.text or "" for t in child.iter(f"{_W}t")), page, child.tag.removeprefix(_W)))
-        page += sum(b.get(f"{_W}type") == "page" for b in child.iter(f"{_W}br"))
-    return out
+    """(text, page, tag) of each body child; none without a body.
+
+    A child that asks for a page break before it is on the new page; page breaks inside it count
+    once, for what comes after."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        children = ElementTree.fromstring(z.read("word/document.xml")).findall("w:body/*", WORD)
+    kind = f"{{{WORD['w']}}}type"
+    turned = [c.find(".//w:pageBreakBefore", WORD) is not None for c in children]
+    ended = [any(b.get(kind) == "page" for b in c.iterfind(".//w:br", WORD)) for c in children]
+    pages = 1 + np.cumsum(turned, dtype=int) + np.cumsum([0, *ended[:-1]] if ended else [], dtype=int)
+    texts = ["".join(t.text or "" for t in c.iterfind(".//w:t", WORD)).strip() for c in children]
+    return [(text, int(page), c.tag.rpartition("}")[2]) for text, page, c in zip(texts, pages, children, strict=True)]
+
+
+def xlsx_items(raw: bytes) -> list[tuple[str, int | None, str]]:
+    """A heading for each sheet and a table line for each row below the first: header: cell."""
+    items: list[tuple[str, int | None, str]] = []
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        names = set(z.namelist())
+        xml = lambda name: ElementTree.fromstring(z.read(name))
+        words = [" ".join("".join(t.text or "" for t in si.iterfind(".//s:t", SHEET)).split()) for si in xml("xl/sharedStrings.xml").iterfind("s:si", SHEET)] if "xl/sharedStrings.xml" in names else []
+        targets = {r.get("Id"): r.get("Target").lstrip("/").removeprefix("xl/") for r in xml("xl/_rels/workbook.xml.rels")}
+        for sheet in xml("xl/workbook.xml").iterfind("s:sheets/s:sheet", SHEET):
+            items.append(("heading", 1, sheet.get("name") or ""))
+            rows = []
+            for row in xml(f"xl/{targets[sheet.get(f'{{{SHEET['r']}}}id')]}").iterfind("s:sheetData/s:row", SHEET):
+                cells: dict[int, str] = {}
+                for place, c in enumerate(row.iterfind("s:c", SHEET)):
+                    letters = re.match(r"[A-Z]*", c.get("r") or "")[0]
+                    column = sum((ord(x) - 64) * 26**k for k, x in enumerate(reversed(letters))) - 1 if letters else place
+                    value = "".join(t.text or "" for t in c.iter() if t.tag.endswith(("}v", "}t")))
+                    cells[column] = words[int(value)] if c.get("t") == "s" and value else value
+                rows.append(cells)
+            head = rows[0] if rows else {}
+            items += [("table", None, " | ".join(f"{head.get(k, f'col{k + 1}')}: {v}" for k, v in sorted(r.items()) if v.strip())) for r in rows[1:] if any(v.strip() for v in r.values())]
+    return items
+
+
+def pptx_items(raw: bytes) -> list[tuple[str, int | None, str]]:
+    """Of each slide in order, its title as a heading, paragraphs, and table rows."""
+    items: list[tuple[str, int | None, str]] = []
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        slides = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
+        for _, name in slides:
+            root = ElementTree.fromstring(z.read(name))
+            for shape in root.iterfind(".//p:sp", SLIDE):
+                place = shape.find(".//p:nvPr/p:ph", SLIDE)
+                title = place is not None and place.get("type") in ("title", "ctrTitle")
+                for para in shape.iterfind(".//a:p", SLIDE):
+                    text = " ".join("".join(t.text or "" for t in para.iterfind(".//a:t", SLIDE)).split())
+                    if text:
+                        items.append(("heading", 1, text) if title else ("paragraph", None, text))
+            for table in root.iterfind(".//a:tbl", SLIDE):
+                rows = [[" ".join("".join(t.text or "" for t in c.iterfind(".//a:t", SLIDE)).split()) for c in r.iterfind("a:tc", SLIDE)] for r in table.iterfind("a:tr", SLIDE)]
+                items += [("table", None, " | ".join(f"{h}: {c}" for h, c in zip(rows[0], r, strict=False) if c)) for r in rows[1:]]
+    return items
+
+
+_PDF_TEXT = re.compile(rb"\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>|\bT[jJdD*]|\bTm|['\"]|\bET\b", re.S)
+_PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def pdf_items(raw: bytes) -> list[tuple[str, int | None, str]]:
+    """The lines of text that a PDF's plain or deflated content streams show, in stream order.
+
+    Strings count as Latin-1 or, with a BOM, UTF-16; fonts with their own codes are not mapped, and
+    layout, tables and formulas are not recognised."""
+    items: list[tuple[str, int | None, str]] = []
+
+    def shown(token: bytes) -> str:
+        if token.startswith(b"<"):
+            digits = re.sub(rb"\s", b"", token[1:-1])
+            body = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+        else:
+            octal = lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else b"" if m[1] in b"\r\n" else _PDF_ESCAPES.get(m[1], m[1])
+            body = re.sub(rb"\\([0-7]{1,3}|.)", octal, token[1:-1], flags=re.S)
+        return body[2:].decode("utf-16-be", "replace") if body.startswith(b"\xfe\xff") else body.decode("latin-1")
+
+    for m in re.finditer(rb"<<(?P<head>(?:(?!endobj).)*?)>>\s*stream\r?\n(?P<body>.*?)\r?\n?endstream", raw, re.S):
+        body = m["body"]
+        if b"FlateDecode" in m["head"]:
+            try:
+                body = zlib.decompressobj().decompress(body)
+            except zlib.error:
+                continue
+        for part in re.findall(rb"\bBT\b(.*?\bET\b)", body, re.S):
+            held, line = [], ""
+            for token in _PDF_TEXT.findall(part):
+                if token[:1] in b"(<":
+                    held.append(shown(token))
+                elif token in (b"Tj", b"TJ"):
+                    line, held = line + "".join(held), []
+                else:
+                    if " ".join(line.split()):
+                        items.append(("paragraph", None, " ".join(line.split())))
+                    line, held = "".join(held) if token in (b"'", b'"') else "", []
+    return items
 
 
 class _Html(HTMLParser):
@@ -132,6 +278,21 @@ class _Html(HTMLParser):
             self.text.append(data)
 
 
+BINARY = {"docx": lambda raw: [("paragraph", None, t) for t, _, _ in docx_units(raw) if t], "xlsx": xlsx_items, "pptx": pptx_items, "pdf": pdf_items}
+
+
+def parse_file(raw: bytes | None, kind: str) -> list[tuple[str, int | None, str]]:
+    """(type, level, text) items of a file of any accepted kind; none of one that can't be read."""
+    if raw is None:
+        return []
+    if kind in BINARY:
+        try:
+            return BINARY[kind](raw)
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, IndexError, AttributeError):
+            return []
+    return parse(transcode(raw) or "", kind)
+
+
 def parse(text: str, kind: str) -> list[tuple[str, int | None, str]]:
     """(type, level, text) items of an HTML, Markdown or CSV text."""
     if kind in ("html", "htm"):
@@ -157,15 +318,31 @@ def parse(text: str, kind: str) -> list[tuple[str, int | None, str]]:
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """files (document_id, kind, content string) to (document_id, ordinal, type, level, text)."""
+    """files (document_id, kind, content string or binary) to (document_id, ordinal, type, level, text)."""
+    binary = files.schema["content"].dataType.typeName() == "binary"
+    key = files.schema["document_id"].dataType.simpleString()
+    names = ["document_id", "ordinal", "type", "level", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for d, kind, content in zip(*(b.column(c).to_pylist() for c in ("document_id", "kind", "content")), strict=True):
+                items = parse_file(content, kind) if binary else parse(content or "", kind)
+                rows += [(d, k, *item) for k, item in enumerate(items)]
+            if rows:
+                kinds = [b.schema.field("document_id").type, pa.int64(), pa.string(), pa.int32(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    def run(pdfs):
-        for pdf in pdfs:
-            rows = [(d, k, *item) for d, kind, text in zip(pdf["document_id"], pdf["kind"], pdf["content"], strict=True) for k, item in enumerate(parse(text or "", kind))]
-            out = pd.DataFrame(rows, columns=["document_id", "ordinal", "type", "level", "text"])
-            yield out.astype({"document_id": "int64", "ordinal": "int64", "level": "Int32", "type": "object", "text": "object"})
+    return files.select("document_id", "kind", "content").mapInArrow(run, f"document_id {key}, ordinal long, type string, level int, text string")
 
-    return files.select("document_id", "kind", "content").mapInPandas(run, "document_id long, ordinal long, type string, level int, text string")
+
+def attachment(name: Column) -> Column:
+    """A download header's value: the name percent-encoded as UTF-8."""
+    quoted = F.regexp_replace(F.url_encode(name), r"\+", "%20")
+    for kept, code in (("~", "%7E"), ("/", "%2F")):
+        quoted = F.replace(quoted, F.lit(code), F.lit(kept))
+    quoted = F.replace(quoted, F.lit("*"), F.lit("%2A"))
+    return F.concat(F.lit('attachment; filename="'), quoted, F.lit("\"; filename*=UTF-8''"), quoted)
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -177,10 +354,21 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     return files.withColumn("media_type", media).where("media_type is not null")
 
 
+def model_of(role: Column, config: dict) -> Column:
+    """The model of each role by the configuration; the default's for a role that has none."""
+    out = F.lit(config["roles"].get("default", "default"))
+    for name, model in config["roles"].items():
+        out = F.when(role == name, model).otherwise(out)
+    return out
+
+
 def read_config(path: str | Path) -> dict:
-    """A TOML file with ${NAME} taken from the environment; a role without a model has the default."""
-    text = re.sub(r"\$\{(\w+)\}", lambda m: os.environ.get(m[1], ""), Path(path).read_text())
-    config = tomllib.loads(text)
+    return parse_config(Path(path).read_text())
+
+
+def parse_config(text: str) -> dict:
+    """A TOML text with ${NAME} taken from the environment; a role without a model has the default."""
+    config = tomllib.loads(re.sub(r"\$\{(\w+)\}", lambda m: os.environ.get(m[1], ""), text))
     roles = config.setdefault("roles", {})
     for role in ("chat", "router", "summary"):
         roles.setdefault(role, roles.get("default", "default"))
