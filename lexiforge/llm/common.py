@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of every contract: U+0020 and U+0009 to U+000D.
@@ -17,6 +17,8 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD_RUN = r"[^\x20\x09-\x0D]+"
 
 _staged: list[tuple[SparkSession, str]] = []
+#: Where the DataFrames that stage() returned are written, by their identity.
+_paths: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
     if not path:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "/tmp/checkpoints/lexiforge"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -51,17 +55,29 @@ def stage(df: DataFrame, name: str, shrink: int = 1) -> DataFrame:
     spark = df.sparkSession
     path = stage_path(spark, name)
     (narrowed(df, shrink) if shrink > 1 else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*staged: DataFrame) -> None:
+    """Deletes what stage() wrote for these, of which all that is made is written by now."""
+    for df in staged:
+        path = _paths.pop(id(df))
+        _staged.remove((df.sparkSession, path))
+        _delete(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
     """Deletes what stage() wrote; call it once the results that read it are written."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    _paths.clear()
     while _staged:
-        _, path = _staged.pop()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        _delete(spark, _staged.pop()[1])
 
 
 @atexit.register
@@ -73,6 +89,32 @@ def _release_at_exit() -> None:
             _staged.clear()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of df has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def text_hash(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What tells rows with one id, or none, apart: a hash of their text; 0 where ids are counted to be
+    unique, which spares moving it."""
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null").groupBy("id").count()
+    return hashed if not ids.where("count > 1").isEmpty() else F.when(F.col(id_col).cast("long").isNull(), hashed).otherwise(F.lit(0))
+
+
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, body, text): null texts as empty, and body by text_hash."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(docs, id_col, text_col).cast("long").alias("body"), text.alias("text"))
+
+
 def broadcast_if_small(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
     """A broadcast hint only where the counted rows are within the bound; else the join shuffles."""
     return F.broadcast(df) if rows <= max_rows else df

@@ -5,7 +5,8 @@ named by its SHA-256.  Misra-Gries summaries, one per partition, find the digest
 frequent; summed by digest, at most ``counters`` of them can exceed n / counters, which is the
 proven bound of what is broadcast.  The candidates' exact winners (smallest id, group size) are
 then counted and broadcast, so their rows are decided on the map side.  All other digests have
-few rows each and go through an ordinary shuffle on the digest.
+few rows each, 2 n / counters at most, and go through an ordinary shuffle on the digest: their
+winners are partial aggregates, and the join back is one that Spark can split.
 
 Nulls: a null text equals an empty one; a null id sorts after all others and can only be kept
 when its group has no other id.  Repeated rows (same id, same text): exactly one is kept.
@@ -17,10 +18,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, stage
+from .common import SPACE_RUN, fresh, stage
 
 
 def digest(text: Column) -> Column:
@@ -54,44 +55,31 @@ def heavy_digests(digests: DataFrame, n: int, counters: int = 1024, min_count: i
 
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = stage(docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest")), "digests")
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+
+    A digest's winner is the least of (id, number of the row), so one aggregate names it, also where
+    rows are repeated; no group is sorted or held by one task."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest"), F.monotonically_increasing_id().alias("r"))
+    rows = stage(rows, "digests")
     heavy = stage(heavy_digests(rows, rows.count(), counters), "heavy")
-    winners = stage(
-        rows.join(F.broadcast(heavy), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")),
-        "winners",
-    )
-    first = Window.partitionBy("digest").orderBy(F.col("doc_id").asc_nulls_last())
-    marked = rows.join(F.broadcast(winners), "digest", "left")
-    hot = marked.where(F.col("group_size").isNotNull())
-    is_winner = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    # Of repeated winner rows one stays; these are the repeats of a single id.
-    won = hot.where(is_winner).withColumn("kept", F.row_number().over(first) == 1)
-    lost = hot.where(~is_winner).withColumn("kept", F.lit(False))
-    whole = Window.partitionBy("digest")
-    rest = rows.join(F.broadcast(winners), "digest", "left_anti").select(
-        "digest",
-        "doc_id",
-        F.min("doc_id").over(whole).alias("keep_id"),
-        F.count(F.lit(1)).over(whole).alias("group_size"),
-        (F.row_number().over(first) == 1).alias("kept"),
-    )
-    out = ["doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")]
-    return won.select(out).unionByName(lost.select(out)).unionByName(rest.select(out))
+    winner = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "r")).alias("winner")
+    summed = lambda df: df.groupBy(F.col("digest").alias("w_digest")).agg(winner, F.count(F.lit(1)).alias("group_size"))
+    hot = stage(summed(rows.join(F.broadcast(heavy), "digest", "left_semi")), "winners")
+    others = rows.join(F.broadcast(heavy), "digest", "left_anti")
+    same = F.col("digest") == F.col("w_digest")
+    out = rows.join(F.broadcast(hot), same).unionByName(others.join(summed(others), same))
+    return out.select("doc_id", F.col("winner.doc_id").alias("keep_id"), "group_size", (F.col("r") == F.col("winner.r")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with their columns.  A repeated row (same id and text) stays once."""
+    """The documents that stay, with their columns.  Of rows with one id and equal texts one stays; where
+    such rows differ in other columns, any of them."""
     decided = decide(docs, id_col, text_col)
-    kept = decided.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    cols = docs.columns
-    marked = docs.withColumn("__sha_", digest(F.col(text_col)))
-    joined = marked.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha_") == F.col("__sha")), "left_semi")
-    repeated = decided.where("kept = false and doc_id <=> keep_id")
-    if repeated.isEmpty():
-        return joined.select(cols)
-    again = Window.partitionBy(id_col, "__sha_").orderBy(F.lit(1))
-    return joined.withColumn("__n", F.row_number().over(again)).where("__n = 1").select(cols)
+    sha, k_id, k_sha = fresh(docs, "sha", "k_id", "k_sha")
+    kept = decided.where("kept").select(F.col("doc_id").alias(k_id), F.col("text_sha256").alias(k_sha))
+    joined = docs.withColumn(sha, digest(F.col(text_col))).join(kept, F.col(id_col).eqNullSafe(F.col(k_id)) & (F.col(sha) == F.col(k_sha)), "left_semi")
+    repeated = decided.where("not kept and doc_id <=> keep_id")
+    return (joined if repeated.isEmpty() else joined.dropDuplicates([id_col, sha])).drop(sha)
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
