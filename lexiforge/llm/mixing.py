@@ -104,10 +104,10 @@ def mixed(docs: DataFrame, epochs: int = 3) -> DataFrame:
 def repeat_documents(docs: DataFrame, epochs: int = 3, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The documents as often as the mix takes them, with their columns."""
     _, made = plan(docs, epochs, id_col=id_col, source_col=source_col)
-    cols = [F.col(c) for c in docs.columns]
-    out = _joined(docs, docs[source_col], made).withColumn("m_copies", _copies(_order(docs[id_col])))
-    out = out.where("m_copies > 0").select(*cols, F.explode(F.sequence(F.lit(1), F.col("m_copies").cast("int"))).alias("m_n"))
-    return out.drop("m_n")
+    # The user's columns travel as one struct, so that none of theirs meets one of ours.
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).alias("row_source"), _order(F.col(id_col)).alias("h"))
+    out = _joined(packed, F.col("row_source"), made).withColumn("copies", _copies(F.col("h"))).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("n")).select("row.*")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
