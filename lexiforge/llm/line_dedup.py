@@ -3,7 +3,8 @@
 A line, trimmed of U+0020 and U+0009-U+000D, is named by its MD5.  HyperLogLog sketches of the sites
 that hold it are merged by aggregation, with partial sketches before the shuffle.  Lines whose
 estimate is well above ``min_sites`` are boilerplate; those within the sketch's error of it get an
-exact count of distinct sites.  Boilerplate lines are then removed from all documents.
+exact count of distinct sites.  Boilerplate lines are then removed from all documents: on the map
+side where they are few, by a join on the documents' texts beyond.
 
 Nulls: a null text has no lines; a null site counts as one site; a null id is kept.  Lines that are
 empty once trimmed are never boilerplate.  Rows of the same id are cleaned each by its own text.
@@ -22,6 +23,8 @@ MIN_SITES = 5
 LG_K, MARGIN = 10, 0.15
 #: Boilerplate lines (some 80 bytes each) up to which they are broadcast.
 MAX_BROADCAST_LINES = 100_000
+#: Boilerplate lines (a hash of 32 characters each) up to which they become literals of the plan.
+MAX_LITERAL_LINES = 10_000
 _TRIM = " \t\n\x0b\x0c\r"
 
 
@@ -48,12 +51,21 @@ def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id",
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"))
     lines = named.select("doc_id", "site", F.explode(F.transform(F.split("text", "\n"), _key)).alias("h")).where(F.col("h") != _BLANK)
     found = stage(boilerplate(lines.select("h", "site"), min_sites), "boilerplate")
-    small = broadcast_if_small(found, found.count(), MAX_BROADCAST_LINES)
-    # Whether a line goes does not depend on the document, so one set per id serves all its rows.
-    gone = lines.select("doc_id", "h").join(small, "h", "left_semi").groupBy(F.col("doc_id").alias("g_id")).agg(F.collect_set("h").alias("gone"))
-    rows = named.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")), "left").withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-    kept = F.filter("lines", lambda line: ~F.array_contains("gone", _key(line)))
-    rows = rows.withColumn("kept", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept))
+    many = found.count()
+    rows = named.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
+    if many <= MAX_LITERAL_LINES:
+        # A counted, small set of hashes goes to the texts as a set of literals: no text is moved.
+        hashes = [r["h"] for r in found.collect()]
+        rows = rows.withColumn("kept", F.filter("lines", lambda line: ~_key(line).isin(hashes)) if hashes else F.col("lines"))
+    else:
+        # Whether a line goes does not depend on the document, so one set per text serves all its rows.
+        keyed = named.withColumn("body", F.xxhash64("text"))
+        small = broadcast_if_small(found, many, MAX_BROADCAST_LINES)
+        hit = keyed.select("doc_id", "body", F.explode(F.transform(F.split("text", "\n"), _key)).alias("h")).join(small, "h", "left_semi")
+        gone = hit.groupBy(F.col("doc_id").alias("g_id"), F.col("body").alias("g_body")).agg(F.collect_set("h").alias("gone"))
+        rows = rows.withColumn("body", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("body") == F.col("g_body")), "left")
+        kept = F.filter("lines", lambda line: ~F.array_contains("gone", _key(line)))
+        rows = rows.withColumn("kept", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long")
     removed = (F.size("lines") - F.size("kept")).cast("long")
     return rows.select("doc_id", n_lines.alias("n_lines"), removed.alias("n_removed"), F.array_join("kept", "\n").alias("clean"))
