@@ -7,8 +7,9 @@ are hashed, in the order of files, into the replica's root.  An audit compares t
 down only where they differ: to files, to their branches, level by level, to ranges, and there to
 records, which are then changed, missing in the other replica or extra in it.
 
-Files are Spark's own writer's, in gzip or plain; a file that can't be read counts as one without
-records and all its records as missing.  Nulls: a null html is an empty record, a null url an empty
+Files are Spark's own writer's, in gzip or plain.  A gzip file is packed as a whole, so offsets are those
+of the unpacked stream and a record is reached from the file's start.  A file that can't be read counts
+as one without records and all its records as missing.  Nulls: a null html is an empty record, a null url an empty
 one, a null page_id is kept.  Repeated rows are records of their own.  Empty table: two empty
 replicas, empty result.  Other columns are not looked at.
 """
@@ -172,19 +173,12 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
     a, b = a.join(files, "file", "left_semi"), b.join(files, "file", "left_semi")
     tops = stage(a.where("level >= 0").unionByName(b.where("level >= 0")).groupBy("file").agg(F.max("level").alias("top")), "tops")
     highest = tops.agg(F.max("top")).first()[0]
-    front = None
+    front = stage(tops.where("false").select("file", F.lit(0).cast("long").alias("at")), "front")
     for level in range(highest if highest is not None else -1, -1, -1):
-        at = lambda r, level=level: r.where(F.col("level") == level).select("file", "at", "hash")
-        differing = _differ(at(a), at(b), ["file", "at"])
-        if front is not None:
-            # Below the top only the children of differing nodes are looked at.
-            below = front.select("file", F.col("at").alias("parent"))
-            differing = differing.withColumn("parent", F.floor(F.col("at") / FAN)).join(below, ["file", "parent"], "left_semi").drop("parent")
-            tall = tops.where(F.col("top") == level).select("file")
-            differing = differing.unionByName(_differ(at(a), at(b), ["file", "at"]).join(tall, "file", "left_semi"))
-        front = stage(differing.distinct(), f"level-{level}")
-    if front is None:
-        return a.where("false").select("file", F.col("at").alias("offset"), "page_id", "length", F.lit("").alias("status"))
+        # Only children of differing nodes, and the roots of files whose tree ends here, are compared.
+        below = front.unionByName(tops.where(F.col("top") == level).select("file", F.lit(0).cast("long").alias("at"))).select("file", F.col("at").alias("parent")).distinct()
+        at = lambda r, level=level, below=below: r.where(F.col("level") == level).withColumn("parent", F.floor(F.col("at") / FAN)).join(below, ["file", "parent"], "left_semi").select("file", "at", "hash")
+        front = stage(_differ(at(a), at(b), ["file", "at"]), f"level-{level}", 16)
     part = lambda r, s: r.where("level = -1").join(front.withColumnRenamed("at", "span"), (r["file"] == front["file"]) & (F.floor(r["at"] / RANGE) == F.col("span")), "left_semi").select("file", F.col("at").alias("offset"), *(F.col(c).alias(f"{c}_{s}") for c in ("page_id", "length", "hash")))
     both = part(a, "a").join(part(b, "b"), ["file", "offset"], "full")
     status = F.when(F.col("hash_b").isNull(), "missing").when(F.col("hash_a").isNull(), "extra").otherwise("changed")
