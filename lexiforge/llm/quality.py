@@ -129,15 +129,21 @@ _STATS = ", ".join(f"{c} long" for c in COUNTS + MORE)
 def _stat_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         s = statistics(texts_of(part, "text"))
-        yield pa.RecordBatch.from_arrays([part.column("quality"), *(pa.array(s[c], pa.int64()) for c in COUNTS + MORE)], ["quality", *COUNTS, *MORE])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), *(pa.array(s[c], pa.int64()) for c in COUNTS + MORE)], ["doc_id", "quality", *COUNTS, *MORE])
 
 
-def fit_model(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, min_train: int = 60, keep_clean: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits on at most max_train labelled documents.  labels: (doc_id, quality 0/1)."""
+def fit_model(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, min_train: int = 60, keep_clean: float = 0.999, junk_out: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fits on at most max_train labelled documents.  labels: (doc_id, quality 0/1).
+
+    The cut keeps keep_clean of the good documents that a third of the forest has not seen, but does
+    not go so low for it that less than junk_out of the unseen junk goes: a few good labels that are
+    wrong don't open the gate.  Of an id with several texts one row of counts, the least, is used."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("long").alias("quality"))
     picked = known.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(max_train)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
-    seen = rows.join(F.broadcast(picked), "doc_id").select("quality", "text").mapInArrow(_stat_rows, f"quality long, {_STATS}").limit(2 * max_train).toPandas()
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    counted = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").mapInArrow(_stat_rows, f"doc_id {kind}, quality long, {_STATS}")
+    seen = counted.groupBy("doc_id").agg(F.min(F.struct("quality", *COUNTS, *MORE)).alias("s")).select("s.*").toPandas()
     # The order in which rows arrive may vary; the fit must not.
     seen = seen.sort_values(list(seen.columns), kind="stable")
     s = {c: seen[c].to_numpy() for c in COUNTS + MORE}
@@ -152,7 +158,9 @@ def fit_model(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, min_t
         train = fold != k
         unseen[~train] = fit(x[train], y[train], MONOTONE).probability(x[~train]) if 0 < y[train].mean() < 1 else 1.0
     good = np.sort(unseen[y == 1])
-    cut = min(0.5, float(good[int((1 - keep_clean) * len(good))]))
+    junk = np.sort(unseen[y == 0])
+    lowest = np.nextafter(float(junk[min(len(junk) - 1, int(junk_out * len(junk)))]), 1.0)
+    cut = min(0.5, max(lowest, float(good[int((1 - keep_clean) * len(good))])))
     return Model(fit(x, y, MONOTONE), cut)
 
 
