@@ -14,8 +14,10 @@ _MARKUP = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: Elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input button select".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template annotation annotation-xml desc metadata".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input button select math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle mpadded mphantom semantics svg g tspan".split())
+#: Drawing and formula elements, which may close themselves.
+SELF_CLOSING = frozenset("svg g path rect circle ellipse line polyline polygon use image text tspan mspace mi mn mo mtext none mprescripts".split())
 #: A start tag closes an open element of these kinds.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -168,7 +170,7 @@ def read(page: str) -> tuple[list[Node], list[Block]]:
             flush()  # its text is no part of the block around it
         nodes.append(Node(tag, name, stack[-1], noise or parent.noise, main or parent.main))
         parent.children.append(len(nodes) - 1)
-        if not raw.endswith("/") or tag not in ("svg", "path"):
+        if not raw.endswith("/") or tag not in SELF_CLOSING:
             stack.append(len(nodes) - 1)
             in_link += tag == "a"
     flush()
