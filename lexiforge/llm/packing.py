@@ -30,6 +30,8 @@ from .tokens import MAX_PIECES, default_path, encoder
 CAPACITY = 2048
 #: Pieces to a group, about; groups to a second-level group.
 GROUP_PIECES, GROUP_FAN = 8192, 16
+#: Of a donor's pieces, the longest ones whose pairs are tried in exchanges.
+PAIR_PIECES = 24
 
 
 class Bins:
@@ -90,7 +92,8 @@ def local_search(bins: Bins, lengths: list[int], max_rounds: int = 4, max_partne
     """Empties bins where it can.  Donors are the emptiest bins; a donor's pieces move to, or are
     exchanged with shorter ones of, the fullest underfull bins.  Ends at the least possible number
     of bins, or when a round empties none; a round ends after max_failures donors in a row that
-    could not be emptied.  These bounds limit the search, never what is packed."""
+    could not be emptied.  Pairs to give are those of a donor's PAIR_PIECES longest pieces.  These bounds
+    limit the search, never what is packed."""
     least = max(-(-sum(lengths) // bins.capacity), sum(1 for n in lengths if 2 * n > bins.capacity))
     live = sum(1 for p in bins.pieces if p)
 
@@ -104,7 +107,7 @@ def local_search(bins: Bins, lengths: list[int], max_rounds: int = 4, max_partne
                 bins.put(b, p, lengths[p])
                 return True
         best: tuple[int, int, list[int], list[int]] | None = None
-        pairs = [(lengths[p] + lengths[q], [p, q]) for i, p in enumerate(mine[:24]) for q in mine[i + 1 : 24]]
+        pairs = [(lengths[p] + lengths[q], [p, q]) for i, p in enumerate(mine[:PAIR_PIECES]) for q in mine[i + 1 : PAIR_PIECES]]
         gives = sorted([(lengths[p], [p]) for p in mine] + pairs, key=lambda g: g[0])
         sizes = np.array([g[0] for g in gives])
         for b in partners:
