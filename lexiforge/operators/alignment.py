@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,14 +40,22 @@ def carry_pages(elements: list[str], units: list[tuple[str, int]]) -> tuple[list
 
 def align(elements: DataFrame, units: DataFrame) -> DataFrame:
     """elements and units (document_id, ordinal, text[, page]) to (document_id, ordinal, page,
-    accepted): one document's rows of both sides meet in one group."""
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("ordinal"), right.sort_values("u_ordinal")
-        pages, found, considered = carry_pages(left["text"].tolist(), list(zip(right["u_text"], right["u_page"], strict=True)))
-        return pd.DataFrame({"document_id": key[0], "ordinal": left["ordinal"].to_numpy(), "page": pages, "accepted": considered > 0 and found / considered >= ACCEPT})
-
-    a = elements.select("document_id", "ordinal", "text").groupBy("document_id")
+    accepted): one document's rows of both sides meet as two arrays."""
+    key = elements.schema["document_id"].dataType.simpleString()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, places, pages, good = [], [], [], []
+            for d, left, right in zip(*(batch.column(c).to_pylist() for c in ("document_id", "left", "right")), strict=True):
+                got, found, considered = carry_pages([e["text"] for e in left], [(u["text"], u["page"]) for u in right or ()])
+                ids += [d] * len(left)
+                places += [e["ordinal"] for e in left]
+                pages += got
+                good += [considered > 0 and found / considered >= ACCEPT] * len(left)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("document_id").type), pa.array(places, pa.int64()), pa.array(pages, pa.int32()), pa.array(good, pa.bool_())], ["document_id", "ordinal", "page", "accepted"])
+
+    listed = lambda *cols: F.array_sort(F.collect_list(F.struct(*cols)))
+    a = elements.groupBy("document_id").agg(listed(F.col("ordinal").cast("long").alias("ordinal"), "text").alias("left"))
     # New names on one side, as both may come from the same table.
-    b = units.select(F.col("document_id").alias("u_id"), F.col("ordinal").alias("u_ordinal"), F.col("text").alias("u_text"), F.col("page").cast("int").alias("u_page")).groupBy("u_id")
-    return a.cogroup(b).applyInPandas(run, "document_id long, ordinal long, page int, accepted boolean")
+    b = units.groupBy(F.col("document_id").alias("u_id")).agg(listed("ordinal", "text", F.col("page").cast("int").alias("page")).alias("right"))
+    return a.join(b, F.col("document_id") == F.col("u_id"), "left").select("document_id", "left", "right").mapInArrow(fold, f"document_id {key}, ordinal long, page int, accepted boolean")
