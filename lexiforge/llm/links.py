@@ -6,14 +6,18 @@ band but for a chance that the callers state.  The sets of a bucket are then lin
 pair that is not connected already has been compared:
 
 1. star: each member with the bucket's least node; verified links give components;
-2. rest: the members of buckets of three or more that still hold several components are dealt into
-   blocks of about BLOCK, by the least node that they share such a bucket with, which keeps a group
-   of near copies together.  Blocks that meet in any of these
-   buckets, whichever band it is of, form one tile.  A task takes one tile, compares what belongs to
-   different components, on fingerprints first and then on the full sets, and returns the links
-   that connect components: fewer than it has rows.  Tiles within one component are skipped.
-
-So no pair is written out before it is known to be a link, and no task takes a whole bucket.
+2. more stars, for buckets that still hold several components: members outside the main component
+   with a few random nodes inside and outside of it.  A group of near copies is joined by these in a
+   number of pairs that is linear in its size;
+3. rest: what is left is indexed by rare shingles.  Of two sets that reach the threshold, each has a
+   common shingle among its (1 - num / den) * n + 1 rarest, so only members of buckets that share one
+   of those can be links.  They are dealt into blocks of about BLOCK, and blocks that meet form one
+   tile.  A task takes one tile, compares what belongs to different components, on fingerprints
+   first and then on the full sets, and returns the links that connect components: fewer than it has
+   rows.
+
+So no pair is written out before it is known to be a link, no task takes a whole bucket, and the
+pairs of a large bucket are compared only where they share a rare shingle.
 """
 
 from __future__ import annotations
@@ -23,21 +27,23 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, stage
 from .components import components
 from .minhash import common_shingles, set_numbers
 
 #: Nodes and shingles to a block, about; a task holds two blocks.
 BLOCK, BLOCK_SHINGLES = 384, 1_000_000
+#: Random nodes of the main component and outside of it in a round of stars, and the rounds at most.
+INSIDE, OUTSIDE, ROUNDS = 4, 2, 4
 
 
 def least_matches(places: int, num: int, den: int, sigmas: float = 5.3) -> int:
     """Matching places that a pair at the threshold reaches but for a chance of about 1e-7."""
     p = num / den
-    return int(places * p - sigmas * (places * p * (1 - p)) ** 0.5)
+    return max(0, int(places * p - sigmas * (places * p * (1 - p)) ** 0.5))
 
 
 def _prefiltered(pairs: DataFrame, nodes: DataFrame, num: int, den: int, places: int) -> DataFrame:
@@ -139,11 +145,34 @@ def tile_links(node: np.ndarray, label: np.ndarray, n: np.ndarray, fp: np.ndarra
     return links
 
 
-def _rest_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, places: int) -> DataFrame:
-    """members (key, node, label, main, pivot) of unsettled buckets to links (a, b)."""
+def _rare_members(held: DataFrame, num: int, den: int) -> DataFrame:
+    """held (node, label, main, n, set) to (key, node, label, main): each node under the shingles of its
+    prefix that other nodes have too.  The order of shingles, which all nodes share, is by how many
+    have them; those that one node has come first and can't be shared, so they need no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # a set a time, whatever its size
+                items = set_numbers(batch.column("set")[k].as_py()).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(items), batch.column("node")[k].as_py(), np.int64)), pa.array(items)], ["node", "item"])
+
+    items = held.select("node", "set").mapInArrow(run, "node long, item long")
+    often = stage(items.groupBy("item").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often", 4)
+    w = Window.partitionBy("node")
+    shared = items.join(often, "item").join(held.select("node", "n", "label", "main"), "node")
+    shared = shared.withColumn("rank", F.row_number().over(w.orderBy("often", "item"))).withColumn("shared", F.count(F.lit(1)).over(w))
+    prefix = F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1
+    return shared.where(F.col("rank") <= prefix - (F.col("n") - F.col("shared"))).select(F.col("item").alias("key"), "node", "label", "main")
+
+
+def _rest_links(held: DataFrame, num: int, den: int, places: int) -> DataFrame:
+    """held (node, label, main, n, fp, set) of unsettled buckets to links (a, b)."""
     need = least_matches(places, num, den)
-    home = members.groupBy("node").agg(F.min("pivot").alias("home"), F.min("label").alias("label"), F.bool_or("main").alias("main"))
-    home = stage(home.join(nodes.select("node", "n"), "node"), "homes", 16)
+    members = stage(_rare_members(held, num, den), "rare", 4)
+    keys = members.groupBy("key").agg(F.min("node").alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "pivot")
+    members = stage(members.join(keys, "key"), "rare-members", 4)
+    home = members.groupBy("node").agg(F.min("pivot").alias("home"))
+    home = stage(home.join(held.select("node", "n", "label", "main"), "node"), "homes", 16)
     counts = home.groupBy("home", "main").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("slots"))
     slot = F.pmod(F.xxhash64("node", "label"), F.col("slots"))
     placed = home.join(counts, ["home", "main"]).select("node", "label", F.xxhash64("home", "main", slot).alias("block"))
@@ -155,8 +184,8 @@ def _rest_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFra
     tiles = x.join(y, "key").where("block_x <= block_y and not (low_x = high_x and low_y = high_y and low_x = low_y)").select("block_x", "block_y").distinct()
     tiles = stage(tiles, "tiles", 16)
     sides = tiles.select(F.col("block_x").alias("block"), "block_x", "block_y").unionByName(tiles.where("block_x < block_y").select(F.col("block_y").alias("block"), "block_x", "block_y"))
-    filled = placed.join(nodes.select("node", "n", "fp"), "node").join(sets_of(placed.select("node")), "node")
-    rows = stage(filled, "filled", 4).join(sides, "block").select("block_x", "block_y", "block", "node", "label", "n", "fp", "set")
+    filled = stage(placed.join(held.select("node", "n", "fp", "set"), "node"), "filled", 4)
+    rows = filled.join(sides, "block").select("block_x", "block_y", "block", "node", "label", "n", "fp", "set")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", ignore_index=True)
@@ -168,31 +197,59 @@ def _rest_links(members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFra
     return rows.groupBy("block_x", "block_y").applyInPandas(run, "a long, b long")
 
 
-def link(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, places: int, once: bool = True) -> tuple[DataFrame, DataFrame]:
+def _unsettled(rest: DataFrame, labels: DataFrame) -> DataFrame:
+    """rest (key, pivot, node) with label and main, the component being the pivot's; only of buckets that
+    hold another component too."""
+    own = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    main = labels.select(F.col("node").alias("pivot"), F.col("label").alias("main_label"))
+    rows = own.join(main, "pivot", "left").withColumn("main", F.col("label") == F.coalesce("main_label", "pivot"))
+    rows = stage(rows.select("key", "pivot", "node", "label", "main"), "members", 16)
+    open_keys = rows.groupBy("key").agg(F.bool_or(~F.col("main")).alias("open")).where("open").select("key")
+    return stage(rows.join(open_keys, "key", "left_semi"), "unsettled", 16)
+
+
+def _more_stars(rest: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of members outside the main component of their bucket with random nodes."""
+    pick = lambda side, k: F.min(F.when(side, F.struct(F.xxhash64("node", F.lit(turn * 31 + k)).alias("h"), "node", "label")))
+    picks = [pick(F.col("main"), k) for k in range(INSIDE)] + [pick(~F.col("main"), INSIDE + k) for k in range(OUTSIDE)]
+    chosen = rest.groupBy("key").agg(F.array_compact(F.array(*picks)).alias("picks"))
+    pairs = rest.where(~F.col("main")).join(chosen, "key").select("node", "label", F.explode("picks").alias("p")).where("label <> p.label")
+    return pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+
+
+def link(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, places: int) -> tuple[DataFrame, DataFrame]:
     """(edges, labels): verified links (a, b) that connect all linked sets, and (node, label) of every
-    node that has one.  nodes: (node, n, fp, bands), staged; once: each node has one row.  Repeats
-    carry the same values, and of those only nodes that meet others are made unique."""
+    node that has one.  nodes: (node, n, fp, bands), staged, one row a node."""
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     # Spark may split either side where one key is hot.
-    buckets = stage(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets", 16)
-    star = keyed.join(buckets, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    if not once:
-        star = stage(star, "star", 16)
-        met = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()
-        nodes = stage(nodes.select("node", "n", "fp", "bands").join(met, "node", "left_semi").dropDuplicates(["node"]), "met-nodes", 4)
-        keyed = nodes.select("node", F.explode("bands").alias("key"))
+    buckets = stage(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets", 4)
+    met = stage(keyed.join(buckets, "key").where("node <> pivot").select("key", "pivot", "size", "node"), "met-nodes", 4)
+    star = met.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     edges = stage(verified(star, nodes, sets_of, num, den, places), "star-links", 16)
     labels = stage(components(edges), "labels", 16)
-    large = buckets.where("size > 2").join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("main_label")), "pivot", "left")
-    large = large.select("key", "pivot", "size", F.coalesce("main_label", "pivot").alias("main_label"))
-    # The pivot has been compared with all others.
-    members = keyed.join(large, "key").where("node <> pivot").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    members = stage(members.select("key", "node", "label", (F.col("label") == F.col("main_label")).alias("main"), "pivot"), "members", 16)
-    unsettled = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rest = stage(members.join(unsettled, "key", "left_semi"), "unsettled", 16)
-    if not rest.isEmpty():
-        more = stage(_rest_links(rest, nodes, sets_of, num, den, places), "rest-links", 16)
+    rest = _unsettled(met.where("size > 2").select("key", "pivot", "node"), labels)
+    discard(buckets, met)
+    if rest.isEmpty():
+        return edges, labels
+    wanted = stage(rest.select("node").distinct(), "rest-nodes", 16)
+    held = stage(sets_of(wanted).join(nodes.select("node", "n", "fp"), "node"), "held", 2)
+    held_sets = lambda asked: held.join(asked, "node", "left_semi").select("node", "set")
+    open_before = None
+    for turn in range(ROUNDS):
+        count = rest.where(~F.col("main")).count()
+        if not count or (open_before is not None and 4 * count > 3 * open_before):
+            break
+        open_before = count
+        more = stage(verified(_more_stars(rest, turn), held, held_sets, num, den, places), "more-links", 16)
+        if more.isEmpty():
+            break
         edges = edges.unionByName(more)
+        labels = stage(components(edges), "labels", 16)
+        rest = _unsettled(rest.select("key", "pivot", "node"), labels)
+    if not rest.isEmpty():
+        side = rest.groupBy("node").agg(F.min("label").alias("label"), F.bool_or("main").alias("main"))
+        more = stage(_rest_links(stage(held.join(side, "node"), "rest-held", 2), num, den, places), "rest-links", 16)
         if not more.isEmpty():
+            edges = edges.unionByName(more)
             labels = stage(components(edges), "labels", 16)
     return edges, labels

@@ -94,14 +94,21 @@ def _super_run(values: np.ndarray, lengths: np.ndarray, sig: np.ndarray) -> None
 
 
 def minhash(values: np.ndarray, bounds: np.ndarray, size: int) -> np.ndarray:
-    """Classic MinHash signatures: (sets, size) of uint64; EMPTY for empty sets."""
+    """Classic MinHash signatures: (sets, size) of uint64; EMPTY for empty sets.  The places hash the
+    upper 32 bits of the shingles' hashes, which keeps the arrays short."""
     n = len(bounds) - 1
     sig = np.full((n, size), EMPTY)
     some = np.flatnonzero(np.diff(bounds))
     if len(some):
         at = bounds[:-1][some]
-        for j in range(size):
-            sig[some, j] = np.minimum.reduceat(mix(values ^ mix(np.uint64([j + 1]))), at)
+        x = (values >> np.uint64(32)).astype(np.uint32)
+        seeds = mix(np.arange(1, 2 * size + 1, dtype=np.uint64)).astype(np.uint32)
+        with np.errstate(over="ignore"):
+            for j in range(size):
+                h = (x ^ seeds[2 * j]) * (seeds[2 * j + 1] | np.uint32(1))
+                h ^= h >> np.uint32(16)
+                h *= np.uint32(0x85EBCA6B)
+                sig[some, j] = np.minimum.reduceat(h, at)
     return sig
 
 
@@ -132,20 +139,13 @@ def binary_rows(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * size).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
-#: A shingle hash is kept in so many bytes for the exact count of common shingles.
-SET_BYTES = 5
-
-
-def short_sets(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """The sets as binary values of SET_BYTES a shingle (the hashes' high bytes, still ascending)."""
-    high = values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]
-    return binary_rows(np.ascontiguousarray(high).reshape(-1), bounds * SET_BYTES)
+def packed_sets(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The sets as binary values: their hashes in ascending order, 8 bytes each."""
+    return binary_rows(values.astype("<u8", copy=False), bounds)
 
 
 def set_numbers(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // SET_BYTES, 8), np.uint8)
-    wide[:, 8 - SET_BYTES :] = np.frombuffer(raw, np.uint8).reshape(-1, SET_BYTES)
-    return wide.view(">u8").ravel().astype(np.uint64)
+    return np.frombuffer(raw, "<u8")
 
 
 def common_shingles(x: np.ndarray, y: np.ndarray) -> int:

@@ -1,6 +1,6 @@
 """MinHash near-duplicates: SuperMinHash signatures, banding, verification and components.
 
-Documents with the same shingle set are one class.  A class's SuperMinHash signature has 125 places,
+Documents with the same shingle set, by a 128-bit digest, are one class.  A class's SuperMinHash signature has 125 places,
 in 25 bands of 5 for a threshold of 0.85 and 31 of 4 for 0.8: two classes at the threshold share a
 band but for a chance of less than 1e-6, and those more alike more surely so.  links.py compares and verifies the members of each
 band on their full sets; a document's component is all it can reach.
@@ -18,13 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, narrowed, slices, stage, texts_of
+from .common import broadcast_if_small, fresh, keyed_texts, narrowed, slices, stage, text_hash, texts_of
 from .links import link
-from .minhash import band_keys, prints, set_digests, shingle_sets, short_sets, superminhash
+from .minhash import band_keys, packed_sets, prints, set_digests, shingle_sets, superminhash
 
 PLACES = 125
 #: Wanted nodes (16 bytes each) up to which they are broadcast to the texts.
@@ -41,17 +40,8 @@ def layout(num: int, den: int, miss: float = 1e-6) -> tuple[int, int]:
     return PLACES // fits[-1], fits[-1]
 
 
-def _number(digest: Column) -> Column:
-    """A class's number: 60 bits of its digest."""
-    return F.conv(F.substring(F.hex(digest), 1, 15), 16, 10).cast("long")
-
-
-def _numbers(digests: list[bytes]) -> pa.Array:
-    return pa.array([int.from_bytes(d[:8], "big") >> 4 for d in digests], pa.int64())
-
-
-def features(docs: DataFrame, id_col: str, text_col: str, width: int, bands_of: int, rows_of: int) -> DataFrame:
-    """(doc_id, n, digest, fp, bands) of every document; bands is empty for an empty set."""
+def features(texts: DataFrame, width: int, bands_of: int, rows_of: int) -> DataFrame:
+    """texts (doc_id, body, text) to (doc_id, body, n, digest, fp, bands); bands is empty for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -63,16 +53,21 @@ def features(docs: DataFrame, id_col: str, text_col: str, width: int, bands_of:
             offsets = np.concatenate([[0], np.cumsum(np.where(some, bands_of, 0))]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel()))
             fp = pa.array([row.tobytes() for row in prints(sig)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(set_digests(values, bounds), pa.binary()), fp, bands], ["doc_id", "n", "digest", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("body"), pa.array(n), pa.array(set_digests(values, bounds), pa.binary()), fp, bands], ["doc_id", "body", "n", "digest", "fp", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n long, digest binary, fp binary, bands array<long>")
+    return texts.mapInArrow(run, "doc_id long, body long, n long, digest binary, fp binary, bands array<long>")
 
 
-def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    rows = stage(features(docs, id_col, text_col, width, *layout(num, den)).withColumn("node", _number(F.col("digest"))), "features")
-    classes = stage(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).where("least is not null"), "classes", 16)
-    picked = rows.join(classes.withColumnRenamed("node", "c"), (F.col("node") == F.col("c")) & (F.col("doc_id") == F.col("least"))).select("node", "doc_id", "n", "fp", "bands")
+def _judged(docs: DataFrame, num: int, den: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, body, n, component) of every row; component is null where the class has no id."""
+    texts = keyed_texts(docs, id_col, text_col)
+    rows = stage(features(texts, width, *layout(num, den)), "features")
+    # Of equal sets the row of the least id, and of that id the least text, is the node.
+    first = F.min(F.struct("doc_id", "body"))
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(first.alias("first"))
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes", 16)
+    held = classes.select(F.col("digest").alias("c_digest"), "first", "node")
+    picked = rows.join(held, (F.col("digest") == F.col("c_digest")) & (F.col("doc_id") == F.col("first.doc_id")) & (F.col("body") == F.col("first.body"))).select("node", "n", "fp", "bands")
     repeated = picked.groupBy("node").count().where("count > 1")
     nodes = stage(picked if repeated.isEmpty() else picked.dropDuplicates(["node"]), "nodes", 4)
 
@@ -80,30 +75,44 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, width: int =
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, "text"):
                 values, bounds = shingle_sets(texts_of(part, "text"), width)
-                # An id may have several texts; the wanted one is known by its number.
-                got = _numbers(set_digests(values, bounds))
-                yield pa.RecordBatch.from_arrays([part.column("node"), short_sets(values, bounds)], ["node", "set"]).filter(pc.equal(part.column("node"), got))
+                yield pa.RecordBatch.from_arrays([part.column("node"), packed_sets(values, bounds)], ["node", "set"])
 
-        named = stage(wanted.join(nodes.select("node", F.col("doc_id").alias("id")), "node"), "wanted", 16)
+        named = classes.join(wanted, "node", "left_semi").select("node", F.col("first.doc_id").alias("w_doc"), F.col("first.body").alias("w_body"))
+        named = stage(named, "wanted", 16)
         named = broadcast_if_small(named, named.count(), MAX_BROADCAST_NODES)
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        sets = texts.join(named, "id").select("node", "text").mapInArrow(run, "node long, set binary")
+        sets = texts.join(named, (F.col("doc_id") == F.col("w_doc")) & (F.col("body") == F.col("w_body"))).select("node", "text").mapInArrow(run, "node long, set binary")
         return sets if repeated.isEmpty() else sets.dropDuplicates(["node"])
 
     _, labels = link(nodes, sets_of, num, den, PLACES)
-    reached = classes.join(labels, "node")
-    least = reached.groupBy("label").agg(F.min("least").alias("component"))
-    joined = stage(reached.join(least, "label").select(F.col("node").alias("l_node"), "component"), "joined", 16)
-    named = classes.join(joined, F.col("node") == F.col("l_node"), "left").select(F.col("node").alias("c_node"), F.coalesce("component", "least").alias("component"))
-    out = rows.select("doc_id", "node", "n").join(named, F.col("node") == F.col("c_node"), "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return narrowed(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept")))
-
-
-def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents that stay (one of each component), with their columns."""
-    lost = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where("not kept").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, docs[id_col].cast("long") == F.col("__lost"), "left_anti")
+    reached = classes.select("node", "digest", "first.doc_id").join(labels, "node")
+    least = stage(reached.groupBy("label").agg(F.min("doc_id").alias("component")), "least", 16)
+    joined = reached.join(broadcast_if_small(least, least.count(), MAX_BROADCAST_NODES), "label").select(F.col("node").alias("l_node"), "component")
+    named = classes.join(joined, F.col("node") == F.col("l_node"), "left").select(F.col("digest").alias("c_digest"), F.coalesce("component", "first.doc_id").alias("reached"))
+    named = stage(named, "named", 4)
+    out = rows.select("doc_id", "body", "n", "digest").join(named, (F.col("digest") == F.col("c_digest")) & (F.col("n") > 0), "left")
+    return out.select("doc_id", "body", "n", F.when(F.col("n") > 0, F.coalesce("reached", "doc_id")).otherwise(F.col("doc_id")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    out = _judged(docs, num, den, width, id_col, text_col)
+    kept = F.coalesce(F.col("doc_id") == F.col("component"), F.col("component").isNull())
+    return narrowed(out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept")))
+
+
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, width: int = 5) -> DataFrame:
+    """The documents that stay, with their columns: of each component the row of the least id, and of
+    several texts with that id the one of the least hash.  Texts without words stay, and so do
+    rows whose component has no id."""
+    judged = stage(_judged(docs, num, den, width, id_col, text_col).where("n > 0 and component is not null").distinct(), "judged", 4)
+    # A component's least id is its name, so only that id's rows compete.
+    first = judged.where("doc_id = component").groupBy(F.col("component").alias("f_component")).agg(F.min("body").alias("f_body"))
+    lost_doc, lost_body, key, body = fresh(docs, "lost_doc", "lost_body", "key", "body")
+    stays = F.coalesce((F.col("doc_id") == F.col("component")) & (F.col("body") == F.col("f_body")), F.lit(False))
+    lost = judged.join(first, (F.col("doc_id") == F.col("f_component")) & (F.col("component") == F.col("f_component")), "left").where(~stays)
+    lost = lost.select(F.col("doc_id").alias(lost_doc), F.col("body").alias(lost_body)).distinct()
+    rows = docs.withColumn(key, F.col(id_col).cast("long")).withColumn(body, text_hash(docs, id_col, text_col).cast("long"))
+    return rows.join(lost, F.col(key).eqNullSafe(F.col(lost_doc)) & (F.col(body) == F.col(lost_body)), "left_anti").drop(key, body)
 
 
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -1,19 +1,24 @@
-"""Substring deduplication: exact passages, and near copies of paragraphs by MinHash banding.
-
-Passages of 50 words or more that stand in two places, within or across lines of any length, are
-found exactly (passages.py).  Beside them, near copies of whole paragraphs are clustered:
-
-A paragraph is a line of a document's text.  Those of at least MIN_WORDS words are named by the
-digest of their set of five-word shingles (A-Z as a-z), so equal ones are one class at once.  Each
-class's MinHash signature of 100 places makes 20 bands of 5: classes with a Jaccard index of 0.8
-share a band with a chance of 0.9996, closer ones more surely so.  Colliding classes are verified by
-the exact Jaccard index of their sets (links.py) and clustered by connected components.  Of each
-cluster the first paragraph, by document and place, stays; the others are removals.
-
-Nulls: a null text has no paragraphs; paragraphs of documents without id come after all others.
-Paragraphs that are repeated within a document count like those of others.  Of a row repeated as a
-whole every paragraph has the same result each time.  Empty table: empty result.  Other columns are
-not looked at.
+"""Substring deduplication by MinHash banding of paragraphs: near copies of lines, and passages in them.
+
+Two kinds of paragraph are banded, joined, verified and clustered:
+
+1. A line of MIN_WORDS words or more, as the set of its five-word shingles (A-Z as a-z).  Equal sets
+   are one class, by a 128-bit digest.  A class's MinHash signature of 24 places makes 12 bands of 2:
+   classes with a Jaccard index of 0.8 share a band but for a chance of 5e-6, closer ones more surely
+   so.  Colliding classes are verified by the exact Jaccard index of their sets (links.py) and
+   clustered by connected components.  Of each cluster the first line stays; the others are removals.
+2. A window of 50 words anywhere in the text, across line ends (passages.py).  All windows are
+   banded by one MinHash place over their 25-word runs, which equal windows share for certain;
+   colliding ones are verified word by word, and each class of equal windows is a cluster.  So a
+   passage that stands inside other text, or is wrapped otherwise, is found whole.
+
+MIN_WORDS is what counts as a paragraph: shorter lines (headings, notices) are the matter of line
+deduplication.  Within a text of any length nothing else is left out.
+
+Order and ties: places are ordered by document (those without id last), hash of the text, and place.
+Nulls: a null text has no paragraphs.  Rows with one id, or none, and different texts are told apart
+by their texts.  Repeated rows: a row repeated as a whole is one place, with the same result each time.
+Empty table: empty result.  Other columns are not looked at; without_repeats keeps them.
 """
 
 from __future__ import annotations
@@ -26,131 +31,161 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, narrowed, slices, split_words, stage, stage_path, texts_of
+from .common import broadcast_if_small, discard, fresh, keyed_texts, ranges, slices, split_words, stage, text_hash, texts_of
 from .links import link
-from .minhash import band_keys, minhash, prints, set_digests, shingle_sets, short_sets
-from .passages import passages
+from .minhash import band_keys, minhash, packed_sets, prints, set_digests, shingle_sets
+from .passages import passages, word_bounds
 
 WIDTH, NUM, DEN = 5, 80, 100
 MIN_WORDS = 30
-PLACES, BANDS, ROWS, PRINTS = 100, 20, 5, 32
-#: Wanted paragraphs (24 bytes each) up to which they are broadcast to the texts.
-MAX_BROADCAST_PARAGRAPHS = 1_000_000
+BANDS, ROWS = 12, 2
+PLACES = BANDS * ROWS
+#: Texts with wanted lines (some 50 bytes a line) up to which the lines are broadcast to the texts.
+MAX_BROADCAST_TEXTS = 1_000_000
 
 
-def _long_lines(texts: pa.Array, min_words: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lines of min_words words or more, their texts, places among all lines, starts, words)."""
+def _lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(lines, their texts, the first line of each text, words before each line in its text)."""
     lists = pc.split_pattern(texts, "\n")
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     lines, of = lists.flatten(), np.repeat(np.arange(len(counts)), counts)
-    first = np.cumsum(counts) - counts
-    place = np.arange(len(of)) - np.repeat(first, counts)
-    size = pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    before = np.cumsum(size) - size
-    start = before - np.repeat(before[first], counts)
-    _, rows = split_words(lines)
-    words = np.bincount(rows, minlength=len(of))
-    long = np.flatnonzero(words >= max(1, min_words))
-    return lines.take(pa.array(long)), of[long], place[long], start[long], words[long]
+    return lines, of, np.cumsum(counts) - counts, counts
 
 
-def _numbers(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """60 bits of each set's digest."""
-    return np.array([int.from_bytes(d[:8], "big") >> 4 for d in set_digests(values, bounds)], np.int64)
-
-
-def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, paragraph, start, n_words, node, n, fp, bands) of every long enough paragraph.
-
-    paragraph counts all lines from 0; start is the line's place in the text, in code points."""
+def paragraphs(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """texts (doc_id, body, text) to (doc_id, body, paragraph, word, n_words, digest, n, fp, bands) of every
+    long enough line.  paragraph counts all lines from 0; word is its first word's number in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            lines, of, place, start, words = _long_lines(texts_of(part, "text"), min_words)
-            if not len(lines):
+            lines, of, first, _ = _lines(texts_of(part, "text"))
+            _, rows = split_words(lines)
+            words = np.bincount(rows, minlength=len(of))
+            before = np.cumsum(words) - words
+            long = np.flatnonzero(words >= max(1, min_words))
+            if not len(long):
                 continue
-            values, bounds = shingle_sets(lines, WIDTH)
+            values, bounds = shingle_sets(lines.take(pa.array(long)), WIDTH)
             sig = minhash(values, bounds, PLACES)
-            keys = band_keys(sig, BANDS, ROWS)
-            fp = prints(sig)[:, :PRINTS]
+            keys = (band_keys(sig, BANDS, ROWS).view(np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            mine = of[long]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("doc_id").take(pa.array(of)),
-                    pa.array(place, pa.int64()),
-                    pa.array(start, pa.int64()),
-                    pa.array(words, pa.int64()),
-                    pa.array(_numbers(values, bounds)),
+                    part.column("doc_id").take(pa.array(mine)),
+                    part.column("body").take(pa.array(mine)),
+                    pa.array(long - first[mine], pa.int32()),
+                    pa.array(before[long] - before[first[mine]], pa.int32()),
+                    pa.array(words[long], pa.int32()),
+                    pa.array(set_digests(values, bounds), pa.binary()),
                     pa.array(np.diff(bounds), pa.int64()),
-                    pa.array([row.tobytes() for row in fp], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel())),
+                    pa.array([row.tobytes() for row in prints(sig)], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(long) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel())),
                 ],
-                ["doc_id", "paragraph", "start", "n_words", "node", "n", "fp", "bands"],
+                ["doc_id", "body", "paragraph", "word", "n_words", "digest", "n", "fp", "bands"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, paragraph long, start long, n_words long, node long, n long, fp binary, bands array<long>")
+    return texts.mapInArrow(run, "doc_id long, body long, paragraph int, word int, n_words int, digest binary, n long, fp binary, bands array<int>")
 
 
-def _sets_of(docs: DataFrame, id_col: str, text_col: str, min_words: int, at: DataFrame):
-    """The full sets of wanted nodes from the documents in which they come first (at: c_node, c_doc)."""
+def _sets_of(texts: DataFrame, classes: DataFrame):
+    """The full sets of wanted nodes, from the lines in which they come first."""
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, "text"):
-                lines, of, *_ = _long_lines(texts_of(part, "text"), min_words)
-                if not len(lines):
-                    continue
-                values, bounds = shingle_sets(lines, WIDTH)
-                number = _numbers(values, bounds)
-                asked = [set(x) for x in part.column("nodes").to_pylist()]
-                right = np.zeros(len(lines), bool)
-                for k, (o, v) in enumerate(zip(of.tolist(), number.tolist(), strict=True)):
-                    if v in asked[o]:
-                        asked[o].discard(v)  # one of each is enough
-                        right[k] = True
-                yield pa.RecordBatch.from_arrays([pa.array(number), short_sets(values, bounds)], ["node", "set"]).filter(pa.array(right))
-
-        asked = at.join(wanted, at["c_node"] == wanted["node"], "left_semi").groupBy("c_doc").agg(F.collect_set("c_node").alias("nodes"))
+                lines, _, first, counts = _lines(texts_of(part, "text"))
+                lists = part.column("asked")
+                flat = lists.flatten()
+                owner = np.repeat(np.arange(len(first)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                at = pc.struct_field(flat, "paragraph").to_numpy(zero_copy_only=False).astype(np.int64)
+                there = at < counts[owner]
+                picked = lines.take(pa.array((first[owner] + at)[there]))
+                values, bounds = shingle_sets(picked, WIDTH)
+                yield pa.RecordBatch.from_arrays([pc.struct_field(flat, "node").filter(pa.array(there)), packed_sets(values, bounds)], ["node", "set"])
+
+        held = classes.join(wanted, "node", "left_semi").select("node", "first.*")
+        asked = held.groupBy(F.col("doc_id").alias("a_doc"), F.col("body").alias("a_body")).agg(F.collect_list(F.struct("paragraph", "node")).alias("asked"))
         asked = stage(asked, "asked", 16)
-        asked = broadcast_if_small(asked, asked.count(), MAX_BROADCAST_PARAGRAPHS)
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        found = texts.join(asked, F.col("id").eqNullSafe(F.col("c_doc"))).select("nodes", "text").mapInArrow(run, "node long, set binary")
-        return found.dropDuplicates(["node"])
+        asked = broadcast_if_small(asked, asked.count(), MAX_BROADCAST_TEXTS)
+        found = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("a_doc")) & (F.col("body") == F.col("a_body"))).select("text", "asked")
+        return found.mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
 
     return sets_of
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per paragraph of a cluster of two or more: doc_id, paragraph, start, n_words,
-    first_doc_id, first_paragraph (the one that stays), cluster_size, removed."""
-    path = stage_path(docs.sparkSession, "paragraphs")
-    paragraphs(docs, id_col, text_col, min_words).write.option("compression", "zstd").parquet(path)
-    found = docs.sparkSession.read.parquet(path)
-    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "paragraph")
-    classes = stage(found.groupBy("node").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("size")), "paragraph-classes", 16)
-    at = classes.select(F.col("node").alias("c_node"), F.col("first.doc_id").alias("c_doc"))
-    _, labels = link(found.select("node", "n", "fp", "bands"), _sets_of(docs, id_col, text_col, min_words, at), NUM, DEN, PRINTS, once=False)
+    """One row per line of a cluster of two or more: doc_id, body (the text's hash), paragraph, word,
+    n_words, first_doc_id, first_paragraph (the one that stays), cluster_size, removed."""
+    texts = keyed_texts(docs, id_col, text_col)
+    found = stage(paragraphs(texts, min_words), "paragraphs")
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "body", "paragraph")
+    classes = found.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size"))
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "paragraph-classes", 4)
+    # Of each class its first line makes the node, once even if its row is repeated.
+    firsts = found.withColumn("first", place).join(classes.select("digest", "node", F.col("first").alias("c_first")), "digest").where(F.col("first") == F.col("c_first"))
+    bands = F.transform("bands", lambda b, k: F.shiftleft(k.cast("long"), 32) + b.cast("long"))
+    nodes = firsts.select("node", "n", "fp", bands.alias("bands"))
+    # Only a text that is repeated with its id names a class more than once.
+    repeats = texts.groupBy("doc_id", "body").count().where("count > 1")
+    nodes = stage(nodes if repeats.isEmpty() else nodes.dropDuplicates(["node"]), "paragraph-nodes")
+    _, labels = link(nodes, _sets_of(texts, classes), NUM, DEN, PLACES)
+    discard(nodes)
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     clusters = named.groupBy("label").agg(F.min("first").alias("first"), F.sum("size").alias("cluster_size")).where("cluster_size > 1")
-    members = stage(named.select(F.col("node").alias("m_node"), "label").join(clusters, "label").drop("label"), "paragraph-clusters", 16)
-    out = found.select("doc_id", "paragraph", "start", "n_words", "node").join(members, F.col("node") == F.col("m_node"))
-    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("paragraph") == F.col("first.paragraph"))
-    return narrowed(out.select("doc_id", "paragraph", "start", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"), "cluster_size", (~stays).alias("removed")))
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents with their columns, the removals' lines taken out of their texts."""
-    gone = repeated(docs, id_col, text_col, **how).where("removed").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("paragraph").alias("__gone"))
-    rows = docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda line, k: ~F.array_contains("__gone", k.cast("long")))
-    return rows.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).select(docs.columns)
+    members = named.select(F.col("digest").alias("m_digest"), "label").join(broadcast_if_small(clusters, clusters.count(), MAX_BROADCAST_TEXTS), "label").drop("label")
+    members = stage(members, "paragraph-clusters", 4)
+    out = found.select("doc_id", "body", "paragraph", "word", "n_words", "digest").join(members, F.col("digest") == F.col("m_digest"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("body") == F.col("first.body")) & (F.col("paragraph") == F.col("first.paragraph"))
+    return out.select("doc_id", "body", "paragraph", "word", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"), "cluster_size", (~stays).alias("removed"))
 
 
-def all_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def all_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of repeated() and of passages(), by kind; a text may have rows of both in one place."""
-    lines = repeated(docs, id_col, text_col).withColumn("kind", F.lit("paragraph"))
+    lines = repeated(docs, id_col, text_col, min_words).withColumn("kind", F.lit("paragraph"))
     spans = passages(docs, id_col, text_col).withColumn("kind", F.lit("passage"))
     return lines.unionByName(spans, allowMissingColumns=True)
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents with their columns, removals taken out of their texts: of the words removed, what
+    stands from the first to the last of each run of them goes; lines left empty by that go too."""
+    gone = all_repeats(docs, id_col, text_col, min_words).where("removed")
+    gone = gone.groupBy(F.col("doc_id").alias("g_doc"), F.col("body").alias("g_body")).agg(F.collect_list(F.struct("word", "n_words")).alias("gone"))
+    row, key, body, cuts = fresh(docs, "row", "key", "body", "cuts")
+    g_doc, g_body = fresh(docs, "g_doc", "g_body")
+    gone = gone.select(F.col("g_doc").alias(g_doc), F.col("g_body").alias(g_body), F.col("gone").alias(cuts))
+    rows = docs.withColumn(key, F.col(id_col).cast("long")).withColumn(body, text_hash(docs, id_col, text_col).cast("long"))
+    rows = rows.join(gone, F.col(key).eqNullSafe(F.col(g_doc)) & (F.col(body) == F.col(g_body)), "left").drop(key, body, g_doc, g_body)
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col):
+            texts, asked = part.column(text_col).to_pylist(), part.column(cuts).to_pylist()
+            cut = [t if t is None or not a else _cut(t, np.array([(x["word"], x["n_words"]) for x in a], np.int64)) for t, a in zip(texts, asked, strict=True)]
+            at = part.schema.get_field_index(text_col)
+            yield part.set_column(at, part.schema.field(at), pa.array(cut, part.schema.field(at).type)).select(schema.fieldNames())
+
+    return rows.mapInArrow(run, schema)
+
+
+def _cut(text: str, spans: np.ndarray) -> str:
+    """A text without the words of the spans, and without the lines of which no word is left."""
+    begin, end = word_bounds(text)
+    lost = np.zeros(len(begin), bool)
+    lost[ranges(spans[:, 0], spans[:, 1])] = True
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    newline = codes == 10
+    line = np.cumsum(newline) - newline
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], lost, [False]]).astype(np.int8))).reshape(-1, 2)
+    keep = np.ones(len(codes), bool)
+    keep[ranges(begin[edges[:, 0]], end[edges[:, 1] - 1] - begin[edges[:, 0]])] = False
+    keep |= newline
+    of, n = line[begin], int(line[-1]) + 1
+    empty = (np.bincount(of[lost], minlength=n) > 0) & (np.bincount(of[~lost], minlength=n) == 0)
+    keep &= ~empty[line]
+    kept = codes[keep].tobytes().decode("utf-32-le")
+    return kept.removesuffix("\n") if empty[-1] else kept
+
+
 def op3_paragraph_dedup(spark, sf_dir: str) -> DataFrame:
     return all_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))

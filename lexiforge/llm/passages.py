@@ -1,9 +1,9 @@
-"""Exact substring deduplication: passages of WORDS words or more that stand in two places.
+"""Passages of WORDS words or more that stand in two places, within or across lines.
 
-The unit is the window of WORDS words over the whole text, across line ends (A-Z as a-z, white
-space as one space).  A window's anchor is the least hash of the 25-word runs in it, so equal
-windows have equal anchors wherever they stand (winnowing), and no repeat is missed.  Neighbouring
-windows with one anchor make a run of at most STEP windows, named by a hash of its windows.
+The unit is the window of WORDS words over the whole text (A-Z as a-z, white space as one space).
+A window's anchor is its MinHash over the 25-word runs in it, one place: equal windows have equal
+anchors wherever they stand, so no repeat is missed.  Neighbouring windows with one anchor make a
+run of at most STEP windows, named by a hash of its windows.
 
 1. Runs whose anchor comes once cannot repeat and go.  Equal runs are one class, held by its first.
 2. Where all runs of an anchor are one class, each window's first place is the class's.  Of anchors
@@ -22,14 +22,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, mix, slices, split_words, stage, texts_of
+from .common import broadcast_if_small, discard, keyed_texts, mix, slices, split_words, stage, texts_of
 
 WORDS, HALF = 50, 25
 STEP = WORDS - HALF + 1
-#: Anchors, runs or spans (8 to 60 bytes each) up to which they are broadcast.
+#: Texts with wanted runs (some 50 bytes a run) up to which the runs are broadcast to the texts.
 MAX_BROADCAST = 1_000_000
 
 
@@ -61,17 +61,12 @@ def windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return of, at - (np.cumsum(counts) - counts)[of], _paired(half[at], half[at + HALF]), anchor[at]
 
 
-def _bodies(texts: pa.Array) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, texts.to_pylist()), np.uint64, len(texts)).view(np.int64)
-
-
-def _runs(docs: DataFrame) -> DataFrame:
+def _runs(texts: DataFrame) -> DataFrame:
     """(doc_id, body, word, m, anchor, key) of every run of m windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            texts = texts_of(part, "text")
-            of, word, value, anchor = windows(texts)
+            of, word, value, anchor = windows(texts_of(part, "text"))
             if not len(of):
                 continue
             fresh = np.ones(len(of), bool)
@@ -82,109 +77,85 @@ def _runs(docs: DataFrame) -> DataFrame:
             begin = np.flatnonzero(off == 0)
             m = np.diff(np.append(begin, len(of)))
             key = mix(np.add.reduceat(mix(value ^ mix(off.astype(np.uint64))), begin) + m.astype(np.uint64)).view(np.int64)
+            rows = pa.array(of[begin])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(pa.array(of[begin])), pa.array(_bodies(texts)[of[begin]]), pa.array(word[begin], pa.int32()), pa.array(m, pa.int32()), pa.array(anchor[begin].view(np.int64)), pa.array(key)],
+                [part.column("doc_id").take(rows), part.column("body").take(rows), pa.array(word[begin], pa.int32()), pa.array(m, pa.int32()), pa.array(anchor[begin].view(np.int64)), pa.array(key)],
                 ["doc_id", "body", "word", "m", "anchor", "key"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, body long, word int, m int, anchor long, key long")
+    return texts.mapInArrow(run, "doc_id long, body long, word int, m int, anchor long, key long")
 
 
 def _place(word: str = "word"):
     return F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.col("body"), F.col(word).alias("word"))
 
 
-def _with_texts(docs: DataFrame, asked: DataFrame, rows: int) -> DataFrame:
-    """docs with asked (a_doc and lists of what is asked of its texts)."""
-    return docs.join(broadcast_if_small(asked, rows, MAX_BROADCAST), F.col("doc_id").eqNullSafe(F.col("a_doc")))
-
-
-def _other_firsts(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(o_key, others) of the classes that have windows with an earlier place in another class."""
+def _window_firsts(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of classes whose anchor has several: (c_key, off, len, f_doc, f_body, f_word), stretches of their windows
+    with the places in which these come first."""
     mixed = classes.groupBy("anchor").count().where("count > 1").select("anchor")
-    wanted = stage(classes.join(mixed, "anchor", "left_semi").select("first", "m", "key"), "passage-mixed", 16)
-    asked = wanted.groupBy(F.col("first.doc_id").alias("a_doc")).agg(F.collect_list(F.struct("first.body", "first.word", "m", "key")).alias("asked"))
-    asked = stage(asked, "passage-asked", 16)
+    wanted = stage(classes.join(mixed, "anchor", "left_semi").select("first", "m", "key"), "passage-mixed", 4)
+    asked = wanted.groupBy(F.col("first.doc_id").alias("a_doc"), F.col("first.body").alias("a_body")).agg(F.collect_list(F.struct("first.word", "m", "key")).alias("asked"))
+    asked = stage(asked, "passage-asked", 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            texts = texts_of(part, "text")
-            of, word, value, _ = windows(texts)
-            begin = np.searchsorted(of, np.arange(len(texts)))
+            of, _, value, _ = windows(texts_of(part, "text"))
+            begin = np.searchsorted(of, np.arange(part.num_rows))
             lists = part.column("asked")
             flat = lists.flatten()
-            owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-            body, first, m, key = (pc.struct_field(flat, k).to_numpy(zero_copy_only=False) for k in range(4))
-            right = body == _bodies(texts)[owner]
-            owner, first, m, key = owner[right], first[right].astype(np.int64), m[right].astype(np.int64), key[right]
-            if not len(owner):
-                continue
+            owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            first, m, key = (pc.struct_field(flat, k).to_numpy(zero_copy_only=False) for k in range(3))
+            first, m = first.astype(np.int64), m.astype(np.int64)
             off = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
             at = np.repeat(begin[owner] + first, m) + off
-            row = np.repeat(owner, m)
+            row = pa.array(np.repeat(owner, m))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(pa.array(row)), pa.array(np.repeat(body[right], m)), pa.array(word[at], pa.int32()), pa.array(value[at].view(np.int64)), pa.array(np.repeat(key, m)), pa.array(off, pa.int32())],
+                [part.column("doc_id").take(row), part.column("body").take(row), pa.array(np.repeat(first, m) + off, pa.int32()), pa.array(value[at].view(np.int64)), pa.array(np.repeat(key, m)), pa.array(off, pa.int32())],
                 ["doc_id", "body", "word", "hash", "key", "off"],
             )
 
-    found = _with_texts(docs, asked, wanted.count()).select("doc_id", "text", "asked").mapInArrow(run, "doc_id long, body long, word int, hash long, key long, off int")
+    held = texts.join(broadcast_if_small(asked, asked.count(), MAX_BROADCAST), F.col("doc_id").eqNullSafe(F.col("a_doc")) & (F.col("body") == F.col("a_body")))
+    found = held.select("doc_id", "body", "text", "asked").mapInArrow(run, "doc_id long, body long, word int, hash long, key long, off int")
+    # A row repeated as a whole names the same windows again.
     found = stage(found, "passage-windows", 4)
-    first = stage(found.groupBy("hash").agg(F.min(_place()).alias("w_first"), F.count(F.lit(1)).alias("size")).where("size > 1").select(F.col("hash").alias("w_hash"), "w_first"), "passage-firsts", 16)
-    first = broadcast_if_small(first, first.count(), MAX_BROADCAST)
-    late = found.join(first, F.col("hash") == F.col("w_hash")).where(~_place().eqNullSafe(F.col("w_first")))
-    # A class has at most STEP windows; repeated rows name the same ones again.
-    return late.groupBy(F.col("key").alias("o_key")).agg(F.collect_set(F.struct("off", "w_first")).alias("others"))
-
-
-def _spans_of(runs: list[dict], doc_id: int | None, body: int) -> list[tuple]:
-    """(word, n_words, source doc_id, body, word) of a text's removed windows, joined."""
-    late = []
-    for r in runs:
-        first, m = r["first"], r["m"]
-        others = {o["off"]: o["w_first"] for o in r["others"] or ()}
-        for low, high in [(0, m)] if not others else [(k, k + 1) for k in range(m)]:
-            if low in others:
-                f = others[low]
-                d, b, w = f["doc_id"], f["body"], f["word"]
-            else:
-                d, b, w = first["doc_id"], first["body"], first["word"] + low
-            word = r["word"] + low
-            if (d, b) != (doc_id, body) or word - w >= WORDS:
-                late.append((word, high - low, d, b, w))
-    out: list[list] = []
-    for word, m, d, b, w in sorted(set(late), key=lambda x: x[0]):
-        last = out[-1] if out else None
-        if last and last[2:4] == [d, b] and last[0] + last[1] == word and last[4] + last[1] == w:
-            last[1] += m
-        else:
-            out.append([word, m, d, b, w])
-    return [(word, m + WORDS - 1, d, b, w) for word, m, d, b, w in out]
-
-
-def spans(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) to (doc_id, body, word, n_words, f_doc, f_body, f_word), staged: the maximal
+    first = found.groupBy("hash").agg(F.min(_place()).alias("w_first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("hash").alias("w_hash"), "w_first")
+    late = found.join(first, F.col("hash") == F.col("w_hash"), "left").select("key", "off", F.coalesce("w_first", _place()).alias("f"))
+    # Neighbouring windows with neighbouring places make one stretch; a run has at most STEP of them.
+    late = late.select("key", "off", F.col("f.doc_id").alias("f_doc"), F.col("f.body").alias("f_body"), (F.col("f.word") - F.col("off")).alias("delta"))
+    sets = late.groupBy("key", "f_doc", "f_body", "delta").agg(F.array_sort(F.collect_set("off")).alias("offs"))
+    islands = F.array_distinct(F.transform("offs", lambda x, k: x - k))
+    sets = sets.withColumn("island", F.explode(islands))
+    inside = F.filter("offs", lambda x, k: x - k == F.col("island"))
+    sets = sets.select("key", "f_doc", "f_body", "delta", F.array_min(inside).alias("off"), F.size(inside).alias("len"))
+    out = stage(sets.select(F.col("key").alias("c_key"), "off", "len", "f_doc", "f_body", (F.col("delta") + F.col("off")).alias("f_word")), "passage-parts", 4)
+    discard(wanted, asked, found)
+    return out
+
+
+def spans(texts: DataFrame) -> DataFrame:
+    """texts (doc_id, body, text) to (doc_id, body, word, n_words, f_doc, f_body, f_word), staged: the maximal
     spans that stand in an earlier place, and that place."""
-    runs = stage(_runs(docs), "passage-runs")
-    often = stage(runs.groupBy("anchor").count().where("count > 1").select("anchor"), "passage-anchors", 16)
-    maybe = stage(runs.join(broadcast_if_small(often, often.count(), MAX_BROADCAST), "anchor", "left_semi"), "passage-candidates")
-    classes = stage(maybe.groupBy("anchor", "key").agg(F.min(_place()).alias("first"), F.first("m").alias("m"), F.count(F.lit(1)).alias("size")), "passage-classes", 16)
-    others = stage(_other_firsts(docs, classes), "passage-others", 16)
-    named = classes.join(others, F.col("key") == F.col("o_key"), "left").where("size > 1 or others is not null")
-    named = stage(named.select(F.col("key").alias("c_key"), "first", "others"), "passage-named", 16)
-    late = maybe.join(named, F.col("key") == F.col("c_key")).where(F.col("others").isNotNull() | ~_place().eqNullSafe(F.col("first")))
-    by_text = late.groupBy("doc_id", "body").agg(F.collect_list(F.struct("word", "m", "first", "others")).alias("runs"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for k in range(batch.num_rows):
-                d, b = batch.column("doc_id")[k].as_py(), batch.column("body")[k].as_py()
-                rows += [(d, b, *s) for s in _spans_of(batch.column("runs")[k].as_py(), d, b)]
-            if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "body", "word", "n_words", "f_doc", "f_body", "f_word"])
-
-    return stage(by_text.mapInArrow(run, "doc_id long, body long, word long, n_words long, f_doc long, f_body long, f_word long"), "passage-spans", 16)
+    runs = stage(_runs(texts), "passage-runs")
+    often = stage(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "passage-anchors", 4)
+    maybe = stage(runs.join(often, "anchor", "left_semi"), "passage-candidates", 2)
+    discard(runs, often)
+    classes = stage(maybe.groupBy("anchor", "key").agg(F.min(_place()).alias("first"), F.first("m").alias("m"), F.count(F.lit(1)).alias("size")), "passage-classes", 4)
+    parts = _window_firsts(texts, classes)
+    whole = classes.join(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds = 1").select("anchor"), "anchor", "left_semi").where("size > 1")
+    whole = whole.select(F.col("key").alias("c_key"), F.lit(0).alias("off"), F.col("m").alias("len"), F.col("first.doc_id").alias("f_doc"), F.col("first.body").alias("f_body"), F.col("first.word").alias("f_word"))
+    stretches = stage(whole.unionByName(parts), "passage-stretches", 4)
+    late = maybe.join(stretches, F.col("key") == F.col("c_key")).select("doc_id", "body", (F.col("word") + F.col("off")).alias("word"), "len", "f_doc", "f_body", "f_word")
+    apart = ~(F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("body") == F.col("f_body"))) | (F.col("word") - F.col("f_word") >= WORDS)
+    late = late.where(apart).withColumn("shift", F.col("word") - F.col("f_word"))
+    # Stretches of one text with one source: where one begins at or before the end of those before, it goes on.
+    source = Window.partitionBy("doc_id", "body", "f_doc", "f_body", "shift").orderBy("word")
+    reach = F.max(F.col("word") + F.col("len")).over(source.rowsBetween(Window.unboundedPreceding, -1))
+    late = late.withColumn("starts", F.coalesce(F.col("word") > reach, F.lit(True)).cast("int"))
+    late = late.withColumn("island", F.sum("starts").over(source.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    out = late.groupBy("doc_id", "body", "f_doc", "f_body", "shift", "island").agg(F.min("word").alias("word"), F.max(F.col("word") + F.col("len")).alias("stop"))
+    out = out.select("doc_id", "body", "word", (F.col("stop") - F.col("word") + WORDS - 1).alias("n_words"), "f_doc", "f_body", (F.col("word") - F.col("shift")).alias("f_word"))
+    return stage(out, "passage-spans", 4)
 
 
 def word_bounds(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -197,33 +168,11 @@ def word_bounds(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per span: doc_id, paragraph (the line in which it begins), start and n_chars in code points,
-    word, n_words, first_doc_id, first_word and removed.  A removed span names the earlier place
-    of its words; each place that is named has a row too, not removed."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    late = spans(docs)
-    gone = late.withColumn("removed", F.lit(True))
-    source = late.select(F.col("f_doc").alias("doc_id"), F.col("f_body").alias("body"), F.col("f_word").alias("word"), "n_words", "f_doc", "f_body", "f_word", F.lit(False).alias("removed")).distinct()
-    every = stage(gone.unionByName(source), "passage-rows", 16)
-    asked = stage(every.groupBy(F.col("doc_id").alias("a_doc")).agg(F.collect_list(F.struct("body", "word", "n_words", "f_doc", "f_word", "removed")).alias("asked")), "passage-texts", 16)
-    schema = "doc_id long, paragraph long, start long, n_chars long, word long, n_words long, first_doc_id long, first_word long, removed boolean"
-    kinds = [pa.int64()] * 8 + [pa.bool_()]
-    names = ["doc_id", "paragraph", "start", "n_chars", "word", "n_words", "first_doc_id", "first_word", "removed"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            texts, rows = texts_of(part, "text"), []
-            for text, body, doc_id, asked in zip(texts.to_pylist(), _bodies(texts).tolist(), part.column("doc_id").to_pylist(), part.column("asked").to_pylist(), strict=True):
-                mine = [a for a in asked if a["body"] == body]
-                if not mine:
-                    continue
-                begin, end = word_bounds(text)
-                lines = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-                lines = np.flatnonzero(lines == 10)
-                for a in mine:
-                    s, e = int(begin[a["word"]]), int(end[a["word"] + a["n_words"] - 1])
-                    rows.append((doc_id, int(np.searchsorted(lines, s)), s, e - s, a["word"], a["n_words"], a["f_doc"], a["f_word"], a["removed"]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    return _with_texts(docs, asked, every.count()).select("doc_id", "text", "asked").mapInArrow(run, schema)
+    """One row per span: doc_id, body (the text's hash), word, n_words, first_doc_id, first_word and removed.
+    A removed span names the earlier place of its words; each place that is named has a row too, not
+    removed."""
+    late = spans(keyed_texts(docs, id_col, text_col))
+    gone = late.select("doc_id", "body", "word", "n_words", F.col("f_doc").alias("first_doc_id"), F.col("f_word").alias("first_word"), F.lit(True).alias("removed"))
+    source = late.select(F.col("f_doc").alias("doc_id"), F.col("f_body").alias("body"), F.col("f_word").alias("word"), "n_words").distinct()
+    source = source.select("doc_id", "body", "word", "n_words", F.col("doc_id").alias("first_doc_id"), F.col("word").alias("first_word"), F.lit(False).alias("removed"))
+    return gone.unionByName(source)
