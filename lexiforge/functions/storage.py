@@ -8,6 +8,10 @@ from pyspark.sql import SparkSession
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in spark.checkpoint.dir; a local default only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/lexiforge"
+    """A fresh path in spark.checkpoint.dir; a local default only where none is set and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "/tmp/checkpoints/lexiforge"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

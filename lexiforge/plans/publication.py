@@ -17,7 +17,7 @@ from ..operators import chunks as C
 from ..operators import snapshot as N
 from ..operators.vectors import hashed_bow
 from ..sources.artifacts import read_snapshot
-from ..sources.uploads import docx_units, model_of, parse_config
+from ..sources.uploads import docx_units, model_of, parse_config, parsed
 from .elements import elements
 
 
@@ -103,6 +103,18 @@ def s6(spark, d):
     return units.groupBy("document_id", "page").agg(F.count(F.lit(1)).alias("units"))
 
 
+@query("S3_docx_parse", "WITH l AS (SELECT doc_id AS document_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k, trim(unnest(string_split(coalesce(text, ''), chr(10)))) AS text FROM documents) SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY k) - 1 AS ordinal, 'paragraph' AS type, text FROM l WHERE text <> ''")
+def s3_docx(spark, d):
+    """The lines of every document as the paragraphs of a DOCX file, and the items read from it."""
+
+    def made(pdfs):
+        for pdf in pdfs:
+            yield pd.DataFrame({"document_id": pdf["doc_id"], "content": [docx_bytes((t or "").split("\n")) for t in pdf["text"]]})
+
+    files = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").mapInPandas(made, "document_id long, content binary")
+    return parsed(files.withColumn("kind", F.lit("docx"))).select("document_id", "ordinal", "type", "text")
+
+
 @query("S18_role_config", "SELECT event_id, CASE event_type WHEN 'view' THEN 'small' WHEN 'error' THEN 'large' ELSE 'base' END AS model FROM events")
 def s18(spark, d):
     """Each call takes the model of its role; roles without one have the default's."""
