@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, stage
+from .common import discard, lean, stage, trim_memory
 from .components import components
 from .minhash import common_shingles, set_numbers
 
 #: Nodes and shingles to a block, about; a task holds two blocks.
-BLOCK, BLOCK_SHINGLES = 384, 1_000_000
+BLOCK, BLOCK_SHINGLES = 384, 500_000
 #: Random nodes of the main component and outside of it in a round of stars, and the rounds at most.
 INSIDE, OUTSIDE, ROUNDS = 4, 2, 4
 
@@ -59,7 +59,7 @@ def _prefiltered(pairs: DataFrame, nodes: DataFrame, num: int, den: int, places:
                 x, y = (np.frombuffer(b"".join(v.as_buffer() for v in batch.column(c)), np.uint8).reshape(-1, places) for c in ("fp_a", "fp_b"))
                 yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= need))
 
-    return wide.mapInArrow(run, "a long, b long")
+    return wide.mapInArrow(lean(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, places: int) -> DataFrame:
@@ -82,7 +82,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame],
                 keep[k] = den * both >= num * (len(last) + len(y) - both)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return wide.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return wide.select("a", "b", "set_a", "set_b").mapInArrow(lean(run), "a long, b long")
 
 
 def _joined(find: dict[int, int], x: int) -> int:
@@ -156,7 +156,7 @@ def _rare_members(held: DataFrame, num: int, den: int) -> DataFrame:
                 items = set_numbers(batch.column("set")[k].as_py()).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(items), batch.column("node")[k].as_py(), np.int64)), pa.array(items)], ["node", "item"])
 
-    items = held.select("node", "set").mapInArrow(run, "node long, item long")
+    items = held.select("node", "set").mapInArrow(lean(run), "node long, item long")
     often = stage(items.groupBy("item").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often", 4)
     w = Window.partitionBy("node")
     shared = items.join(often, "item").join(held.select("node", "n", "label", "main"), "node")
@@ -192,6 +192,7 @@ def _rest_links(held: DataFrame, num: int, den: int, places: int) -> DataFrame:
         fp = np.frombuffer(b"".join(pdf["fp"]), np.uint8).reshape(-1, places)
         low = (pdf["block"] == pdf["block_x"]).to_numpy()
         got = tile_links(pdf["node"].to_numpy(), pdf["label"].to_numpy(), pdf["n"].to_numpy(), fp, pdf["set"].tolist(), low, num, den, need)
+        trim_memory()
         return pd.DataFrame(got, columns=["a", "b"]).astype("int64")
 
     return rows.groupBy("block_x", "block_y").applyInPandas(run, "a long, b long")
@@ -248,7 +249,7 @@ def link(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int,
         rest = _unsettled(rest.select("key", "pivot", "node"), labels)
     if not rest.isEmpty():
         side = rest.groupBy("node").agg(F.min("label").alias("label"), F.bool_or("main").alias("main"))
-        more = stage(_rest_links(stage(held.join(side, "node"), "rest-held", 2), num, den, places), "rest-links", 16)
+        more = stage(_rest_links(stage(held.join(side, "node"), "rest-held", 2), num, den, places), "rest-links")
         if not more.isEmpty():
             edges = edges.unionByName(more)
             labels = stage(components(edges), "labels", 16)

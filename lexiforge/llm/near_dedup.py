@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, fresh, keyed_texts, narrowed, slices, stage, text_hash, texts_of
+from .common import broadcast_if_small, fresh, keyed_texts, lean, narrowed, slices, stage, text_hash, texts_of
 from .links import link
 from .minhash import band_keys, packed_sets, prints, set_digests, shingle_sets, superminhash
 
@@ -55,7 +55,7 @@ def features(texts: DataFrame, width: int, bands_of: int, rows_of: int) -> DataF
             fp = pa.array([row.tobytes() for row in prints(sig)], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("body"), pa.array(n), pa.array(set_digests(values, bounds), pa.binary()), fp, bands], ["doc_id", "body", "n", "digest", "fp", "bands"])
 
-    return texts.mapInArrow(run, "doc_id long, body long, n long, digest binary, fp binary, bands array<long>")
+    return texts.mapInArrow(lean(run), "doc_id long, body long, n long, digest binary, fp binary, bands array<long>")
 
 
 def _judged(docs: DataFrame, num: int, den: int, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -80,7 +80,7 @@ def _judged(docs: DataFrame, num: int, den: int, width: int, id_col: str, text_c
         named = classes.join(wanted, "node", "left_semi").select("node", F.col("first.doc_id").alias("w_doc"), F.col("first.body").alias("w_body"))
         named = stage(named, "wanted", 16)
         named = broadcast_if_small(named, named.count(), MAX_BROADCAST_NODES)
-        sets = texts.join(named, (F.col("doc_id") == F.col("w_doc")) & (F.col("body") == F.col("w_body"))).select("node", "text").mapInArrow(run, "node long, set binary")
+        sets = texts.join(named, (F.col("doc_id") == F.col("w_doc")) & (F.col("body") == F.col("w_body"))).select("node", "text").mapInArrow(lean(run), "node long, set binary")
         return sets if repeated.isEmpty() else sets.dropDuplicates(["node"])
 
     _, labels = link(nodes, sets_of, num, den, PLACES)

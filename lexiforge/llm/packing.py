@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage, texts_of
+from .common import lean, slices, stage, texts_of
 from .tokens import MAX_PIECES, default_path, encoder
 
 CAPACITY = 2048
@@ -178,7 +178,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seen = encoder(path, max_pieces), 0
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text"):
             ids, bounds = encode.encode(texts_of(part, "text"), end_id)
             rows, piece, start, length, crc = [], [], [], [], []
             raw = ids.astype("<u4", copy=False)
@@ -198,7 +198,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                 ["doc_id", "piece", "start", "length", "ids_crc32", "salt"],
             )
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, salt int")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, salt int")
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, **how) -> DataFrame:

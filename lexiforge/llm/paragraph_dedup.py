@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, discard, fresh, keyed_texts, ranges, slices, split_words, stage, text_hash, texts_of
+from .common import broadcast_if_small, discard, fresh, keyed_texts, lean, ranges, slices, split_words, stage, text_hash, texts_of
 from .links import link
 from .minhash import band_keys, minhash, packed_sets, prints, set_digests, shingle_sets
 from .passages import passages, word_bounds
@@ -84,7 +84,7 @@ def paragraphs(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 ["doc_id", "body", "paragraph", "word", "n_words", "digest", "n", "fp", "bands"],
             )
 
-    return texts.mapInArrow(run, "doc_id long, body long, paragraph int, word int, n_words int, digest binary, n long, fp binary, bands array<int>")
+    return texts.mapInArrow(lean(run), "doc_id long, body long, paragraph int, word int, n_words int, digest binary, n long, fp binary, bands array<int>")
 
 
 def _sets_of(texts: DataFrame, classes: DataFrame):
@@ -108,7 +108,7 @@ def _sets_of(texts: DataFrame, classes: DataFrame):
         asked = stage(asked, "asked", 16)
         asked = broadcast_if_small(asked, asked.count(), MAX_BROADCAST_TEXTS)
         found = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("a_doc")) & (F.col("body") == F.col("a_body"))).select("text", "asked")
-        return found.mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
+        return found.mapInArrow(lean(run), "node long, set binary").dropDuplicates(["node"])
 
     return sets_of
 
@@ -165,7 +165,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             at = part.schema.get_field_index(text_col)
             yield part.set_column(at, part.schema.field(at), pa.array(cut, part.schema.field(at).type)).select(schema.fieldNames())
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _cut(text: str, spans: np.ndarray) -> str:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, discard, keyed_texts, mix, slices, split_words, stage, texts_of
+from .common import broadcast_if_small, discard, keyed_texts, lean, mix, slices, split_words, stage, texts_of
 
 WORDS, HALF = 50, 25
 STEP = WORDS - HALF + 1
@@ -83,7 +83,7 @@ def _runs(texts: DataFrame) -> DataFrame:
                 ["doc_id", "body", "word", "m", "anchor", "key"],
             )
 
-    return texts.mapInArrow(run, "doc_id long, body long, word int, m int, anchor long, key long")
+    return texts.mapInArrow(lean(run), "doc_id long, body long, word int, m int, anchor long, key long")
 
 
 def _place(word: str = "word"):
@@ -116,7 +116,7 @@ def _window_firsts(texts: DataFrame, classes: DataFrame) -> DataFrame:
             )
 
     held = texts.join(broadcast_if_small(asked, asked.count(), MAX_BROADCAST), F.col("doc_id").eqNullSafe(F.col("a_doc")) & (F.col("body") == F.col("a_body")))
-    found = held.select("doc_id", "body", "text", "asked").mapInArrow(run, "doc_id long, body long, word int, hash long, key long, off int")
+    found = held.select("doc_id", "body", "text", "asked").mapInArrow(lean(run), "doc_id long, body long, word int, hash long, key long, off int")
     # A row repeated as a whole names the same windows again.
     found = stage(found, "passage-windows", 4)
     first = found.groupBy("hash").agg(F.min(_place()).alias("w_first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("hash").alias("w_hash"), "w_first")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Forest, fit
-from .common import slices, split_words, texts_of
+from .common import lean, slices, split_words, texts_of
 
 #: Fixed values of the contract.
 SYMBOLS = b"#*$%&|<>"
@@ -142,7 +142,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, min_t
     picked = known.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(max_train)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
     kind = rows.schema["doc_id"].dataType.simpleString()
-    counted = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").mapInArrow(_stat_rows, f"doc_id {kind}, quality long, {_STATS}")
+    counted = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").mapInArrow(lean(_stat_rows), f"doc_id {kind}, quality long, {_STATS}")
     seen = counted.groupBy("doc_id").agg(F.min(F.struct("quality", *COUNTS, *MORE)).alias("s")).select("s.*").toPandas()
     # The order in which rows arrive may vary; the fit must not.
     seen = seen.sort_values(list(seen.columns), kind="stable")
@@ -174,7 +174,7 @@ def judged(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             failed, kept, score = model.judge(s)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(s[c], pa.int64()) for c in COUNTS), pa.array(failed), pa.array(kept), pa.array(score)], ["doc_id", *COUNTS, "base_failed", "kept", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), schema)
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -187,7 +187,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
                 _, kept, _ = model.judge(statistics(pa.concat_arrays([pc.fill_null(part.column(at), "")])))
                 yield part.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
