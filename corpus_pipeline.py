@@ -39,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document's pieces stand in the packed sequences."""
     # Workers that also hold other stages' memory remember fewer pieces.
-    return packed(docs, max_pieces=250_000)
+    return packed(docs, max_pieces=150_000)
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("packing", pack)]
