@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, line_dedup, mixing, near_dedup, packing, paragraph_dedup, quality, token_files, warc
+from . import exact_dedup, html_extract, importance, line_dedup, mixing, near_dedup, packing, paragraph_dedup, quality, sharding, token_files, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_near_duplicates": near_dedup.op10_near_duplicates,
+    "op11_importance_resampling": importance.op11_importance_resampling,
+    "op12_byte_shards": sharding.op12_byte_shards,
 }
 ORACLES = {
     "op9_line_dedup": line_dedup.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op11_importance_resampling": importance.ORACLE,
+    "op12_byte_shards": sharding.ORACLE,
 }
