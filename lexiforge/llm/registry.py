@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, importance, line_dedup, mixing, near_dedup, packing, paragraph_dedup, quality, sharding, token_files, warc
+from . import exact_dedup, html_extract, importance, line_dedup, mixing, near_dedup, packing, paragraph_dedup, quality, sharding, token_files, turn_repair, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_near_duplicates": near_dedup.op10_near_duplicates,
     "op11_importance_resampling": importance.op11_importance_resampling,
     "op12_byte_shards": sharding.op12_byte_shards,
+    "op13_turn_repair": turn_repair.op13_turn_repair,
 }
 ORACLES = {
     "op9_line_dedup": line_dedup.ORACLE,
@@ -24,4 +25,5 @@ ORACLES = {
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op11_importance_resampling": importance.ORACLE,
     "op12_byte_shards": sharding.ORACLE,
+    "op13_turn_repair": turn_repair.ORACLE,
 }
