@@ -22,8 +22,9 @@ import pyarrow.compute as pc
 from .common import ranges, split_words
 
 
-#: What may be cut off a piece's end, and what must then stand before it.
-ENDINGS, BEFORE = ".,;:!?", r"[0-9A-Za-zÀ-ÖØ-öø-ɏ]$"
+#: What may be cut off a piece's end, and what must then stand before it.  U+0130 is not among it: lower-cased
+#: it ends in a combining dot, which the library joins with the punctuation.
+ENDINGS, BEFORE = ".,;:!?", r"[0-9A-Za-zÀ-ÖØ-öø-\x{12F}\x{131}-ɏ]$"
 
 
 #: Pieces that a worker remembers, about 200 bytes each.

@@ -51,6 +51,18 @@ def test_encoder_gives_the_library_ids():
         assert ids[bounds[i] : bounds[i + 1]].tolist() == [*r.ids, 0]
 
 
+def test_every_letter_with_every_ending_has_the_library_ids():
+    letters = [chr(k) for k in range(0xC0, 0x250)]
+    texts = [f"{a}{x}{b}{e}" for x in letters for e in [*tokens.ENDINGS, "...", "?!"] for a, b in (("", ""), ("val", ""), ("", "i"), (x, x))]
+    texts += [f"VALİLİĞİ{e} İstanbul{e} İ{e}{e} Iİ{e}" for e in tokens.ENDINGS]
+    rnd = random.Random(6)
+    texts += ["".join(rnd.choice([*"İIıiaZ9é \u0307", *tokens.ENDINGS]) for _ in range(40)) for _ in range(3000)]
+    e = tokens.Encoder(tokens.default_path())
+    ids, bounds = e.encode(pa.array(texts), 0)
+    for i, r in enumerate(e.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == [*r.ids, 0], texts[i]
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 16384, 65535, 65536, 65537, 200_000])
 def test_ans_round_trip(n):
     ids = np.minimum(np.random.default_rng(n).zipf(1.3, max(n, 1)), 49_407).astype(np.uint32)
