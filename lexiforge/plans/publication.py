@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions.migrations import migrate, read_table, store_tables
 from ..functions.storage import work_folder
-from ..operators import chunks as C
 from ..operators import snapshot as N
+from ..operators.build import build, read_documents
+from ..operators.build import published as current_build
 from ..operators.vectors import hashed_bow
 from ..sources.artifacts import read_snapshot
 from ..sources.uploads import docx_units, model_of, parse_config, parsed
@@ -62,22 +63,42 @@ def k9(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", (~N.inside(path, "/repo/data")).alias("allowed"))
 
 
-def build(spark: SparkSession, docs_elements: DataFrame, root: str) -> DataFrame:
-    """Elements to chunks to vectors to a published version: (document_id, chunk_count, status)."""
-    prose = C.prose_chunks(docs_elements)
-    ids = F.array(F.concat(F.lit("e"), F.col("first").cast("string")), F.concat(F.lit("e"), F.col("last").cast("string")))
-    chunks = prose.select("document_id", C.chunk_id(F.col("document_id"), F.lit("r1"), F.lit("prose"), ids, F.col("piece"), F.col("text")).alias("chunk_id"), C.clamp(F.col("text")).alias("text"))
-    vectors = chunks.withColumn("v", hashed_bow(F.col("text")))
-    N.publish(vectors, chunks.agg(F.count(F.lit(1)).alias("chunk_count")), root)
-    stored = read_snapshot(spark, root).groupBy("document_id").agg(F.count(F.lit(1)).alias("chunk_count"))
-    every = docs_elements.select("document_id").distinct().join(stored, "document_id", "left")
-    return every.select("document_id", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.when(F.col("chunk_count") > 0, "ready").otherwise("empty").alias("status"))
+#: Buckets of the queries' builds, whose tables are small.
+_BUCKETS = 64
+FINGERPRINT = {"chunker_version": "1", "embedding_model": "words by CRC-32"}
+
+
+def revisions(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select(F.col("doc_id").alias("document_id"), F.sha1(F.coalesce("text", F.lit(""))).alias("revision"))
 
 
 @query("V7_full_build")
 def v7(spark, d):
     """Every stage of a build over all documents; the greedy chunker has no SQL twin."""
-    return build(spark, elements(spark, d), work_folder(spark, "build"))
+    root = work_folder(spark, "build")
+    build(revisions(spark, d), elements(spark, d), root, FINGERPRINT, hashed_bow, buckets=_BUCKETS)
+    listed = read_documents(spark, current_build(spark, root))
+    return listed.select("document_id", "chunk_count", F.when(F.col("chunk_count") > 0, "ready").otherwise("empty").alias("status"))
+
+
+_MUTATED = f"""WITH p AS (SELECT doc_id AS document_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 4))::INT % {_BUCKETS} AS bucket,
+ CASE WHEN doc_id % 83 = 0 THEN 'deleted' WHEN doc_id % 89 = 0 THEN 'new_document' WHEN doc_id % 97 = 0 THEN 'revision_changed' ELSE 'reused' END AS reason
+ FROM documents WHERE NOT (doc_id % 83 = 0 AND doc_id % 89 = 0))
+SELECT *, bool_or(reason <> 'reused') OVER (PARTITION BY bucket) AS rewritten FROM p"""
+
+
+@query("V7_incremental_build", _MUTATED)
+def v7_incremental(spark, d):
+    """A build of all documents but every 89th, some of an older revision, and the build after it without
+    every 83rd: why each document was made again or not, and whether its bucket's rows were written."""
+    root, k = work_folder(spark, "build"), F.col("document_id")
+    now = revisions(spark, d)
+    old = now.where(k % 89 != 0).withColumn("revision", F.when(k % 97 == 0, "old").otherwise(F.col("revision")))
+    build(old, elements(spark, d), root, FINGERPRINT, hashed_bow, buckets=_BUCKETS)
+    after = build(now.where(k % 83 != 0), elements(spark, d), root, FINGERPRINT, hashed_bow, buckets=_BUCKETS)
+    made = spark.read.parquet(f"{root}/{after.version}/plan")
+    return made.select("document_id", "bucket", "reason", F.col("bucket").isin(sorted(after.written_buckets)).alias("rewritten"))
 
 
 _NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'

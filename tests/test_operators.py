@@ -341,13 +341,17 @@ def test_publish_reuse_and_guard(spark, tmp_path):
 
 
 def test_full_build(spark, tmp_path):
+    from lexiforge.operators import build
     from lexiforge.plans.elements import elements as of_lines
-    from lexiforge.plans.publication import build
 
     rows = of_lines(spark, SMALL).where("document_id < 40").cache()
-    got = {r["document_id"]: (r["chunk_count"], r["status"]) for r in build(spark, rows, f"file://{tmp_path}/b").collect()}
+    docs = rows.select("document_id").distinct().withColumn("revision", F.lit("r1"))
+    root = f"file://{tmp_path}/b"
+    build.build(docs, rows, root, {}, vectors.hashed_bow, buckets=8)
+    state = build.published(spark, root)
+    got = {r["document_id"]: r["n"] for r in build.read_chunks(spark, state).where("chunk_type = 'prose'").groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     want = {r["document_id"]: r["n"] for r in chunks.prose_chunks(rows).groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert got == {d: (want.get(d, 0), "ready" if d in want else "empty") for d in {r[0] for r in rows.select("document_id").distinct().collect()}}
+    assert got == want and len(build.read_documents(spark, state).collect()) == docs.count()
 
 
 def test_cache_follows_version_and_time(spark):
