@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from ..functions.cuts import greedy_cuts
+
 DIMENSIONS = 64
 #: Vectors to a block of the search; a task multiplies one block of queries by one of vectors.
 BLOCK_ROWS = 4096
@@ -61,6 +63,13 @@ def hashed_bow(text: Column) -> Column:
     return embed(text)
 
 
+def token_batches(texts: DataFrame, n: str, id_col: str, token_budget: int, batch_size: int) -> DataFrame:
+    """Adds batch: texts in the order of their tokens n, then id, at most batch_size and, beyond the
+    first of a batch, token_budget tokens together."""
+    cut = greedy_cuts(texts, [F.col(n), F.col(id_col)], F.col(n), F.lit(token_budget), batch_size)
+    return cut.withColumnRenamed("cut", "batch")
+
+
 def _blocks(df: DataFrame, side: str) -> DataFrame:
     """(id long, v array) rows to blocks of ids and one binary matrix."""
 

@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import as_int, query
-from ..functions.ordering import prefix_sums
 from ..functions.storage import work_folder
 from ..operators import snapshot as N
 from ..operators.elements import tokens
 from ..operators.retrieve import present, rerank, run_variants
-from ..operators.vectors import hashed_bow
+from ..operators.vectors import hashed_bow, token_batches
 from ..sources import artifacts as A
 from ..sources import uploads as U
 from .publication import published
@@ -233,11 +232,13 @@ def v2(spark, d):
     return spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.concat(F.lit("Instruct: find\nQuery: "), "text").alias("prompt"))
 
 
-@query("V3_token_budget_batches", "WITH t AS (SELECT item_id, greatest(1, length(text) // 4) AS n FROM benchmark) SELECT item_id, sum(n) OVER (ORDER BY n, item_id ROWS UNBOUNDED PRECEDING)::BIGINT // 512 AS batch FROM t")
+@query("V3_token_budget_batches", """WITH RECURSIVE t AS (SELECT doc_id, greatest(1, length(coalesce(text, '')) // 4) AS n, row_number() OVER (ORDER BY greatest(1, length(coalesce(text, '')) // 4), doc_id) AS rn FROM documents),
+w AS (SELECT doc_id, rn, n AS used, 1 AS rows, 0::BIGINT AS batch FROM t WHERE rn = 1 UNION ALL
+ SELECT t.doc_id, t.rn, CASE WHEN w.rows < 8 AND w.used + t.n <= 4096 THEN w.used + t.n ELSE t.n END, CASE WHEN w.rows < 8 AND w.used + t.n <= 4096 THEN w.rows + 1 ELSE 1 END, CASE WHEN w.rows < 8 AND w.used + t.n <= 4096 THEN w.batch ELSE w.batch + 1 END FROM w JOIN t ON t.rn = w.rn + 1)
+SELECT doc_id, batch FROM w""")
 def v3(spark, d):
-    """Length-sorted batches of about 512 tokens: rows of one length are numbered on their own."""
-    rows = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", tokens(F.col("text")).alias("n"))
-    return prefix_sums(rows, F.col("n"), ["item_id"], F.col("n"), "upto").select("item_id", F.floor(F.col("upto") / 512).alias("batch"))
+    """Length-sorted batches of at most 8 texts and, beyond the first, 4,096 tokens."""
+    return token_batches(_docs(spark, d).select("doc_id", tokens(F.col("text")).alias("n")), "n", "doc_id", 4096, 8).select("doc_id", "batch")
 
 
 @query("V23_embedding_guards", "SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'blank' WHEN length(text) // 4 > 2048 THEN 'cut' ELSE 'ok' END AS guard FROM documents")

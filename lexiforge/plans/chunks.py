@@ -142,15 +142,48 @@ def c10(spark, d):
     return C.table_summaries(tables)
 
 
-@query("C11_table_packs", f"""WITH RECURSIVE {_ROWS}, n AS (SELECT l_orderkey, line, greatest(1, length(line) // 4) + 1 AS cost, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, line) AS rn FROM r),
-w AS (SELECT l_orderkey, rn, cost AS used, 0 AS pack FROM n WHERE rn = 1 UNION ALL SELECT n.l_orderkey, n.rn, CASE WHEN w.used + n.cost <= 16 THEN w.used + n.cost ELSE n.cost END, CASE WHEN w.used + n.cost <= 16 THEN w.pack ELSE w.pack + 1 END FROM w JOIN n ON n.l_orderkey = w.l_orderkey AND n.rn = w.rn + 1)
+@query("C11_table_packs", f"""WITH RECURSIVE {_ROWS}, n AS (SELECT l_orderkey, line, length(line) + 1 AS cost, 2051 - 40 - 20 * (l_orderkey % 5) AS head, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, line) AS rn FROM r),
+w AS (SELECT l_orderkey, rn, head + cost AS used, 0 AS pack FROM n WHERE rn = 1 UNION ALL SELECT n.l_orderkey, n.rn, CASE WHEN (w.used + n.cost) // 4 <= 512 THEN w.used + n.cost ELSE n.head + n.cost END, CASE WHEN (w.used + n.cost) // 4 <= 512 THEN w.pack ELSE w.pack + 1 END FROM w JOIN n ON n.l_orderkey = w.l_orderkey AND n.rn = w.rn + 1)
 SELECT l_orderkey, pack::INT AS pack, count(*) AS n FROM w GROUP BY 1, 2""")
 def c11(spark, d):
-    """Packs of 28 tokens, 12 of them for the table's head."""
-    packs = C.table_packs(_rows(spark, d), ["l_orderkey"], "l_linenumber", "line", head=12, budget=28)
+    """One table an order; what stands before its lines takes all but 40 to 120 of the characters."""
+    head = F.lit(2051 - 40) - 20 * (F.col("l_orderkey") % 5)
+    packs = C.table_packs(_rows(spark, d), ["l_orderkey"], "l_linenumber", "line", head)
     return packs.groupBy("l_orderkey", "pack").agg(F.count(F.lit(1)).alias("n"))
 
 
+_PACKED = """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem),
+t AS (SELECT DISTINCT l_orderkey AS k, 'order ' || repeat('x', (l_orderkey % 3 * 100)::INT) AS cap, CASE WHEN l_orderkey % 4 = 0 THEN '' ELSE 'filename: ' || l_orderkey || '.csv' END AS prefix FROM lineitem),
+h AS (SELECT k, prefix, '[table] ' || CASE WHEN length(cap) > 200 THEN substr(cap, 1, 199) || '…' ELSE cap END || chr(10) || CASE WHEN k % 7 = 0 THEN '' ELSE 'headers: part | ship' END AS head FROM t),
+l AS (SELECT l_orderkey AS k, rn, CASE WHEN k % 7 <> 0 THEN 'part: ' || l_partkey || ' | ship: ' || l_linestatus || ' | ' || repeat('n', (l_partkey % 200)::INT) WHEN k % 2 = 0 THEN l_partkey || ' | ship | ' || l_linestatus END AS line FROM o),
+m AS (SELECT k, rn, coalesce(line, 'whole order ' || k) AS line FROM l WHERE line IS NOT NULL OR rn = 1),
+n AS (SELECT m.*, prefix, head, length(head) + CASE WHEN prefix = '' THEN 0 ELSE length(prefix) + 1 END AS room FROM m JOIN h USING (k)),
+w AS (SELECT k, rn, room + length(line) + 1 AS used, 0 AS pack FROM n WHERE rn = 1 UNION ALL
+ SELECT n.k, n.rn, CASE WHEN (w.used + length(rtrim(n.line)) + 1) // 4 <= 512 THEN w.used ELSE n.room END + length(n.line) + 1, CASE WHEN (w.used + length(rtrim(n.line)) + 1) // 4 <= 512 THEN w.pack ELSE w.pack + 1 END FROM w JOIN n ON n.k = w.k AND n.rn = w.rn + 1)
+SELECT k AS table_id, pack::INT AS pack, CASE WHEN any_value(prefix) = '' THEN '' ELSE any_value(prefix) || chr(10) END || trim(any_value(head) || chr(10) || string_agg(line, chr(10) ORDER BY rn), ' ' || chr(10)) AS retrieval_text, false AS over
+FROM w JOIN n USING (k, rn) GROUP BY 1, 2"""
+
+
+@query("C11_tables_packed", _PACKED)
+def c11_tables(spark, d):
+    """Whole tables, one an order: rows under headers; every seventh table has no headers, so its facts
+    or, for odd ones, its text take their place."""
+    k, part = F.col("l_orderkey"), F.col("l_partkey")
+    by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    items = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("rn", F.row_number().over(by))
+    filler = F.repeat(F.lit("n"), (part % 200).cast("int"))
+    rows = items.select(k.alias("table_id"), F.col("rn").alias("row_no"), F.array(part.cast("string"), F.col("l_linestatus"), filler).alias("cells"))
+    fact = F.concat(F.lit("[table-fact] t | "), part.cast("string"), F.lit(" | ship | "), F.col("l_linestatus"))
+    facts = F.transform(F.array_sort(F.collect_list(F.struct("rn", fact.alias("fact")))), lambda s: s["fact"])
+    bare, none = k % 7 == 0, F.array().cast("array<string>")
+    tables = items.groupBy("l_orderkey").agg(facts.alias("facts")).select(
+        k.alias("table_id"), F.concat(F.lit("order "), F.repeat(F.lit("x"), (k % 3 * 100).cast("int"))).alias("caption"),
+        F.when(bare, none).otherwise(F.array(F.lit("part"), F.lit("ship"))).alias("headers"), F.when(bare & (k % 2 == 0), F.col("facts")).otherwise(none).alias("facts"),
+        F.concat(F.lit("whole order "), k.cast("string")).alias("text"), C.file_prefix(F.concat(k.cast("string"), F.when(k % 4 == 0, ".pdf").otherwise(".csv"))).alias("prefix"),
+    )
+    return C.tables_packed(tables, rows)
+
+
 @query("C12_file_identity_prefix", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'filename: ' || doc_id || '.csv' END AS prefix FROM documents")
 def c12(spark, d):
     name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".PDF").otherwise(".csv"))
