@@ -1,33 +1,13 @@
-"""Places in a whole order: running sums over all rows from per-partition totals."""
+"""Places in a whole order, with the tables between in the shared folder that release() clears."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 
-from .common import fresh, stage
+from ..functions import ordering
+from .common import stage
 
 
 def running(rows: DataFrame, by: list[Column], value: str | None = None) -> DataFrame:
-    """rows (all narrow columns) with ``index``, the rows before each in the order ``by``, and with a
-    value column also ``before``, the values before it, and ``total``, the sum of all.
-
-    The rows are range-partitioned and written, one total of each partition meets the others in
-    one task, and a window adds the sums inside a partition.  Rows equal in ``by`` are told apart by
-    where they were read, so that a key that many rows share is split as well; which of them comes
-    first is not defined.
-    """
-    tie, part, start, start_value, n, s = fresh(rows, "_tie", "_part", "_start", "_start_value", "_n", "_s")
-    spread = rows.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*by, F.col(tie))
-    placed = stage(spread.withColumn(part, F.spark_partition_id()), "ordered")
-    amount = F.col(value).cast("long") if value else F.lit(0).cast("long")
-    totals = placed.groupBy(part).agg(F.count(F.lit(1)).alias(n), F.sum(amount).alias(s))
-    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    # One row a partition: its number is the session's shuffle partitions, whatever the input.
-    starts = totals.select(part, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(start), F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(start_value), F.sum(s).over(every).alias("total"))
-    inside = Window.partitionBy(part).orderBy(*by, F.col(tie)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = placed.withColumns({n: F.row_number().over(inside), s: F.sum(amount).over(inside) - amount}).join(F.broadcast(starts), part)
-    out = out.withColumn("index", F.col(start) + F.col(n) - 1)
-    out = out.withColumn("before", F.col(start_value) + F.col(s)) if value else out.drop("total")
-    return out.drop(tie, part, start, start_value, n, s)
+    """functions.ordering.running with the subpackage's own stage tables."""
+    return ordering.running(rows, by, value, stage)
