@@ -9,7 +9,7 @@ from ..catalog import as_int, query
 from ..functions.storage import work_folder
 from ..operators import snapshot as N
 from ..operators.elements import tokens
-from ..operators.retrieve import present, rerank, run_variants
+from ..operators.retrieve import present, rerank, reranked, run_variants, shared_words
 from ..operators.vectors import hashed_bow, token_batches
 from ..sources import artifacts as A
 from ..sources import uploads as U
@@ -153,6 +153,21 @@ def q9(spark, d):
     return rerank(p.where("item_id % 20 = 0").select(F.col("item_id").alias("q"), "text"), p.select(F.col("item_id").alias("c"), "text"))
 
 
+@query("Q9_pool_rerank", as_int("place", r"""WITH n AS (SELECT count(*) AS n FROM benchmark), p AS (SELECT q.item_id AS request_id, j AS pos, (q.item_id * 3 + j * 7) % n AS chunk_id, q.text FROM benchmark q, n, (SELECT unnest(range(1, 16)) AS j) WHERE q.item_id % 4 = 0),
+w AS (SELECT DISTINCT ON (request_id, chunk_id) p.request_id, p.chunk_id, p.pos, p.text, CASE WHEN chunk_id % 10 = 3 THEN ' ' ELSE c.text END AS content FROM p JOIN benchmark c ON c.item_id = p.chunk_id ORDER BY request_id, chunk_id, pos),
+s AS (SELECT *, CASE WHEN trim(content) <> '' THEN round(len(list_intersect(list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')), list_distinct(list_filter(string_split_regex(lower(content), '\s+'), lambda x: x <> ''))))::DOUBLE / len(list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> ''))), 6) END AS score FROM w)
+SELECT request_id, chunk_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC NULLS LAST, pos) AS place, true AS reranked FROM s"""))
+def q9_pool(spark, d):
+    """Every fourth passage asks; its pool is up to 15 others, some of them blank."""
+    items = spark.read.parquet(f"{d}/benchmark.parquet")
+    n = items.count()
+    chunks = items.select(F.col("item_id").alias("chunk_id"), F.when(F.col("item_id") % 10 == 3, " ").otherwise(F.col("text")).alias("content"))
+    requests = items.where("item_id % 4 = 0").select(F.col("item_id").alias("request_id"), "text")
+    pool = requests.select("request_id", F.explode(F.sequence(F.lit(1), F.lit(15))).alias("pos")).withColumn("chunk_id", (F.col("request_id") * 3 + F.col("pos") * 7) % n)
+    pool = pool.groupBy("request_id", "chunk_id").agg(F.min("pos").alias("pos"))
+    return reranked(pool, requests, chunks, shared_words).select("request_id", "chunk_id", F.col("order").alias("place"), "reranked")
+
+
 @query("S13_full_dump", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
 def s13(spark, d):
     return _docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

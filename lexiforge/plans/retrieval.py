@@ -259,16 +259,93 @@ def j4(spark, d):
     return best.join(metadata(spark, d), "chunk_id").select("request_id", "chunk_id", "document_id", "chunk_type", "page")
 
 
-def _flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Scoped top-k, fusion, minimum score, five best per request."""
-    kept = R.min_score(R.fuse(channels(spark, d)).withColumnRenamed("best_score", "score"))
-    rows = kept.withColumn("position", F.row_number().over(R.by_request().orderBy("fused_rank"))).where(F.col("position") <= R.FINAL_K)
-    return rows.select("request_id", "position", "chunk_id", F.round("fused", 6).alias("fused"), "score")
+#: The whole chain's settings: other ratios than the defaults, so that every branch has rows.
+CHAIN = R.Settings(floor_ratio=0.55, minimum=0.45, budget=300, table_budget=500)
+
+
+def chain_requests(spark: SparkSession, d: str) -> DataFrame:
+    """(request_id, scope, allow_tables): every 20th vector asks; odd ones are scoped to labels 0-4, some to
+    nothing, and every third allows tables."""
+    k = F.col("vec_id")
+    scope = F.when(k % 100 == 60, F.array().cast("array<string>")).when(k % 40 == 20, F.array(*(F.lit(str(s)) for s in SCOPE)))
+    e = spark.read.parquet(f"{d}/embeddings.parquet").where(k % 20 == 0)
+    return e.select(k.alias("request_id"), scope.alias("scope"), (k % 3 == 0).alias("allow_tables"))
+
+
+def chain_channels(spark: SparkSession, d: str) -> DataFrame:
+    """Two texts a request: the mean of 2, 4 or 8 vectors from the request's on, and that of the next ones,
+    so that some requests reach the minimum score and others don't."""
+    v = vectors(spark, d)
+    asked = v.where("id % 20 = 0").select(F.col("id").alias("request_id"), F.element_at(F.array(F.lit(2), F.lit(4), F.lit(8)), (F.floor(F.col("id") / 20) % 3 + 1).cast("int")).alias("n"))
+    member = F.sequence(F.col("request_id"), F.col("request_id") + 2 * F.col("n") - 1)
+    members = asked.select("request_id", "n", F.posexplode(member).alias("p", "id")).join(v.select("id", "v"), "id")
+    sums = members.groupBy("request_id", (F.col("p") >= F.col("n")).cast("int").alias("channel")).agg(F.array(*(F.sum(F.get("v", F.lit(i))) for i in range(64))).alias("s"))
+    texts = sums.select((F.col("request_id") * 2 + F.col("channel")).alias("id"), "request_id", normalized(F.col("s")).alias("v"))
+    narrow = F.col("request_id") % 40 == 20
+    inside = v.where(F.col("label").isin(*SCOPE))
+    wide = R.SCOPED_TIMES * R.CANDIDATE_K
+    found = top_k(v, texts.where(~narrow), R.CANDIDATE_K).unionByName(top_k(inside, texts.where(narrow), wide))
+    return found.select(F.floor(F.col("query_id") / 2).alias("request_id"), (F.col("query_id") % 2).cast("int").alias("channel"), "rank", F.col("id").alias("chunk_id"), "score")
+
 
+def chain_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks with texts and neighbours: prose stands at ids 4, 5 and 6 modulo 7."""
+    k = F.col("chunk_id")
+    prose = lambda *ids: F.filter(F.array(*ids), lambda i: i >= 0)
+    week = k - k % 7
+    return metadata(spark, d).withColumns({
+        "content": F.concat(F.lit("text of "), k.cast("string"), F.repeat(F.lit(" and more"), (k % 40).cast("int"))),
+        "pack": F.when(F.col("chunk_type") == "table_pack", 1).when(F.col("chunk_type") == "table_summary", 0),
+        "prev_ids": prose(week - 1, week - 2), "next_ids": F.array(week + 4, week + 5, week + 6),
+    })
 
-@query("Q22_single_query_retrieve", as_int("position", _with("""t AS (SELECT request_id, max(best_score) AS top FROM fused GROUP BY 1),
-k AS (SELECT f.*, row_number() OVER (PARTITION BY f.request_id ORDER BY fused_rank) AS position FROM fused f JOIN t USING (request_id) WHERE best_score >= CASE WHEN top >= 0.45 THEN 0.45::DOUBLE ELSE round_even(0.82::DOUBLE * top, 4) END)
-SELECT request_id, position, chunk_id, round(fused, 6) AS fused, best_score AS score FROM k WHERE position <= 5""")))
+
+def _flagship(spark: SparkSession, d: str) -> DataFrame:
+    """The whole retrieval chain for all requests."""
+    out = R.retrieve(chain_requests(spark, d), chain_channels(spark, d), chain_chunks(spark, d), CHAIN)
+    return out.select("request_id", "position", "chunk_id", F.round("fused", 6).alias("fused"), "score", "reopened", "insured", "low_confidence", F.array_join(F.transform(F.concat("prev_ids", "next_ids"), lambda i: i.cast("string")), ",").alias("neighbors"), F.col("window").isNotNull().alias("windowed"))
+
+
+_CHAIN = f"""WITH v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+a AS (SELECT id AS request_id, [2, 4, 8][(id // 20 % 3 + 1)::INT] AS n FROM v WHERE id % 20 = 0),
+m AS (SELECT request_id, CASE WHEN u.id >= request_id + n THEN 1 ELSE 0 END AS channel, unnest(u.e) AS x, generate_subscripts(u.e, 1) AS i FROM a JOIN u ON u.id BETWEEN request_id AND request_id + 2 * n - 1),
+q AS (SELECT request_id, channel, list(s ORDER BY i) AS e FROM (SELECT request_id, channel, i, sum(x) AS s FROM m GROUP BY ALL) GROUP BY 1, 2),
+sim AS (SELECT request_id, channel, u.id AS chunk_id, round(list_dot_product(q.e, u.e) / sqrt(list_dot_product(q.e, q.e)), 6) AS score FROM q, u WHERE request_id % 40 <> 20 OR label BETWEEN 0 AND 4),
+ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, channel ORDER BY score DESC, chunk_id) AS rank FROM sim)
+       WHERE rank <= CASE WHEN request_id % 40 = 20 OR request_id % 100 = 60 THEN 60 ELSE 15 END AND rank <= CASE WHEN request_id % 40 = 20 THEN 60 ELSE 15 END AND request_id % 100 <> 60),
+{ORACLE_META.strip()} {ORACLE_FUSED.strip()}
+z_a AS (SELECT request_id, chunk_id FROM ch WHERE channel = 0 AND rank = 1),
+z_b AS (SELECT request_id, arg_min(chunk_id, rank) AS chunk_id FROM ch c WHERE channel = 1 AND NOT EXISTS (SELECT 1 FROM z_a WHERE z_a.request_id = c.request_id AND z_a.chunk_id = c.chunk_id) GROUP BY 1),
+z_r AS (SELECT request_id, chunk_id, 1 AS pos FROM z_a UNION ALL SELECT request_id, chunk_id, 2 FROM z_b),
+pool AS (SELECT * FROM (SELECT f.request_id, f.chunk_id, f.fused, f.best_score AS score, row_number() OVER (PARTITION BY f.request_id ORDER BY coalesce(z_r.pos, 2 + fused_rank)) AS pos, m.*  EXCLUDE (chunk_id)
+         FROM fused f LEFT JOIN z_r ON z_r.request_id = f.request_id AND z_r.chunk_id = f.chunk_id JOIN meta m ON m.chunk_id = f.chunk_id) WHERE pos <= 15),
+fl AS (SELECT *, CASE WHEN score = 0 THEN -1 ELSE score END AS dense, max(CASE WHEN score = 0 THEN -1 ELSE score END) OVER (PARTITION BY request_id) AS top FROM pool),
+va AS (SELECT *, false AS wide FROM fl WHERE request_id % 3 = 0 OR chunk_type NOT LIKE 'table%' UNION ALL SELECT *, true FROM fl),
+s AS (SELECT *, CASE WHEN chunk_type LIKE 'table%' THEN 'table:' || table_id WHEN chunk_type = 'figure' THEN 'figure:' || figure_id WHEN chunk_type = 'formula' THEN 'formula:' || document_id || ':' || page ELSE 'chunk:' || chunk_id END AS slot
+      FROM va WHERE top <= 0 OR dense >= {CHAIN.floor_ratio}::DOUBLE * top),
+fp AS (SELECT request_id, wide, slot, min(pos) AS p FROM s GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY request_id, wide ORDER BY p) AS slot_no FROM fp),
+stop AS (SELECT request_id, wide, max(p) FILTER (WHERE slot_no = 5) AS at FROM o GROUP BY ALL),
+hd AS (SELECT s.*, o.slot_no FROM o JOIN s ON s.request_id = o.request_id AND s.wide = o.wide AND s.slot = o.slot AND s.pos = o.p WHERE slot_no <= 5),
+pk AS (SELECT h.request_id, h.wide, h.slot, min(s.pos) AS pos FROM hd h JOIN s ON s.request_id = h.request_id AND s.wide = h.wide AND s.slot = h.slot JOIN stop t ON t.request_id = h.request_id AND t.wide = h.wide
+       WHERE h.chunk_type = 'table_summary' AND s.chunk_type = 'table_pack' AND (t.at IS NULL OR s.pos < t.at) GROUP BY ALL),
+dv AS (SELECT h.request_id, h.wide, h.slot_no, coalesce(k.pos, h.pos) AS pos FROM hd h LEFT JOIN pk k ON k.request_id = h.request_id AND k.wide = h.wide AND k.slot = h.slot),
+op AS (SELECT request_id, count(*) FILTER (WHERE NOT wide) = 0 AS reopened FROM dv GROUP BY 1),
+se AS (SELECT dv.request_id, reopened, slot_no, pos FROM dv JOIN op USING (request_id) WHERE wide = reopened),
+bt AS (SELECT fl.request_id, arg_min(pos, (-dense, pos)) AS pos FROM fl JOIN op USING (request_id) WHERE request_id % 3 = 0 OR reopened OR chunk_type NOT LIKE 'table%' GROUP BY 1),
+ins AS (SELECT request_id, pos, 0 AS slot_no FROM bt WHERE NOT EXISTS (SELECT 1 FROM se WHERE se.request_id = bt.request_id AND se.pos = bt.pos)),
+pi AS (SELECT * FROM (SELECT request_id, pos, row_number() OVER (PARTITION BY request_id ORDER BY slot_no) AS place, slot_no = 0 AS insured FROM (SELECT request_id, pos, slot_no FROM se UNION ALL SELECT * FROM ins)) WHERE place <= 5),
+pp AS (SELECT pi.*, fl.* EXCLUDE (request_id, pos), max(score) OVER (PARTITION BY pi.request_id) AS high FROM pi JOIN fl USING (request_id, pos)),
+mn AS (SELECT *, high < {CHAIN.minimum} AND round_even({CHAIN.floor_ratio}::DOUBLE * high, 4) <> 0 AS low FROM pp WHERE score >= CASE WHEN high >= {CHAIN.minimum} THEN {CHAIN.minimum}::DOUBLE ELSE round_even({CHAIN.floor_ratio}::DOUBLE * high, 4) END),
+r AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY place) AS position, chunk_id, fused, score, reopened, insured AND row_number() OVER (PARTITION BY request_id ORDER BY place) = 1 AS insured, low, chunk_type, table_id, figure_id FROM mn JOIN op USING (request_id)),
+near AS (SELECT *, chunk_type IN ('table_summary', 'table_pack', 'figure') AS st, row_number() OVER (PARTITION BY request_id, table_id ORDER BY position) AS turn FROM r),
+wk AS (SELECT *, (SELECT max(vec_id) FROM embeddings) AS hi, chunk_id - chunk_id % 7 AS w, CASE WHEN st AND (table_id IS NULL OR turn = 1) THEN 1 ELSE 0 END AS has FROM near),
+ids AS (SELECT *, CASE WHEN has = 0 THEN []::BIGINT[] ELSE list_filter([w - 1, w - 2], lambda i: i >= 0) END AS prev, CASE WHEN has = 0 THEN []::BIGINT[] ELSE list_filter([w + 4, w + 5], lambda i: i <= hi) END AS nxt FROM wk)
+SELECT request_id, position, chunk_id, round(fused, 6) AS fused, score, reopened, insured, low AS low_confidence, array_to_string(list_concat(prev, nxt), ',') AS neighbors"""
+
+
+@query("Q22_single_query_retrieve", as_int("position", _CHAIN + ", st AS windowed FROM ids"))
 def q22(spark, d):
     return _flagship(spark, d)
 
