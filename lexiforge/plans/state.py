@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import as_int, query
 from ..operators import state as S
+from ..operators.cascade import ForeignKey
+from ..operators.cascade import delete as cascade_delete
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +51,7 @@ def j3(spark, d):
 
 @query("U2_scope_difference", "SELECT DISTINCT doc_id FROM documents EXCEPT SELECT doc_id FROM labels WHERE toxic = 1")
 def u2(spark, d):
-    return docs(spark, d).select("doc_id").exceptAll(disabled(spark, d)).distinct()
+    return docs(spark, d).select("doc_id").subtract(disabled(spark, d))
 
 
 @query("U1_scope_union", "SELECT doc_id FROM documents WHERE source = 'src0' UNION SELECT doc_id FROM documents WHERE lang = 'de' UNION SELECT doc_id FROM labels WHERE quality = 0")
@@ -290,6 +294,27 @@ def d4(spark, d):
     return left.crossJoin(counts)
 
 
+_GRAPH = """WITH n AS (SELECT * FROM nation WHERE n_nationkey IN (7, 8)), c AS (SELECT * FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM n)),
+o AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)), l AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)), s AS (SELECT * FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM n))
+SELECT "table", action, n, keys_left::BIGINT AS keys_left FROM (SELECT 'nation' AS "table", 'deleted' AS action, (SELECT count(*) FROM n) AS n, (SELECT sum(n_nationkey) FROM nation WHERE n_nationkey NOT IN (7, 8))::BIGINT AS keys_left
+UNION ALL SELECT 'customer', 'deleted', (SELECT count(*) FROM c), (SELECT sum(c_custkey) FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM c))
+UNION ALL SELECT 'orders', 'deleted', (SELECT count(*) FROM o), (SELECT sum(o_orderkey) FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM o))
+UNION ALL SELECT 'lineitem', 'deleted', (SELECT count(*) FROM l), (SELECT sum(l_orderkey) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o))
+UNION ALL SELECT 'supplier', 'set_null', (SELECT count(*) FROM s), (SELECT sum(s_nationkey) FROM supplier WHERE s_nationkey NOT IN (7, 8)))"""
+
+
+@query("D4_cascade_graph", _GRAPH)
+def d4_graph(spark, d):
+    """Two nations go: their customers, orders and order lines with them, their suppliers lose the nation; what
+    was touched, and the sum of the keys that are left."""
+    names = {"nation": "n_nationkey", "customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "supplier": "s_suppkey"}
+    tables = {t: spark.read.parquet(f"{d}/{t}.parquet") for t in names}
+    edges = [ForeignKey("customer", "c_nationkey", "nation"), ForeignKey("orders", "o_custkey", "customer"), ForeignKey("lineitem", "l_orderkey", "orders"), ForeignKey("supplier", "s_nationkey", "nation", "set_null")]
+    done = cascade_delete(tables, names, "nation", tables["nation"].where("n_nationkey in (7, 8)").select("n_nationkey"), edges)
+    sums = [done.tables[t].agg(F.lit(t).alias("table"), F.sum("s_nationkey" if t == "supplier" else key).cast("long").alias("keys_left")) for t, key in names.items()]
+    return done.impact.join(reduce(DataFrame.unionByName, sums), "table").select("table", "action", F.col("rows").alias("n"), "keys_left")
+
+
 @query("D5_rename_conflict", "SELECT n_nationkey, CASE WHEN upper(r_name) IN (SELECT n_name FROM nation) THEN 'conflict' ELSE r_name END AS outcome FROM nation JOIN region ON n_regionkey = r_regionkey")
 def d5(spark, d):
     n, r = spark.read.parquet(f"{d}/nation.parquet"), spark.read.parquet(f"{d}/region.parquet")
