@@ -60,10 +60,19 @@ def x4(spark, d):
     return rows.select("conv_id", "turn", T.partial_answer(F.col("raw")).alias("answer"))
 
 
-@query("X5_tool_call_assembly", "SELECT l_orderkey AS turn_id, l_returnflag AS part_of, string_agg(l_partkey::VARCHAR, '' ORDER BY l_linenumber, l_partkey) AS arguments FROM lineitem GROUP BY 1, 2")
+@query("X5_tool_call_assembly", """WITH p AS (SELECT *, CASE WHEN l_orderkey % 5 = 0 THEN '{' ELSE '' END || l_partkey AS part, CASE WHEN l_linenumber % 2 = 1 THEN 'n' || l_linenumber END AS name, CASE WHEN l_linenumber < 3 THEN 'c' || l_partkey END AS id FROM lineitem)
+SELECT l_orderkey AS turn_id, l_returnflag AS part_of, coalesce(arg_max(id, (l_linenumber, l_partkey)) FILTER (WHERE id IS NOT NULL), '') AS id, coalesce(arg_max(name, (l_linenumber, l_partkey)) FILTER (WHERE name IS NOT NULL), '') AS name,
+CASE WHEN l_orderkey % 5 = 0 OR regexp_matches(string_agg(part, '' ORDER BY l_linenumber, l_partkey), '^0.') THEN '{}' ELSE string_agg(part, '' ORDER BY l_linenumber, l_partkey) END AS arguments FROM p GROUP BY 1, 2""")
 def x5(spark, d):
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("turn_id"), F.col("l_returnflag").alias("index"), (F.col("l_linenumber").cast("long") * 100000000 + F.col("l_partkey")).alias("seq"), F.lit(None).cast("string").alias("name"), F.col("l_partkey").cast("string").alias("part"))
-    return T.assembled_calls(rows).select("turn_id", F.col("index").alias("part_of"), "arguments")
+    """Order lines are parts of calls; ids and names come with some of them, every fifth order's arguments
+    are broken, and numbers that begin with 0 are no JSON."""
+    line, number = F.col("l_linenumber"), F.col("l_partkey").cast("string")
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(
+        F.col("l_orderkey").alias("turn_id"), F.col("l_returnflag").alias("index"), (line.cast("long") * 100000000 + F.col("l_partkey")).alias("seq"),
+        F.when(line < 3, F.concat(F.lit("c"), number)).alias("id"), F.when(line % 2 == 1, F.concat(F.lit("n"), line.cast("string"))).alias("name"),
+        F.concat(F.when(F.col("l_orderkey") % 5 == 0, "{").otherwise(""), number).alias("part"),
+    )
+    return T.assembled_calls(rows).withColumnRenamed("index", "part_of")
 
 
 @query("X6_tool_loop", """WITH RECURSIVE k AS (SELECT user_id AS turn_id, user_id % 2 = 0 AS deep, user_id % 3 <> 0 AS material, event_type IN ('purchase', 'error') AS answered, event_type IN ('view', 'click') AS searched, event_type = 'view' AS evidence, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),

@@ -22,11 +22,14 @@ TURN = "turn_id long, answer string, calls int, results int, resets int, blocks
 
 
 def frames(raw: Column) -> Column:
-    """array<struct<event, data>> of a raw stream: frames end at blank lines; comments and frames
-    without event or data are skipped."""
-    parts = F.filter(F.split(F.regexp_replace(raw, "\r\n", "\n"), "\n\n"), lambda p: F.trim(p) != "")
-    made = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"(?m)^event: ?(.*)$", 1).alias("event"), F.array_join(F.regexp_extract_all(p, F.lit(r"(?m)^data: ?(.*)$"), F.lit(1)), "\n").alias("data")))
-    return F.filter(made, lambda f: (f["event"] != "") & (f["data"] != ""))
+    """array<struct<event, data>> of a raw stream that is stored whole: frames end at blank lines or at the
+    end; comments, frames without data and data that is no JSON are skipped; the event without a name is
+    message.  For streams in pieces see connections.py."""
+    parts = F.filter(F.split(F.regexp_replace(raw, "\r\n", "\n"), "\n\n"), lambda p: (F.trim(p) != "") & ~p.startswith(":"))
+    name = lambda p: F.trim(F.regexp_extract(p, r"(?m)^event:(.*)$", 1))
+    data = lambda p: F.array_join(F.transform(F.regexp_extract_all(p, F.lit(r"(?m)^data:(.*)$"), F.lit(1)), lambda t: F.trim(t)), "\n")
+    made = F.transform(parts, lambda p: F.struct(F.when(p.rlike("(?m)^event:"), name(p)).otherwise("message").alias("event"), data(p).alias("data")))
+    return F.filter(made, lambda f: F.try_parse_json(f["data"]).isNotNull())
 
 
 def turns(events: DataFrame) -> DataFrame:
@@ -113,11 +116,14 @@ def partial_answer(raw: Column) -> Column:
 
 
 def assembled_calls(deltas: DataFrame) -> DataFrame:
-    """deltas (turn_id, index, seq, name, part) to whole calls: the first name, the joined arguments."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "part")))
-    names = F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("seq", "name"))))
-    rows = deltas.groupBy("turn_id", "index").agg(ordered.alias("p"), names.alias("n"))
-    return rows.select("turn_id", "index", F.try_element_at("n", F.lit(1))["name"].alias("name"), F.array_join(F.transform("p", lambda s: s["part"]), "").alias("arguments"))
+    """deltas (turn_id, index, seq, id, name, part) to whole calls (turn_id, index, id, name, arguments): the last
+    id and name that were sent, empty if none was, and the joined arguments; an empty object where
+    those are none or broken."""
+    parts = F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("seq", "part"))))
+    last = lambda c: F.coalesce(F.max_by(c, F.when(F.col(c) != "", F.col("seq"))), F.lit(""))
+    rows = deltas.groupBy("turn_id", "index").agg(last("id").alias("id"), last("name").alias("name"), F.array_join(F.transform(parts, lambda s: s["part"]), "").alias("raw"))
+    whole = F.when(F.try_parse_json("raw").isNotNull(), F.col("raw")).otherwise("{}")
+    return rows.select("turn_id", "index", "id", "name", whole.alias("arguments"))
 
 
 def gate(mode: Column, searched: Column, evidence: Column, material: Column, blocks: Column) -> Column:
