@@ -9,8 +9,9 @@ Two kinds of paragraph are banded, joined, verified and clustered:
    clustered by connected components.  Of each cluster the first line stays; the others are removals.
 2. A window of 50 words anywhere in the text, across line ends (passages.py).  All windows are
    banded by one MinHash place over their 25-word runs, which equal windows share for certain;
-   colliding ones are verified word by word, and each class of equal windows is a cluster.  So a
-   passage that stands inside other text, or is wrapped otherwise, is found whole.
+   colliding ones are told apart by 128 bits of hashes, and each class of equal windows is a cluster.
+   So a passage that stands inside other text, or is wrapped otherwise, is found whole; one with
+   edits only as far as 50 words between them are equal.
 
 MIN_WORDS is what counts as a paragraph: shorter lines (headings, notices) are the matter of line
 deduplication.  Within a text of any length nothing else is left out.

@@ -7,9 +7,12 @@ run of at most STEP windows, named by a hash of its windows.
 
 1. Runs whose anchor comes once cannot repeat and go.  Equal runs are one class, held by its first.
 2. Where all runs of an anchor are one class, each window's first place is the class's.  Of anchors
-   with several classes the windows of one run a class are compared by their own 64-bit hashes.
+   with several classes the windows of one run a class are compared by their own hashes.
 3. Windows that have an earlier place are removed; neighbours with a common source make one span.
 
+Runs and windows count as equal where both their 64-bit hash and their 64-bit anchor, another function of
+their words, are the same: 128 bits.  The words themselves are not compared.
+
 Places are ordered by document (those without id last), text hash and word.  Windows that overlap
 their own first place in one text (of periodic text) stay.  A row repeated as a whole is one place.
 """
@@ -91,11 +94,11 @@ def _place(word: str = "word"):
 
 
 def _window_firsts(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of classes whose anchor has several: (c_key, off, len, f_doc, f_body, f_word), stretches of their windows
+    """Of classes whose anchor has several: (c_key, c_anchor, off, len, f_doc, f_body, f_word), stretches of their windows
     with the places in which these come first."""
     mixed = classes.groupBy("anchor").count().where("count > 1").select("anchor")
-    wanted = stage(classes.join(mixed, "anchor", "left_semi").select("first", "m", "key"), "passage-mixed", 4)
-    asked = wanted.groupBy(F.col("first.doc_id").alias("a_doc"), F.col("first.body").alias("a_body")).agg(F.collect_list(F.struct("first.word", "m", "key")).alias("asked"))
+    wanted = stage(classes.join(mixed, "anchor", "left_semi").select("first", "m", "key", "anchor"), "passage-mixed", 4)
+    asked = wanted.groupBy(F.col("first.doc_id").alias("a_doc"), F.col("first.body").alias("a_body")).agg(F.collect_list(F.struct("first.word", "m", "key", "anchor")).alias("asked"))
     asked = stage(asked, "passage-asked", 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,30 +108,31 @@ def _window_firsts(texts: DataFrame, classes: DataFrame) -> DataFrame:
             lists = part.column("asked")
             flat = lists.flatten()
             owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-            first, m, key = (pc.struct_field(flat, k).to_numpy(zero_copy_only=False) for k in range(3))
+            first, m, key, anchor = (pc.struct_field(flat, k).to_numpy(zero_copy_only=False) for k in range(4))
             first, m = first.astype(np.int64), m.astype(np.int64)
             off = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
             at = np.repeat(begin[owner] + first, m) + off
             row = pa.array(np.repeat(owner, m))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(row), part.column("body").take(row), pa.array(np.repeat(first, m) + off, pa.int32()), pa.array(value[at].view(np.int64)), pa.array(np.repeat(key, m)), pa.array(off, pa.int32())],
-                ["doc_id", "body", "word", "hash", "key", "off"],
+                [part.column("doc_id").take(row), part.column("body").take(row), pa.array(np.repeat(first, m) + off, pa.int32()), pa.array(value[at].view(np.int64)), pa.array(np.repeat(key, m)), pa.array(np.repeat(anchor, m)), pa.array(off, pa.int32())],
+                ["doc_id", "body", "word", "hash", "key", "anchor", "off"],
             )
 
     held = texts.join(broadcast_if_small(asked, asked.count(), MAX_BROADCAST), F.col("doc_id").eqNullSafe(F.col("a_doc")) & (F.col("body") == F.col("a_body")))
-    found = held.select("doc_id", "body", "text", "asked").mapInArrow(lean(run), "doc_id long, body long, word int, hash long, key long, off int")
+    found = held.select("doc_id", "body", "text", "asked").mapInArrow(lean(run), "doc_id long, body long, word int, hash long, key long, anchor long, off int")
     # A row repeated as a whole names the same windows again.
     found = stage(found, "passage-windows", 4)
-    first = found.groupBy("hash").agg(F.min(_place()).alias("w_first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("hash").alias("w_hash"), "w_first")
-    late = found.join(first, F.col("hash") == F.col("w_hash"), "left").select("key", "off", F.coalesce("w_first", _place()).alias("f"))
+    first = found.groupBy("hash", "anchor").agg(F.min(_place()).alias("w_first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("hash").alias("w_hash"), F.col("anchor").alias("w_anchor"), "w_first")
+    met = (F.col("hash") == F.col("w_hash")) & (F.col("anchor") == F.col("w_anchor"))
+    late = found.join(first, met, "left").select("key", "anchor", "off", F.coalesce("w_first", _place()).alias("f"))
     # Neighbouring windows with neighbouring places make one stretch; a run has at most STEP of them.
-    late = late.select("key", "off", F.col("f.doc_id").alias("f_doc"), F.col("f.body").alias("f_body"), (F.col("f.word") - F.col("off")).alias("delta"))
-    sets = late.groupBy("key", "f_doc", "f_body", "delta").agg(F.array_sort(F.collect_set("off")).alias("offs"))
+    late = late.select("key", "anchor", "off", F.col("f.doc_id").alias("f_doc"), F.col("f.body").alias("f_body"), (F.col("f.word") - F.col("off")).alias("delta"))
+    sets = late.groupBy("key", "anchor", "f_doc", "f_body", "delta").agg(F.array_sort(F.collect_set("off")).alias("offs"))
     islands = F.array_distinct(F.transform("offs", lambda x, k: x - k))
     sets = sets.withColumn("island", F.explode(islands))
     inside = F.filter("offs", lambda x, k: x - k == F.col("island"))
-    sets = sets.select("key", "f_doc", "f_body", "delta", F.array_min(inside).alias("off"), F.size(inside).alias("len"))
-    out = stage(sets.select(F.col("key").alias("c_key"), "off", "len", "f_doc", "f_body", (F.col("delta") + F.col("off")).alias("f_word")), "passage-parts", 4)
+    sets = sets.select("key", "anchor", "f_doc", "f_body", "delta", F.array_min(inside).alias("off"), F.size(inside).alias("len"))
+    out = stage(sets.select(F.col("key").alias("c_key"), F.col("anchor").alias("c_anchor"), "off", "len", "f_doc", "f_body", (F.col("delta") + F.col("off")).alias("f_word")), "passage-parts", 4)
     discard(wanted, asked, found)
     return out
 
@@ -143,9 +147,9 @@ def spans(texts: DataFrame) -> DataFrame:
     classes = stage(maybe.groupBy("anchor", "key").agg(F.min(_place()).alias("first"), F.first("m").alias("m"), F.count(F.lit(1)).alias("size")), "passage-classes", 4)
     parts = _window_firsts(texts, classes)
     whole = classes.join(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds = 1").select("anchor"), "anchor", "left_semi").where("size > 1")
-    whole = whole.select(F.col("key").alias("c_key"), F.lit(0).alias("off"), F.col("m").alias("len"), F.col("first.doc_id").alias("f_doc"), F.col("first.body").alias("f_body"), F.col("first.word").alias("f_word"))
+    whole = whole.select(F.col("key").alias("c_key"), F.col("anchor").alias("c_anchor"), F.lit(0).alias("off"), F.col("m").alias("len"), F.col("first.doc_id").alias("f_doc"), F.col("first.body").alias("f_body"), F.col("first.word").alias("f_word"))
     stretches = stage(whole.unionByName(parts), "passage-stretches", 4)
-    late = maybe.join(stretches, F.col("key") == F.col("c_key")).select("doc_id", "body", (F.col("word") + F.col("off")).alias("word"), "len", "f_doc", "f_body", "f_word")
+    late = maybe.join(stretches, (F.col("key") == F.col("c_key")) & (F.col("anchor") == F.col("c_anchor"))).select("doc_id", "body", (F.col("word") + F.col("off")).alias("word"), "len", "f_doc", "f_body", "f_word")
     apart = ~(F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("body") == F.col("f_body"))) | (F.col("word") - F.col("f_word") >= WORDS)
     late = late.where(apart).withColumn("shift", F.col("word") - F.col("f_word"))
     # Stretches of one text with one source: where one begins at or before the end of those before, it goes on.
