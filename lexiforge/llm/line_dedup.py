@@ -77,13 +77,13 @@ def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = rf"""
-WITH l AS (SELECT rowid AS r, doc_id, coalesce(source, '') AS site, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+WITH l AS (SELECT rowid AS r, doc_id, text IS NULL AS none, coalesce(source, '') AS site, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
            FROM (SELECT row_number() OVER () AS rowid, * FROM documents)),
 k AS (SELECT *, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
 b AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT site) >= {MIN_SITES}),
 m AS (SELECT k.*, b.key IS NULL AS stays FROM k LEFT JOIN b USING (key)),
-c AS (SELECT r, doc_id, count(*) AS n, count(*) FILTER (WHERE NOT stays) AS gone,
+c AS (SELECT r, doc_id, count(*) FILTER (WHERE NOT none) AS n, count(*) FILTER (WHERE NOT stays) AS gone,
              coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays), '') AS clean FROM m GROUP BY r, doc_id)
 SELECT doc_id, n AS n_lines, gone AS n_removed, length(clean) AS clean_chars, sha256(clean) AS clean_sha256 FROM c
 """
