@@ -70,27 +70,62 @@ def token_batches(texts: DataFrame, n: str, id_col: str, token_budget: int, batc
     return cut.withColumnRenamed("cut", "batch")
 
 
-def _blocks(df: DataFrame, side: str) -> DataFrame:
-    """(id long, v array) rows to blocks of ids and one binary matrix."""
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """A list column of vectors of one length, without nulls, as the rows of a matrix."""
+    flat = pc.cast(column.flatten(), pa.float64()).to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+def in_blocks(df: DataFrame, side: str, key: str | None = None) -> DataFrame:
+    """(id long, v array) rows to blocks of ids and one binary matrix, with a key apart for each of its
+    values in the order in which they come."""
+    keys = [key] if key else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows = [], []
+        for batch in batches:
+            value = batch.column(key).to_numpy(zero_copy_only=False) if key else np.zeros(batch.num_rows)
+            cuts = np.flatnonzero(np.diff(value)) + 1
+            bounds = np.unique(np.concatenate([[0], cuts, np.arange(0, batch.num_rows, BLOCK_ROWS), [batch.num_rows]])).tolist()
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                part = batch.slice(a, b - a)
+                columns = [*(part.column(k).slice(0, 1) for k in keys), pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([matrix_of(part.column("v")).tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [*keys, f"{side}_ids", f"{side}_m"])
 
-        def put() -> pa.RecordBatch:
-            m = np.array(rows, np.float64)
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([m.tobytes()], pa.binary())], [f"{side}_ids", f"{side}_m"])
+    schema = "".join(f"{k} int, " for k in keys) + f"{side}_ids array<long>, {side}_m binary"
+    return df.where("v is not null").select(*keys, "id", "v").mapInArrow(run, schema)
 
+
+def best_of_blocks(met: DataFrame, k: int, digits: int) -> DataFrame:
+    """Blocks of queries beside blocks of vectors (q_ids, q_m, v_ids, v_m) to each pair of blocks' own k best
+    of a query: (query_id, id, score)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True):
-                ids.append(k)
-                rows.append(v)
-                if len(ids) >= BLOCK_ROWS:
-                    yield put()
-                    ids, rows = [], []
-        if ids:
-            yield put()
+            for row in batch.to_pylist():
+                q_ids, v_ids = np.asarray(row["q_ids"]), np.asarray(row["v_ids"])
+                q = np.frombuffer(row["q_m"]).reshape(len(q_ids), -1)
+                v = np.frombuffer(row["v_m"]).reshape(len(v_ids), -1)
+                asked, found, scores = [], [], []
+                n = min(k, len(v_ids))
+                for s in range(0, len(q_ids), 512):
+                    score = np.round(q[s : s + 512] @ v.T, digits) + 0.0
+                    # All that tie with the k-th, so that ids decide.
+                    cuts = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
+                    for i, line in enumerate(score):
+                        at = np.flatnonzero(line >= cuts[i])
+                        at = at[np.lexsort((v_ids[at], -line[at]))][:n]
+                        asked.append(np.full(len(at), q_ids[s + i]))
+                        found.append(v_ids[at])
+                        scores.append(line[at])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (asked, found, scores)], ["query_id", "id", "score"])
+
+    return met.select("q_ids", "q_m", "v_ids", "v_m").mapInArrow(run, "query_id long, id long, score double")
 
-    return df.where("v is not null").select("id", "v").mapInArrow(run, f"{side}_ids array<long>, {side}_m binary")
+
+def ranked(best: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score) to the k best of each query with their rank, ties by id."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
@@ -101,27 +136,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> Da
     window per query then ranks.  A scope is a filter on ``vectors`` and so reaches its scan.  Up to
     MAX_QUERIES, which are counted, the query blocks are broadcast; beyond, every block of queries is
     sent to each partition of the vectors in rounds of that many."""
-
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            for row in pdf.itertuples(index=False):
-                q_ids, v_ids = np.asarray(row.q_ids), np.asarray(row.v_ids)
-                q = np.frombuffer(row.q_m).reshape(len(q_ids), -1)
-                v = np.frombuffer(row.v_m).reshape(len(v_ids), -1)
-                for s in range(0, len(q_ids), 512):
-                    score = np.round(q[s : s + 512] @ v.T, digits) + 0.0
-                    n = min(k, len(v_ids))
-                    for i, line in enumerate(score):
-                        # All that tie with the k-th, so that ids decide.
-                        cut = np.partition(line, len(line) - n)[len(line) - n]
-                        at = np.flatnonzero(line >= cut)
-                        at = at[np.lexsort((v_ids[at], -line[at]))][:n]
-                        yield pd.DataFrame({"query_id": q_ids[s + i], "id": v_ids[at], "score": line[at]})
-
     rounds = -(-queries.count() // MAX_QUERIES)
     parts = [queries] if rounds < 2 else [queries.where(F.pmod(F.xxhash64("id"), F.lit(2 * rounds)) == r) for r in range(2 * rounds)]
     # The condition that always holds makes it a nested loop of blocks, not of rows.
-    met = [_blocks(vectors, "v").join(F.broadcast(_blocks(part, "q")), F.size("v_ids") > 0) for part in parts]
-    best = reduce(DataFrame.unionByName, (m.mapInPandas(run, "query_id long, id long, score double") for m in met))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    met = [in_blocks(vectors, "v").join(F.broadcast(in_blocks(part, "q")), F.size("v_ids") > 0) for part in parts]
+    return ranked(reduce(DataFrame.unionByName, (best_of_blocks(m, k, digits) for m in met)), k)
