@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .checksums import crc32_sql
-from .common import lean, slices, texts_of
+from .common import lean, slices, stage, texts_of
 from .ngrams import tables, words_of
 from .ordering import running
 
@@ -91,7 +91,8 @@ def gumbel(doc_id: Column, seed: str = SEED) -> Column:
 def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_features, weight, score, rank (null: not drawn)."""
     gain = gains(bucket_counts(docs, text_col), bucket_counts(target, "text"))
-    scored = weights(docs, gain, id_col, text_col).withColumn("score", F.col("weight") + gumbel(F.col("doc_id"))).withColumn("enough", (F.col("n_words") >= min_words).cast("long"))
+    # Written before it is sorted: finding the ranges of the order reads the rows a second time.
+    scored = stage(weights(docs, gain, id_col, text_col), "weights").withColumn("score", F.col("weight") + gumbel(F.col("doc_id"))).withColumn("enough", (F.col("n_words") >= min_words).cast("long"))
     placed = running(scored, [F.col("enough").desc(), F.col("score").desc(), F.col("doc_id").asc_nulls_last()], "enough")
     # total: the documents with enough words; they come first.
     drawn = (F.col("enough") == 1) & (F.col("index") < F.floor(F.col("total") * percent / 100))
