@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import written
+from .elements import EDGE
 
 #: Defaults of the retrieval settings.
 CANDIDATE_K, FINAL_K, RRF_K, QUOTA = 15, 5, 60, 1
@@ -141,7 +142,7 @@ def scripted_search(requests: DataFrame, documents: DataFrame, errors: dict[int,
 
 
 def wants_tables(question: Column) -> Column:
-    return question.rlike(TABLE_CUES)
+    return question.rlike(TABLE_CUES.replace(r"\b", EDGE))
 
 
 def is_table(chunk_type: Column) -> Column:

@@ -276,6 +276,13 @@ def test_uploads_refuse_what_is_ambiguous():
     assert uploads.transcode(b"\xef\xbb\xbfabc") == "abc" and uploads.transcode(None) is None
 
 
+def test_words_end_at_letters_beyond_ascii(spark):
+    texts = ["De Erö und", "éAbc Def", "éuniversityé", "éa@b.cdé", "Abcö Def", "xuniversity", "ltd. und"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in rows.select(chunks.is_byline(F.lit("body"), F.col("t"), F.lit(True))).collect()] == [True, True, True, True, False, False, True]
+    assert spark.createDataFrame([("éemé",), ("them",)], "t string").select(retrieve.wants_tables(F.col("t")).alias("w")).collect() == [(True,), (False,)]
+
+
 def zipped(**files):
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w") as z:
