@@ -276,6 +276,13 @@ def test_uploads_refuse_what_is_ambiguous():
     assert uploads.transcode(b"\xef\xbb\xbfabc") == "abc" and uploads.transcode(None) is None
 
 
+def test_accented_capitals_are_no_double_byte_code():
+    for text in ("CIÓN!! RACIÓNBO!! OSCIÓN!! LA GARÓN ", "MÄDCHEN HÄTTE SÄLE. "):
+        assert uploads.sniff((text * 40).encode("latin-1")) is None
+    big5 = "今天天氣很好，所以我們一起去公園散步，看到許多花和樹，也遇見了老朋友。"
+    assert uploads.sniff((big5 * 2).encode("big5")) == "big5" and uploads.sniff(("今天天气很好，" * 9).encode("gb18030")) == "gb18030"
+
+
 def test_words_end_at_letters_beyond_ascii(spark):
     texts = ["De Erö und", "éAbc Def", "éuniversityé", "éa@b.cdé", "Abcö Def", "xuniversity", "ltd. und"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
