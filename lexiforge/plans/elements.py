@@ -349,7 +349,8 @@ def r9(spark, d):
     headers = F.array(F.lit(""), F.lit("Model"), F.lit("qty"))
     cells = F.array("l_returnflag", "l_linestatus", F.concat_ws(" / ", text("l_quantity"), text("l_linenumber")), text("l_partkey"))
     caption = F.concat(F.lit("order "), F.col("l_orderkey").cast("string"))
-    return spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.explode(E.table_facts(caption, headers, cells)).alias("fact"))
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus")
+    return E.table_facts(rows, caption, headers, cells).select("l_orderkey", "l_linenumber", "fact")
 
 
 _BUDGET = ", b AS (SELECT document_id, ordinal, greatest(1, length(text) // 4) + 1 AS cost, row_number() OVER (PARTITION BY document_id ORDER BY ordinal) AS rn FROM el WHERE type = 'caption'), s AS (SELECT *, sum(cost) OVER (PARTITION BY document_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS used FROM b)"

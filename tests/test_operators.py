@@ -283,6 +283,23 @@ def test_accented_capitals_are_no_double_byte_code():
     assert uploads.sniff((big5 * 2).encode("big5")) == "big5" and uploads.sniff(("今天天气很好，" * 9).encode("gb18030")) == "gb18030"
 
 
+def test_table_facts_of_odd_rows_without_interpreted_lambdas(spark):
+    data = [
+        (1, "t", ["", "Model", "qty", ""], [" a ", "b", "1 / - / 2", "x", " 3  4 ", None]),
+        (2, None, [None, "Model", None], [None, "b", "5"]),
+        (3, "", ["", "kind"], ["-", "b/c"]),
+        (4, "t", ["", "model"], ["a", "b"]),
+        (5, "t", None, ["", " "]),
+        (6, "t", [], None),
+    ]
+    rows = spark.createDataFrame(data, "k int, cap string, h array<string>, c array<string>")
+    facts = elements.table_facts(rows, F.col("cap"), F.col("h"), F.col("c"))
+    got = [(r["k"], r["fact"]) for r in facts.orderBy("k", "cell_no", "value_no").collect()]
+    t = "[table-fact] t | a | b | "
+    assert got == [(1, t + "qty | 1"), (1, t + "qty | 2"), (1, t + "col5 | 3"), (1, t + "col5 | 4"), (2, "[table-fact] | row | Model | b"), (2, "[table-fact] | row | col3 | 5"), (3, "[table-fact] | - | kind | b/c")]
+    assert "lambda" not in facts._jdf.queryExecution().executedPlan().toString()
+
+
 def test_words_end_at_letters_beyond_ascii(spark):
     texts = ["De Erö und", "éAbc Def", "éuniversityé", "éa@b.cdé", "Abcö Def", "xuniversity", "ltd. und"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
