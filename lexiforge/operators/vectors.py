@@ -19,8 +19,11 @@ from ..functions.cuts import greedy_cuts
 DIMENSIONS = 64
 #: Vectors to a block of the search; a task multiplies one block of queries by one of vectors.
 BLOCK_ROWS = 4096
+#: Queries that meet a block of vectors at once.
+SLICE_ROWS = 256
 #: Queries (a few hundred bytes each) that are broadcast at once.
-MAX_QUERIES = 100_000
+MAX_QUERIES = 50_000
+FOUND = "query_id long, id long, score double"
 
 
 def norm(vector: Column) -> Column:
@@ -95,31 +98,81 @@ def in_blocks(df: DataFrame, side: str, key: str | None = None) -> DataFrame:
     return df.where("v is not null").select(*keys, "id", "v").mapInArrow(run, schema)
 
 
+class Best:
+    """The k best vectors so far of each query, a row of the matrix q: by score to so many digits, ties by id."""
+
+    def __init__(self, q: np.ndarray, k: int, digits: int):
+        self.q, self.digits = q, digits
+        self.scores = np.full((len(q), k), -np.inf)
+        self.ids = np.full((len(q), k), np.iinfo(np.int64).max)
+
+    def add(self, ids: np.ndarray, v: np.ndarray) -> None:
+        """Takes in vectors, the rows of v.  Scores are made for a slice of queries and a block of vectors at a
+        time, and only those that may reach a query's k-th place are looked at again."""
+        k = self.scores.shape[1]
+        for a in range(0, len(v), BLOCK_ROWS):
+            block, block_ids = v[a : a + BLOCK_ROWS], ids[a : a + BLOCK_ROWS]
+            for s in range(0, len(self.q), SLICE_ROWS):
+                score = self.q[s : s + SLICE_ROWS] @ block.T
+                cut = self.scores[s : s + SLICE_ROWS, -1]
+                if len(block) > k and np.isneginf(cut).any():
+                    cut = np.maximum(cut, np.partition(score, len(block) - k, axis=1)[:, len(block) - k])
+                # What is less than a rounding step below may tie, so that ids decide.
+                row, column = np.nonzero(score >= (cut - 10.0**-self.digits)[:, None])
+                if len(row):
+                    self._merge(s, row, block_ids[column], np.round(score[row, column], self.digits) + 0.0)
+
+    def _merge(self, s: int, row: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        touched, k = np.unique(row), self.scores.shape[1]
+        rows = np.concatenate([row, np.repeat(touched, k)])
+        scores = np.concatenate([scores, self.scores[s + touched].ravel()])
+        ids = np.concatenate([ids, self.ids[s + touched].ravel()])
+        order = np.lexsort((ids, -scores, rows))
+        first = order[np.searchsorted(rows[order], touched)[:, None] + np.arange(k)]
+        self.scores[s + touched], self.ids[s + touched] = scores[first], ids[first]
+
+    def batches(self, q_ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for s in range(0, len(self.q), BLOCK_ROWS):
+            row, column = np.nonzero(self.scores[s : s + BLOCK_ROWS] > -np.inf)
+            columns = [q_ids[s + row], self.ids[s + row, column], self.scores[s + row, column]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["query_id", "id", "score"])
+
+
 def best_of_blocks(met: DataFrame, k: int, digits: int) -> DataFrame:
     """Blocks of queries beside blocks of vectors (q_ids, q_m, v_ids, v_m) to each pair of blocks' own k best
     of a query: (query_id, id, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, v_ids = np.asarray(row["q_ids"]), np.asarray(row["v_ids"])
-                q = np.frombuffer(row["q_m"]).reshape(len(q_ids), -1)
-                v = np.frombuffer(row["v_m"]).reshape(len(v_ids), -1)
-                asked, found, scores = [], [], []
-                n = min(k, len(v_ids))
-                for s in range(0, len(q_ids), 512):
-                    score = np.round(q[s : s + 512] @ v.T, digits) + 0.0
-                    # All that tie with the k-th, so that ids decide.
-                    cuts = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
-                    for i, line in enumerate(score):
-                        at = np.flatnonzero(line >= cuts[i])
-                        at = at[np.lexsort((v_ids[at], -line[at]))][:n]
-                        asked.append(np.full(len(at), q_ids[s + i]))
-                        found.append(v_ids[at])
-                        scores.append(line[at])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (asked, found, scores)], ["query_id", "id", "score"])
-
-    return met.select("q_ids", "q_m", "v_ids", "v_m").mapInArrow(run, "query_id long, id long, score double")
+            for i in range(batch.num_rows):
+                q_ids, v_ids = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("q_ids", "v_ids"))
+                q, v = (np.frombuffer(batch.column(c)[i].as_buffer()).reshape(n, -1) for c, n in (("q_m", len(q_ids)), ("v_m", len(v_ids))))
+                best = Best(q, k, digits)
+                best.add(v_ids, v)
+                yield from best.batches(q_ids)
+
+    return met.select("q_ids", "q_m", "v_ids", "v_m").mapInArrow(run, FOUND)
+
+
+def best_of_partitions(vectors: DataFrame, queries: DataFrame, k: int, digits: int) -> DataFrame:
+    """vectors (id, v) and queries (id, v), at most MAX_QUERIES, to each partition's own k best vectors of a query.
+
+    The queries are one matrix that all tasks share; a task reads its vectors a batch at a time and keeps
+    k of them a query, so its memory does not grow with the vectors."""
+    asked = queries.where("v is not null").select(F.col("id").cast("long").alias("id"), "v").toArrow()
+    ids = np.concatenate([np.empty(0, np.int64), *(c.to_numpy() for c in asked.column("id").chunks)])
+    rows = [matrix_of(c) for c in asked.column("v").chunks if len(c)]
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, np.concatenate(rows) if rows else np.empty((0, 0))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, q = shared.value
+        best = Best(q, k, digits)
+        for batch in batches:
+            if batch.num_rows:
+                best.add(batch.column("id").to_numpy(), matrix_of(batch.column("v")))
+        yield from best.batches(q_ids)
+
+    return vectors.where("v is not null").select(F.col("id").cast("long").alias("id"), "v").mapInArrow(run, FOUND)
 
 
 def ranked(best: DataFrame, k: int) -> DataFrame:
@@ -132,12 +185,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> Da
     """Exact cosine search: vectors (id, v) and queries (id, v) of unit length to
     (query_id, rank, id, score), ties by id.
 
-    Blocks of queries meet blocks of vectors; each pair yields its own k best per query, which one
-    window per query then ranks.  A scope is a filter on ``vectors`` and so reaches its scan.  Up to
-    MAX_QUERIES, which are counted, the query blocks are broadcast; beyond, every block of queries is
-    sent to each partition of the vectors in rounds of that many."""
+    Each partition of the vectors yields its own k best of every query, which one window per query then
+    ranks.  A scope is a filter on ``vectors`` and so reaches its scan.  The queries, which are counted,
+    are broadcast up to MAX_QUERIES at once; more of them go in rounds."""
     rounds = -(-queries.count() // MAX_QUERIES)
     parts = [queries] if rounds < 2 else [queries.where(F.pmod(F.xxhash64("id"), F.lit(2 * rounds)) == r) for r in range(2 * rounds)]
-    # The condition that always holds makes it a nested loop of blocks, not of rows.
-    met = [in_blocks(vectors, "v").join(F.broadcast(in_blocks(part, "q")), F.size("v_ids") > 0) for part in parts]
-    return ranked(reduce(DataFrame.unionByName, (best_of_blocks(m, k, digits) for m in met)), k)
+    return ranked(reduce(DataFrame.unionByName, (best_of_partitions(vectors, part, k, digits) for part in parts)), k)

@@ -10,6 +10,7 @@ import zipfile
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,27 @@ def test_top_k_is_exact(spark):
             assert [r["id"] for r in got.where(f"query_id = {q}").orderBy("rank").collect()] == [k for _, k in best]
 
 
+def test_search_keeps_k_of_each_query_and_streams_the_vectors(spark):
+    rnd = np.random.default_rng(3)
+    x = rnd.integers(-1, 2, (9000, 4)).astype(float)  # many ties
+    q = rnd.integers(-1, 2, (600, 4)).astype(float)
+    order = rnd.permutation(len(x))
+    best = vectors.Best(q, 7, 6)
+    for a in range(0, len(x), 5000):
+        best.add(order[a : a + 5000], x[order[a : a + 5000]])
+    score = q @ x.T
+    for i, (ids, scores) in enumerate(zip(best.ids, best.scores, strict=True)):
+        want = np.lexsort((np.arange(len(x)), -score[i]))[:7]
+        assert ids.tolist() == want.tolist() and scores.tolist() == score[i][want].tolist()
+    few = vectors.Best(q, 7, 6)
+    few.add(np.arange(3), x[:3])
+    assert sum(b.num_rows for b in few.batches(np.arange(600))) == 1800
+    # No task gets pairs of blocks, each with both its matrices.
+    v = spark.createDataFrame(list(enumerate(x[:50].tolist())), "id long, v array<double>")
+    assert "NestedLoop" not in vectors.top_k(v, v, 2)._jdf.queryExecution().executedPlan().toString()
+    assert vectors.top_k(v, v.where("id < 0"), 2).count() == 0 and vectors.top_k(v.where("id < 0"), v, 2).count() == 0
+
+
 def test_embedding_is_a_unit_bag_of_words(spark):
     rnd = random.Random(5)
     texts = [None, "", "A b, b!", *(" ".join(rnd.choice(["a", "Bé", "c-d", "e9", "Éx"]) for _ in range(rnd.randrange(30))) for _ in range(40))]
