@@ -129,8 +129,10 @@ def s3_docx(spark, d):
     """The lines of every document as the paragraphs of a DOCX file, and the items read from it."""
 
     def made(pdfs):
-        for pdf in pdfs:
-            yield pd.DataFrame({"document_id": pdf["doc_id"], "content": [docx_bytes((t or "").split("\n")) for t in pdf["text"]]})
+        for whole in pdfs:
+            for a in range(0, len(whole), 256):
+                pdf = whole.iloc[a : a + 256]
+                yield pd.DataFrame({"document_id": pdf["doc_id"], "content": [docx_bytes((t or "").split("\n")) for t in pdf["text"]]})
 
     files = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").mapInPandas(made, "document_id long, content binary")
     return parsed(files.withColumn("kind", F.lit("docx"))).select("document_id", "ordinal", "type", "text")

@@ -329,6 +329,13 @@ def test_words_end_at_letters_beyond_ascii(spark):
     assert spark.createDataFrame([("éemé",), ("them",)], "t string").select(retrieve.wants_tables(F.col("t")).alias("w")).collect() == [(True,), (False,)]
 
 
+def test_items_of_many_files_go_back_in_parts(spark, monkeypatch):
+    files = spark.createDataFrame([(k, "md", "\n\n".join(f"line {n}" for n in range(k))) for k in range(12)], "document_id long, kind string, content string").coalesce(1)
+    want = sorted(uploads.parsed(files).collect())
+    monkeypatch.setattr(uploads, "ITEMS", 5)
+    assert sorted(uploads.parsed(files).collect()) == want and len(want) > 12
+
+
 def zipped(**files):
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w") as z:
