@@ -96,7 +96,8 @@ def all_chunks(elements: DataFrame) -> DataFrame:
     one = lambda df, kind: df.select("document_id", F.lit(kind).alias("chunk_type"), F.col("ordinal").alias("anchor"), F.col("ordinal").alias("last"), F.lit(0).alias("piece"), "retrieval_text")
     is_row = F.col("type") == "table"
     opens = is_row & ~F.coalesce(F.lag("type").over(E.doc_order()) == "table", F.lit(False))
-    tables = rows.withColumn("opens", opens.cast("int")).withColumn("table_no", F.sum("opens").over(E.upto())).where(is_row)
+    lines = rows.select("document_id", "ordinal", "type", F.when(is_row, F.col("text")).alias("text"))
+    tables = lines.withColumn("opens", opens.cast("int")).withColumn("table_no", F.sum("opens").over(E.upto())).where(is_row)
     packs = C.table_packs(tables, ["document_id", "table_no"], "ordinal", "text")
     line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda s: s["text"]), "\n")
     packs = packs.groupBy("document_id", "table_no", "pack").agg(F.min("ordinal").alias("anchor"), F.max("ordinal").alias("last"), line.alias("retrieval_text"))
@@ -118,7 +119,8 @@ def with_neighbours(named: DataFrame) -> DataFrame:
     prose = F.col("chunk_type") == "prose"
     near = C.neighbors(named.select("document_id", "chunk_id", "anchor", prose.alias("prose")))
     near = near.select("document_id", "chunk_id", F.col("prev").alias("prev_ids"), F.col("next").alias("next_ids"))
-    return named.join(near, ["document_id", "chunk_id"], "left")
+    # Prose has no neighbours, so its texts need not meet them.
+    return named.where(~prose).join(near, ["document_id", "chunk_id"], "left").unionByName(named.where(prose), allowMissingColumns=True)
 
 
 def plan(spark: SparkSession, documents: DataFrame, state: Published, fingerprint: dict, buckets: int, reuse: bool = True) -> DataFrame:
@@ -155,9 +157,9 @@ class Built:
     reused_chunks: int
 
 
-def _write_buckets(df: DataFrame, path: str) -> None:
+def _by_bucket(df: DataFrame) -> DataFrame:
     # A bucket is one task's and one file, unless adaptive execution finds it large and splits it.
-    df.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+    return df.hint("rebalance", "bucket")
 
 
 def build(
@@ -188,27 +190,37 @@ def _build(documents, elements, root, fingerprint, embed, chunk, buckets, held:
         touched = {r["bucket"] for r in summary if r["reason"] != "reused"} | ({*range(buckets)} if len(state.layout) != buckets else set())
         changed = made.where(~F.col("reason").isin("reused", "deleted")).select("document_id", "revision")
         n_changed = sum(n for reason, n in reasons.items() if reason not in ("reused", "deleted"))
+        n_same = sum(reasons.values()) - n_changed
         few = F.broadcast(changed) if n_changed <= MAX_BROADCAST else changed
+        # Elements of other documents are dropped where chunks get their revision; to leave them out before is cheaper
+        # unless that itself takes a shuffle of all texts.
+        if n_changed > MAX_BROADCAST >= n_same:
+            others = made.where(F.col("reason").isin("reused", "deleted")).select("document_id")
+            wanted = elements.join(F.broadcast(others), "document_id", "left_anti") if n_same else elements
+        else:
+            wanted = elements.join(few.select("document_id"), "document_id", "left_semi")
         # Written once: the neighbours are found in it, and then it is embedded.
-        identified(chunk(elements.join(few.select("document_id"), "document_id", "left_semi")), few).write.parquet(f"{folder}/fresh")
+        identified(chunk(wanted), few).write.parquet(f"{folder}/fresh")
         fresh = with_neighbours(spark.read.parquet(f"{folder}/fresh"))
-        fresh = fresh.withColumn("v", embed(F.col("retrieval_text"))).withColumns({"made_in": F.lit(version), "bucket": bucket_of(F.col("document_id"), buckets)})
+        fresh = fresh.withColumn("bucket", bucket_of(F.col("document_id"), buckets))
+        embedded = lambda df: df.withColumn("v", embed(F.col("retrieval_text"))).withColumn("made_in", F.lit(version))
         old = read_chunks(spark, state, touched)
-        rows = fresh
         if old is not None and reasons.get("reused"):
             stay = made.where((F.col("reason") == "reused") & F.col("bucket").isin(sorted(touched))).select("document_id")
             kept = old.join(stay, "document_id", "left_semi").withColumn("bucket", bucket_of(F.col("document_id"), buckets))
-            rows = fresh.unionByName(kept)
+            rows = _by_bucket(embedded(fresh).unionByName(kept))
+        else:
+            rows = embedded(_by_bucket(fresh))  # texts move to their buckets without vectors
         if touched:
-            _write_buckets(rows, f"{folder}/chunks")
+            rows.write.partitionBy("bucket").parquet(f"{folder}/chunks")
         fs.delete(p(f"{folder}/fresh"), True)
         layout = {b: version if b in touched else state.layout[b] for b in range(buckets)}
         now = Published(root, version, held.token, fingerprint, layout)
         stored = read_chunks(spark, now)
-        total, embedded, dimension, sizes = 0, 0, None, 0
+        total, n_embedded, dimension, sizes = 0, 0, None, 0
         if stored is not None:
             size = F.size("v")
-            total, embedded, dimension, sizes = stored.agg(F.count(F.lit(1)), F.count_if(F.col("made_in") == version), F.max(size), F.count_distinct(size)).first()
+            total, n_embedded, dimension, sizes = stored.agg(F.count(F.lit(1)), F.count_if(F.col("made_in") == version), F.max(size), F.count_distinct(size)).first()
         if sizes > 1 and reuse:
             # The embedder's dimension changed though the fingerprint did not: nothing may be reused.
             fs.delete(p(folder), True)
@@ -225,7 +237,7 @@ def _build(documents, elements, root, fingerprint, embed, chunk, buckets, held:
         fs.delete(p(folder), True)
         raise
     collect_versions(spark, now)
-    return Built(version, state.version, reasons, touched, total, embedded, total - embedded)
+    return Built(version, state.version, reasons, touched, total, n_embedded, total - n_embedded)
 
 
 def point(spark: SparkSession, root: str, version: str, held: Lock) -> None:

@@ -64,6 +64,23 @@ def test_only_changed_documents_are_made_again(spark, tmp_path):
     assert sorted(n for n in os.listdir(root) if n.startswith("v")) == sorted([first.version, second.version, third.version])
 
 
+def test_many_changed_documents_shuffle_prose_once(spark, tmp_path, monkeypatch):
+    from lexiforge.operators import chunks
+
+    docs, elements = library(spark, {k: "r1" for k in range(12)})
+    B.build(docs, elements, str(tmp_path / "few"), PRINT, embed(1), buckets=4)
+    want = set(rows_of(spark, str(tmp_path / "few"))[0])
+    monkeypatch.setattr(B, "MAX_BROADCAST", 5)
+    stray = library(spark, {k: "r1" for k in range(40, 50)})[1]
+    B.build(docs, elements.unionByName(stray), str(tmp_path / "many"), PRINT, embed(1), buckets=4)
+    assert set(rows_of(spark, str(tmp_path / "many"))[0]) == want
+    # Nine of twelve are new, three stay.
+    B.build(docs.where("document_id < 3"), elements, str(tmp_path / "many"), PRINT, embed(1), buckets=4)
+    B.build(docs, elements, str(tmp_path / "many"), PRINT, embed(1), buckets=4)
+    assert set(rows_of(spark, str(tmp_path / "many"))[0]) == want
+    assert chunks.prose_chunks(elements)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_neighbours_and_structure_are_in_the_build(spark, tmp_path):
     root = str(tmp_path / "index")
     B.build(*library(spark, {25: "r1", 26: "r1"}), root, PRINT, embed(1), buckets=4)
