@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.partitions import dealt
+
 #: Verdict limits and the repeated-call limit.
 MEDIAN_LIMIT, NOISE_LIMIT, REPEATED_CALLS = 10, 0.20, 3
 OUTCOMES = ("transport_error", "gate_failed", "budget_exhausted", "refuse_correct", "unfounded_answer", "deny_unverified", "no_answer", "no_citation", "adjacent_page", "ok")
 
 
-def target_ranks(targets: DataFrame, results: DataFrame) -> DataFrame:
+def target_ranks(targets: DataFrame, results: DataFrame, parts: int | None = None) -> DataFrame:
     """targets (question, target, page[, document]) and results (question, rank, page, document): the
-    first rank at which each target's page shows up; null if it never does."""
-    t = targets.select("question", "target", F.col("page").alias("t_page"), F.col("document").alias("t_document"))
+    first rank at which each target's page shows up; null if it never does.  parts as of parts_for."""
+    t = dealt(targets, parts, "question", "page").select("question", "target", F.col("page").alias("t_page"), F.col("document").alias("t_document"))
     same = (F.col("page") == F.col("t_page")) & (F.col("t_document").isNull() | (F.col("document") == F.col("t_document")))
-    joined = t.join(results.withColumnRenamed("question", "r_question"), (t["question"] == F.col("r_question")) & same, "left")
+    joined = t.join(dealt(results, parts, "question", "page").withColumnRenamed("question", "r_question"), (t["question"] == F.col("r_question")) & same, "left")
     return joined.groupBy("question", "target").agg(F.min("rank").alias("rank"))
 
 

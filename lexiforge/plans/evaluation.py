@@ -7,21 +7,23 @@ from pyspark.sql import functions as F
 
 from ..catalog import as_int, query
 from ..functions.ordering import prefix_sums
+from ..functions.partitions import dealt, parts_for
 from ..operators import evaluate as V
 
 
-def results(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of an order, ranked by price: page = partkey mod 40, document = suppkey mod 10."""
-    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_partkey", "l_suppkey", "l_linenumber")
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("rank", F.row_number().over(w))
-    return rows.select(F.col("l_orderkey").alias("question"), "rank", (F.col("l_partkey") % 40).alias("page"), (F.col("l_suppkey") % 10).alias("document"))
-
+def asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int | None]:
+    """(targets, results, the partitions that a join of them needs).
 
-def targets(spark: SparkSession, d: str) -> DataFrame:
-    """Each order asks for two pages; the second of one document only."""
-    o = spark.read.parquet(f"{d}/orders.parquet")
+    Results are the lines of an order, ranked by price: page = partkey mod 40, document = suppkey mod 10.  Each
+    order asks for two pages; the second of one document only."""
+    o, lines = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("orders", "lineitem"))
     first = o.select(F.col("o_orderkey").alias("question"), F.lit(1).alias("target"), (F.col("o_custkey") % 40).alias("page"), F.lit(None).cast("long").alias("document"))
-    return first.unionByName(o.select(F.col("o_orderkey").alias("question"), F.lit(2).alias("target"), (F.col("o_orderkey") % 40).alias("page"), (F.col("o_custkey") % 10).alias("document")))
+    second = o.select(F.col("o_orderkey").alias("question"), F.lit(2).alias("target"), (F.col("o_orderkey") % 40).alias("page"), (F.col("o_custkey") % 10).alias("document"))
+    parts = parts_for(o, o, lines)
+    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_partkey", "l_suppkey", "l_linenumber")
+    rows = dealt(lines, parts, "l_orderkey").withColumn("rank", F.row_number().over(w))
+    results = rows.select(F.col("l_orderkey").alias("question"), "rank", (F.col("l_partkey") % 40).alias("page"), (F.col("l_suppkey") % 10).alias("document"))
+    return first.unionByName(second), results, parts
 
 
 EV = """
@@ -38,28 +40,29 @@ def _ev(body: str) -> str:
 
 @query("J8_target_first_rank", _ev("SELECT * FROM rk"))
 def j8(spark, d):
-    return V.target_ranks(targets(spark, d), results(spark, d))
+    return V.target_ranks(*asked(spark, d))
 
 
 @query("A7_recall_at_k", _ev("SELECT round(count(*) FILTER (WHERE best <= 1) / count(*), 4) AS recall_1, round(count(*) FILTER (WHERE best <= 3) / count(*), 4) AS recall_3 FROM bt"))
 def a7(spark, d):
-    return V.retrieval_summary(V.target_ranks(targets(spark, d), results(spark, d)), 7, (1, 3)).select("recall_1", "recall_3")
+    return V.retrieval_summary(V.target_ranks(*asked(spark, d)), 7, (1, 3)).select("recall_1", "recall_3")
 
 
 @query("A8_mean_reciprocal_rank", _ev("SELECT round(sum(coalesce(1.0::DOUBLE / best, 0)) / count(*), 4) AS mrr FROM bt"))
 def a8(spark, d):
-    return V.retrieval_summary(V.target_ranks(targets(spark, d), results(spark, d)), 7, ()).select("mrr")
+    return V.retrieval_summary(V.target_ranks(*asked(spark, d)), 7, ()).select("mrr")
 
 
 @query("A6_median_rank", _ev("SELECT coalesce(median(best), 8.0)::DOUBLE AS median_rank FROM bt"))
 def a6(spark, d):
-    return V.retrieval_summary(V.target_ranks(targets(spark, d), results(spark, d)), 7, ()).select("median_rank")
+    return V.retrieval_summary(V.target_ranks(*asked(spark, d)), 7, ()).select("median_rank")
 
 
 @query("A9_noise_ratio", _ev(", n AS (SELECT question, avg((NOT EXISTS (SELECT 1 FROM tg WHERE tg.question = r.question AND tg.page = r.page))::INT) AS noise FROM res r WHERE rank <= 5 GROUP BY 1) SELECT round(avg(noise), 6) AS noise, count(*) AS questions FROM n"))
 def a9(spark, d):
-    wanted = targets(spark, d).select("question", "page", F.lit(0).alias("off")).distinct()
-    top = results(spark, d).where("rank <= 5").join(wanted, ["question", "page"], "left")
+    targets, results, parts = asked(spark, d)
+    wanted = dealt(targets, parts, "question", "page").select("question", "page", F.lit(0).alias("off")).distinct()
+    top = dealt(results.where("rank <= 5"), parts, "question", "page").join(wanted, ["question", "page"], "left")
     per = top.groupBy("question").agg(F.avg(F.coalesce("off", F.lit(1))).alias("noise"))
     return per.agg(F.round(F.avg("noise"), 6).alias("noise"), F.count(F.lit(1)).alias("questions"))
 
@@ -107,7 +110,7 @@ def a18(spark, d):
 @query("V11_reranker_verdict", _ev(", p AS (SELECT question % 50 AS part, median(best * 5)::DOUBLE AS m, count(*) AS n FROM bt WHERE best IS NOT NULL GROUP BY 1) SELECT part, m <= 12 AND (m > 10 OR (part / 100.0)::DOUBLE >= 0.2) AS needed FROM p"))
 def v11(spark, d):
     """Ranks times five, so that medians lie on both sides of the limits."""
-    best = V.target_ranks(targets(spark, d), results(spark, d)).groupBy("question").agg(F.min("rank").alias("best")).where("best is not null")
+    best = V.target_ranks(*asked(spark, d)).groupBy("question").agg(F.min("rank").alias("best")).where("best is not null")
     per = best.groupBy((F.col("question") % 50).alias("part")).agg(F.median(F.col("best") * 5).alias("m"))
     return per.select("part", V.needs_reranker(F.col("m"), F.col("part") / 100.0, 12).alias("needed"))
 
@@ -162,7 +165,7 @@ def v17(spark, d):
 
 @query("V18_row_builder", _ev(", t AS (SELECT question, count(*) FILTER (WHERE rank IS NOT NULL) AS found, count(*) AS wanted FROM rk GROUP BY 1) SELECT o.o_orderkey AS question, t.found, t.wanted, coalesce(c.c_name, 'unknown') AS asker FROM orders o JOIN t ON t.question = o.o_orderkey LEFT JOIN customer c ON c.c_custkey = o.o_custkey"))
 def v18(spark, d):
-    ranks = V.target_ranks(targets(spark, d), results(spark, d)).groupBy("question").agg(F.count("rank").alias("found"), F.count(F.lit(1)).alias("wanted"))
+    ranks = V.target_ranks(*asked(spark, d)).groupBy("question").agg(F.count("rank").alias("found"), F.count(F.lit(1)).alias("wanted"))
     o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("question"), "o_custkey")
     c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name")
     rows = o.join(ranks, "question").join(c, o["o_custkey"] == c["c_custkey"], "left")
@@ -223,8 +226,8 @@ def j6(spark, d):
 
 @query("J7_page_range_cover", _ev("SELECT DISTINCT t.question FROM tg t JOIN res r ON r.question = t.question AND t.page BETWEEN r.page AND r.page + 2"))
 def j7(spark, d):
-    t = targets(spark, d).select(F.col("question").alias("q"), F.col("page").alias("p"))
-    r = results(spark, d)
+    targets, r, parts = asked(spark, d)
+    t = dealt(targets, parts, "question").select(F.col("question").alias("q"), F.col("page").alias("p"))
     return t.join(r, (t["q"] == r["question"]) & t["p"].between(r["page"], r["page"] + 2), "left_semi").select(F.col("q").alias("question")).distinct()
 
 
