@@ -5,7 +5,8 @@ are those of its white-space-separated pieces in order.  It also starts a new to
 punctuation follows a letter or digit, and lower-cases, so a piece's ids are those of its
 lower-cased stem and of the punctuation at its end.  The library encodes each distinct stem and
 ending once; the worker remembers them, up to a bound that is a parameter, and ids are gathered
-with numpy.
+with numpy.  A stem of letters is one word to the vocabulary, whose last id, and no other, has the
+suffix that ends a word; so many such stems are encoded as one text and cut at those ids.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import os
 import sys
 import types
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,10 @@ from .common import ranges, split_words
 ENDINGS, BEFORE = ".,;:!?", r"[0-9A-Za-zÀ-ÖØ-öø-\x{12F}\x{131}-ɏ]$"
 
 
+#: What is one word to the pre-tokenizer, as it is to remain when composed and lower-cased.
+LETTERS = r"^[A-Za-zÀ-ÖØ-öø-\x{12F}\x{131}-ɏ]+$"
+#: Stems of letters that are encoded as one text.
+LINE = 64
 #: Pieces that a worker remembers, about 200 bytes each.
 MAX_PIECES = 1_200_000
 
@@ -46,6 +51,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.max_pieces = max_pieces
+        # Of each id whether it ends a word; without a suffix for that, or with ids dropped at random, no id tells.
+        suffix, vocabulary = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix and not self.tokenizer.model.dropout:
+            self.ends[[k for name, k in vocabulary.items() if name.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -53,14 +63,35 @@ class Encoder:
         self.starts, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
 
-    def _learn(self, pieces: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, how many of each text)."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all pieces in some order, where each piece's start, how many they are)."""
+        plain = pc.match_substring_regex(pa.array(pieces, pa.string()), LETTERS).to_numpy(zero_copy_only=False)
+        words = list(compress(pieces, plain))
+        ids, _ = self._each([" ".join(words[k : k + LINE]) for k in range(0, len(words), LINE)])
+        ends = np.flatnonzero(self.ends[ids])
+        # A word has one end at most, so with as many ends as words each has its own.
+        if len(ends) != len(words):
+            ids, counts = self._each(pieces)
+            return ids, np.cumsum(counts) - counts, counts
+        other, others = self._each(list(compress(pieces, ~plain)))
+        counts = np.empty(len(pieces), np.int64)
+        counts[plain], counts[~plain] = np.diff(ends, prepend=-1), others
+        starts = np.empty(len(pieces), np.int64)
+        starts[plain], starts[~plain] = ends + 1 - counts[plain], len(ids) + np.cumsum(others) - others
+        return np.concatenate([ids, other]), starts, counts
+
+    def _learn(self, pieces: list[str]) -> None:
+        flat, starts, counts = self._encoded(pieces)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         self.ids[self.used : self.used + len(flat)] = flat
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(counts) - counts])
+        self.starts = np.concatenate([self.starts, self.used + starts])
         self.counts = np.concatenate([self.counts, counts])
         self.used += len(flat)
         self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))

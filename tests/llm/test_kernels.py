@@ -51,6 +51,31 @@ def test_encoder_gives_the_library_ids():
         assert ids[bounds[i] : bounds[i + 1]].tolist() == [*r.ids, 0]
 
 
+def test_letter_stems_are_encoded_many_at_a_time():
+    rnd = random.Random(8)
+    e = tokens.Encoder(tokens.default_path())
+    plain, given = e.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            given.extend(texts)
+            return plain.encode_batch_fast(texts, **how)
+
+    e.tokenizer = Counted()
+    letters = "abcdefgxyzßäéñøĄłŉƀȺɏ"
+    odd = ["İx", "a\u0301b", "\u0958", "x9", "don't", "ªa", "a×b", "日本", "ʰa", "<|endoftext|>", "ﬁx", "ς", "\u200bq", "A" * 5000]
+    stems = ["".join(rnd.choice(letters + letters.upper()) for _ in range(rnd.randint(1, 12))) for _ in range(2000)] + odd
+    rnd.shuffle(stems)
+    texts = [" ".join(stems[k : k + 7]) for k in range(0, len(stems), 7)]
+    want = [x for t in texts for x in [*plain.encode(t, add_special_tokens=False).ids, 2]]
+    assert e.encode(pa.array(texts), 2)[0].tolist() == want
+    assert len(given) < len(stems) / 4
+    # Where no id tells the end of a word, each is encoded by itself.
+    e = tokens.Encoder(tokens.default_path())
+    e.ends[:] = False
+    assert e.encode(pa.array(texts), 2)[0].tolist() == want
+
+
 def test_every_letter_with_every_ending_has_the_library_ids():
     letters = [chr(k) for k in range(0xC0, 0x250)]
     texts = [f"{a}{x}{b}{e}" for x in letters for e in [*tokens.ENDINGS, "...", "?!"] for a, b in (("", ""), ("val", ""), ("", "i"), (x, x))]
